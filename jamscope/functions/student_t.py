@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 FRACTION_TERMS = 1000
 GAMMA_SHIFT = 50
 TINY = 1e-300
+MOST_DOF = 1e6
 
 
 def two_sided_p(t: Column, dof: Column) -> Column:
     """p-value of a t statistic; NULL where either argument is NULL."""
-    a = dof / F.lit(2.0)
+    # Beyond MOST_DOF the distribution is all but normal and the fraction would cancel:
+    # go over to the t value with the same normal score at MOST_DOF degrees of freedom.
+    score = (dof - F.lit(0.5)) * F.log1p(t * t / dof) / F.lit(MOST_DOF - 0.5)
+    odds = F.when(dof > MOST_DOF, F.expm1(F.least(score, F.lit(700.0)))).otherwise(t * t / dof)
+    a = F.least(dof, F.lit(MOST_DOF)) / F.lit(2.0)
     half = F.lit(0.5)
-    odds = t * t / dof
     y = odds / (F.lit(1.0) + odds)  # 1 - x, without cancellation
     log_x = -F.log1p(odds)
     front = F.exp(a * log_x + half * F.log(y) + _log_gamma_step(a)) / F.lit(math.sqrt(math.pi))

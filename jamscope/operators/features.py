@@ -263,13 +263,17 @@ class TripPreprocessor(Estimator):
             + " FROM __THIS__"
         )
         # "keep" gives a value without slot one index more, which dropLast turns into zeros.
-        index = StringIndexerModel.from_arrays_of_labels(
-            [encodings[n].slots for n in self.nominal], named, indexed, handleInvalid="keep"
+        index = [
+            StringIndexerModel.from_labels(encodings[n].slots, src, out, handleInvalid="keep")
+            for n, src, out in zip(self.nominal, named, indexed, strict=True)
+        ]
+        lookup = PipelineModel([columns, *index])
+        # Slot numbers come from column metadata; no rows are read to fit this stage.
+        encode = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(
+            lookup.transform(dataset)
         )
-        prepared = index.transform(columns.transform(dataset))
-        encode = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(prepared)
         assemble = VectorAssembler(inputCols=[*scaled, *coded], outputCol="features")
-        return PipelineModel([columns, index, encode, assemble])
+        return PipelineModel([columns, *index, encode, assemble])
 
 
 def feature_width(encodings: dict[str, Encoding], numeric: Sequence[str]) -> int:

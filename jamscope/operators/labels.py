@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jamscope.config import ColumnMap
+from jamscope.functions.nulls import is_true
 from jamscope.operators.quantiles import quantile_table, scalar_quantile
 from jamscope.staging import Staged, StagingArea
 
@@ -19,8 +20,8 @@ class LabelledTrips:
     frame: DataFrame
     routes: Staged
     rows_in: int
-    abs_threshold: float
-    rel_threshold: float
+    abs_threshold: float | None
+    rel_threshold: float | None
 
 
 def route_medians(
@@ -45,9 +46,11 @@ def route_medians(
     )
 
 
-def add_threshold_label(df: DataFrame, value: str, threshold: float, label: str) -> DataFrame:
+def add_threshold_label(
+    df: DataFrame, value: str, threshold: float | None, label: str
+) -> DataFrame:
     """Add a 0/1 label: the value is strictly below the threshold."""
-    below = F.coalesce(F.col(value) < F.lit(threshold), F.lit(False))
+    below = is_true(F.col(value) < F.lit(threshold).cast("double"))
     return df.withColumn(label, below.cast("int"))
 
 
@@ -93,8 +96,8 @@ def label_meta(labels: LabelledTrips) -> DataFrame:
     """Thresholds, positive rates, agreement of the labels and sizes, as one row."""
     same = (F.col("jam_abs") == F.col("jam_rel")).cast("int")
     return labels.frame.agg(
-        F.lit(labels.abs_threshold).alias("abs_threshold"),
-        F.lit(labels.rel_threshold).alias("rel_threshold"),
+        F.lit(labels.abs_threshold).cast("double").alias("abs_threshold"),
+        F.lit(labels.rel_threshold).cast("double").alias("rel_threshold"),
         F.avg("jam_abs").alias("abs_rate"),
         F.avg("jam_rel").alias("rel_rate"),
         F.avg(same).alias("agreement"),

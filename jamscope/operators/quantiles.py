@@ -109,13 +109,11 @@ def scalar_quantile(
     prob: float,
     rows: int | None = None,
     staging: StagingArea | None = None,
-) -> float:
-    """One exact linear quantile of a whole column, on the driver as a float."""
+) -> float | None:
+    """One exact linear quantile of a whole column, on the driver; None without values."""
     table = quantile_table(df, value, {"q": prob}, rows=rows, staging=staging)
     row = table.select("q").first()
-    if row is None or row["q"] is None:
-        raise ValueError("no values to take a quantile of")
-    return float(row["q"])
+    return None if row is None or row["q"] is None else float(row["q"])
 
 
 def _built_in(

@@ -3,8 +3,8 @@
 A table that feeds many later jobs (the cleaned trips, the route medians, the
 model sample) is written as Parquet below the folder the cluster names in
 ``spark.checkpoint.dir`` and read back.  That cuts lineage, survives the loss
-of executors, and later jobs read only the columns they need.  The row count
-comes from the write itself, so size checks cost no extra pass.
+of executors, and later jobs read only the columns they need.  The row count is
+read from the Parquet footers, so size checks cost no further pass.
 """
 
 from __future__ import annotations
@@ -15,13 +15,13 @@ from dataclasses import dataclass, field
 from functools import lru_cache
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
 class Staged:
-    """A written table, its number of rows and the further measures taken while writing."""
+    """A written table, its number of rows and further measures taken of it."""
 
     frame: DataFrame
     rows: int
@@ -58,15 +58,11 @@ class StagingArea:
     def stage(self, df: DataFrame, name: str, *measures: Column) -> Staged:
         """Write ``df`` once; the result reads the written copy.
 
-        ``measures`` are aliased aggregates to collect during the write.
+        ``measures`` are aliased aggregates to take of the written table.
         """
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
-        seen = Observation(f"stage_{name}")
-        df.observe(seen, F.count(F.lit(1)).alias("rows"), *measures).write.parquet(path)
-        values = dict(seen.get)
-        return Staged(
-            frame=self.spark.read.schema(df.schema).parquet(path),
-            rows=int(values.pop("rows")),
-            path=path,
-            measures=values,
-        )
+        df.write.parquet(path)
+        written = self.spark.read.schema(df.schema).parquet(path)
+        # Counted from what was written, not while writing: a repeated task cannot distort it.
+        values = written.agg(F.count(F.lit(1)).alias("rows"), *measures).first().asDict()
+        return Staged(written, rows=int(values.pop("rows")), path=path, measures=values)
