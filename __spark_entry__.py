@@ -6,6 +6,7 @@ import os
 import sys
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ def study_of(spark: SparkSession, sf_dir: str) -> TripStudy:
     if key not in _studies:
         # No route of the smallest folder has 30 trips.
         least = 10 if os.path.basename(sf_dir.rstrip("/")) == "sf0.001" else 30
-        _studies[key] = TripStudy(order_trips(spark, sf_dir), order_trip_config(least))
+        _studies[key] = TripStudy.of_view(order_trips(spark, sf_dir), order_trip_config(least))
     return _studies[key]
 
 
@@ -70,7 +71,7 @@ def arithmetic_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def entry(spark: SparkSession) -> DataFrame:
     """Trips, mean speed and congestion by hour, from raw trips to labels, at the smallest scale."""
     trips = order_trips(spark, "/root/testdata/sf0.001")
-    return TripStudy(trips, order_trip_config(min_route_trips=10)).hourly()
+    return TripStudy.of_view(trips, order_trip_config(min_route_trips=10)).hourly()
 
 
 def _null_count_reconcile(s: TripStudy) -> DataFrame:
@@ -94,7 +95,7 @@ def _absolute_label(s: TripStudy) -> DataFrame:
 def _impute_median(s: TripStudy) -> DataFrame:
     train, test = arithmetic_split(s.trips)
     numeric = COLUMNS.numeric_features
-    fitted = features.fit_scalings(train, numeric, staging=s.staging)
+    fitted = features.fit_scalings(train, numeric, s.raw_rows, s.staging)
     filled = features.impute_median(test, {n: x.median for n, x in fitted.items()})
     return filled.select(*KEY_COLUMNS, *numeric)
 
@@ -102,7 +103,7 @@ def _impute_median(s: TripStudy) -> DataFrame:
 def _standardize(s: TripStudy) -> DataFrame:
     train, test = arithmetic_split(s.trips)
     numeric = COLUMNS.numeric_features
-    fitted = features.fit_scalings(train, numeric, staging=s.staging)
+    fitted = features.fit_scalings(train, numeric, s.raw_rows, s.staging)
     return features.standardize(test, fitted).select(*KEY_COLUMNS, *numeric)
 
 
@@ -121,8 +122,6 @@ def _feature_width(s: TripStudy) -> DataFrame:
         rows=s.labelled_rows,
         staging=s.staging,
     )
-    from pyspark.ml.functions import vector_to_array
-
     vectors = preprocessor.fit(train).transform(s.labelled)
     return vectors.agg(F.max(F.size(vector_to_array("features"))).alias("n_features"))
 
@@ -196,7 +195,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "quantile_interpolation": lambda s: s.distance_quantiles(),
         "clean_audit": lambda s: s.audit(),
         "clean_audit_duplicates": lambda s: clean_audit(
-            doubled(s.trips), COLUMNS, s.config.cleaning
+            doubled(s.raw), COLUMNS, s.config.cleaning
         ),
         "clean_trips": lambda s: printable_trips(
             s.clean.frame, "duration_min", "hour", "dow", "is_weekend", "speed_mph"

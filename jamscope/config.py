@@ -105,8 +105,8 @@ class ModelSettings:
     min_category_rows: int = 50
     trees: int = 100
     min_leaf_rows: int = 5
-    max_depth: int = 20
-    max_bins: int = 64
+    max_depth: int = 15
+    max_bins: int = 32
 
 
 @dataclass(frozen=True)

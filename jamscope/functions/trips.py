@@ -16,8 +16,12 @@ WEEKDAY_NAMES = ["월", "화", "수", "목", "금", "토", "일"]
 
 
 def duration_minutes(start: Column, end: Column) -> Column:
-    """Minutes between two timestamps, fractions of a second kept."""
-    return F.timestamp_diff("MICROSECOND", start, end) / F.lit(1e6) / F.lit(60.0)
+    """Minutes between two timestamps, fractions of a second kept.
+
+    A difference of microseconds, read as seconds: no calendar or time zone comes in.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / F.lit(60.0)
 
 
 def speed_mph(distance: Column, minutes: Column) -> Column:

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from jamscope.config import CleaningRules, ColumnMap
 from jamscope.functions.nulls import is_true, not_within
-from jamscope.functions.trips import speed_mph
+from jamscope.functions.trips import (
+    add_speed,
+    add_time_features,
+    duration_minutes,
+    speed_mph,
+)
 from jamscope.operators.quality import touches_zone
 from jamscope.sources.tables import require_columns
 
@@ -37,17 +42,18 @@ def cleaning_rules(
     for name in c.required:
         missing = missing | F.col(name).isNull()
     pickup = F.col(c.pickup)
+    duration = duration_minutes(pickup, F.col(c.dropoff))
     in_period = is_true(
         (pickup >= F.lit(r.period_start).cast("timestamp_ntz"))
         & (pickup < F.lit(r.period_end).cast("timestamp_ntz"))
     )
-    speed = speed_mph(F.col(c.distance), F.col("duration_min"))
+    speed = speed_mph(F.col(c.distance), duration)
     distance = F.col(c.distance)
     return [
         Rule("required column missing", missing),
         Rule(DUPLICATES, None),
         Rule("outside observation period", ~in_period),
-        Rule("duration out of range", not_within(F.col("duration_min"), r.min_duration, r.max_duration)),
+        Rule("duration out of range", not_within(duration, r.min_duration, r.max_duration)),
         Rule("speed out of range", not_within(speed, r.min_speed, r.max_speed)),
         Rule("fare not positive", is_true(F.col(c.fare) <= 0)),
         Rule("distance too long", is_true(distance > r.max_distance)),
@@ -62,13 +68,13 @@ def cleaning_rules(
 def clean_trips(
     trips: DataFrame, columns: ColumnMap | None = None, rules: CleaningRules | None = None
 ) -> DataFrame:
-    """Trips that pass every rule, one copy each, with ``speed_mph``.
+    """Raw trips that pass every rule, one copy each, with time features and ``speed_mph``.
 
     Copies of a row share the fate of the row, so the row-wise rules go first
-    and only survivors are shuffled to find duplicates.
+    and only survivors, without derived columns, are shuffled to find duplicates.
     """
     c, r = columns or ColumnMap(), rules or CleaningRules()
-    require_columns(trips, [*c.required, "duration_min"])
+    require_columns(trips, c.required)
     pickup = F.col(c.pickup)
     # The raw range comes first on its own: in this form it reaches the Parquet scan.
     kept = trips.where(
@@ -78,22 +84,20 @@ def clean_trips(
     for rule in cleaning_rules(c, r):
         if rule.removes is not None:
             kept = kept.where(~rule.removes)
-    return kept.dropDuplicates().withColumn(
-        "speed_mph", speed_mph(F.col(c.distance), F.col("duration_min"))
-    )
+    return add_speed(add_time_features(kept.dropDuplicates(), c), c)
 
 
 def clean_audit(
     trips: DataFrame, columns: ColumnMap | None = None, rules: CleaningRules | None = None
 ) -> DataFrame:
-    """Rows removed and left after each rule (step 0 is the start), in one pass.
+    """Raw rows removed and left after each rule (step 0 is the start), in one pass.
 
     Each row is labelled with the first rule that removes it.  The only wide
     shuffle brings copies of a row together; rows without a required value end
     before the duplicate rule, so all of them collapse to one row per task first.
     """
     c = columns or ColumnMap()
-    require_columns(trips, [*c.required, "duration_min"])
+    require_columns(trips, c.required)
     ordered = cleaning_rules(c, rules)
     first, second, later = ordered[0], ordered[1], ordered[2:]
     if second.name != DUPLICATES or first.removes is None:
@@ -129,7 +133,13 @@ def clean_audit(
             for i in range(3, len(ordered) + 1)
         ],
     )
-    entries = [F.struct(F.lit(0).alias("step"), F.lit("start").alias("rule"), F.lit(0).cast("bigint").alias("removed"))]
+    entries = [
+        F.struct(
+            F.lit(0).alias("step"),
+            F.lit("start").alias("rule"),
+            F.lit(0).cast("bigint").alias("removed"),
+        )
+    ]
     entries += [
         F.struct(
             F.lit(i).alias("step"), F.lit(rule.name).alias("rule"), F.col(f"_r{i}").alias("removed")

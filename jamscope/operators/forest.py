@@ -23,6 +23,7 @@ from jamscope.operators.sampling import sample_exact, stratified_split
 from jamscope.staging import Staged, StagingArea
 
 
+MIN_PARTITION_ROWS = 1_000
 ROW_HASHES = ["row_hash_1", "row_hash_2"]
 
 
@@ -69,6 +70,7 @@ def build_pipeline(
                 maxBins=settings.max_bins,
                 seed=settings.seed,
                 maxMemoryInMB=1024,
+                cacheNodeIds=True,
             ),
         ]
     )
@@ -94,6 +96,9 @@ def draw_sample(
         }
     )
     keyed = feature_table(keyed, [*columns.features, *ROW_HASHES], labels)
+    # The forest reads the sample once per tree level: spread it over the cores.
+    cores = staging.spark.sparkContext.defaultParallelism
+    keyed = keyed.repartition(max(1, min(cores, n // MIN_PARTITION_ROWS)), ROW_HASHES[0])
     return staging.stage(keyed, "model_sample")
 
 

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 
 from jamscope.config import CleaningRules, ColumnMap
 from jamscope.functions.nulls import is_true, null_flag
-from jamscope.operators.quantiles import count_values, quantiles_of_counts
+from jamscope.operators.quantiles import (
+    IN_MEMORY_ROWS,
+    count_values,
+    quantile_table,
+    quantiles_of_counts,
+)
 from jamscope.staging import StagingArea
 
 
@@ -236,17 +241,20 @@ def quantile_interpolation(
     df: DataFrame,
     column: str,
     probs: Sequence[float] = (0.25, 0.5, 0.75),
+    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
-    """Quantiles with linear and nearest-rank interpolation, and whether the two differ.
-
-    The table is read once: both come from the staged value counts.
-    """
+    """Quantiles with linear and nearest-rank interpolation, and whether the two differ."""
     named = {f"q{i}": p for i, p in enumerate(probs)}
-    staging = staging or StagingArea(df.sparkSession)
-    counts = count_values(df, column, [], staging)
-    linear = quantiles_of_counts(counts, named, [], "linear", staging)
-    nearest = quantiles_of_counts(counts, named, [], "nearest", staging)
+    if rows is not None and rows <= IN_MEMORY_ROWS:
+        linear = quantile_table(df, column, named, rows=rows)
+        nearest = quantile_table(df, column, named, method="nearest", rows=rows)
+    else:
+        # The table is read once: both come from the staged value counts.
+        staging = staging or StagingArea(df.sparkSession)
+        counts = count_values(df, column, [], staging)
+        linear = quantiles_of_counts(counts, named, [], "linear", staging)
+        nearest = quantiles_of_counts(counts, named, [], "nearest", staging)
     pairs = linear.select(*[F.col(k).alias(f"l_{k}") for k in named]).crossJoin(
         F.broadcast(nearest.select(*[F.col(k).alias(f"n_{k}") for k in named]))  # one row each
     )

@@ -44,16 +44,24 @@ def order_trip_config(min_route_trips: int = 30) -> StudyConfig:
     )
 
 
-def order_trips(spark: SparkSession, directory: str) -> DataFrame:
-    """One trip per order line.  Customers and suppliers are broadcast only if the planner finds
-    them small."""
+def order_trips(
+    spark: SparkSession, directory: str, small_table_rows: int = 10_000_000
+) -> DataFrame:
+    """One trip per order line.  Orders, customers and suppliers are broadcast only if the planner
+    finds them small.
+
+    A small line table may be a single file, that is, a single task: such a one is spread over
+    the cores first.
+    """
 
     def table(name: str) -> DataFrame:
         return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
+    lines = table("lineitem")
+    if lines.count() < small_table_rows:  # from the file footers
+        lines = lines.repartition(spark.sparkContext.defaultParallelism)
     lines = (
-        table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )

@@ -26,7 +26,8 @@ class TripStudy:
 
     Three tables are staged because many results read them: the cleaned trips,
     the route medians and the model sample.  Every result is a DataFrame over
-    these (or over the raw scan) and runs when it is used.
+    these (or over the raw scan) and runs when it is used.  ``rows`` is an upper
+    bound of the raw rows, if known.
     """
 
     def __init__(
@@ -34,11 +35,22 @@ class TripStudy:
         trips: DataFrame,
         config: StudyConfig | None = None,
         staging: StagingArea | None = None,
+        rows: int | None = None,
     ) -> None:
         self.raw = trips
+        self.raw_rows = rows
         self.config = config or StudyConfig()
         self.staging = staging or StagingArea(trips.sparkSession)
 
+    @classmethod
+    def of_view(
+        cls, view: DataFrame, config: StudyConfig | None = None, staging: StagingArea | None = None
+    ) -> TripStudy:
+        """A study of trips that are themselves the result of a query, which runs only once."""
+        staging = staging or StagingArea(view.sparkSession)
+        staged = staging.stage(view, "trips")
+        return cls(staged.frame, config, staging, staged.rows)
+
     @property
     def trips(self) -> DataFrame:
         """Raw trips with the time features."""
@@ -47,7 +59,7 @@ class TripStudy:
     @cached_property
     def clean(self) -> Staged:
         return self.staging.stage(
-            cleaning.clean_trips(self.trips, self.config.columns, self.config.cleaning), "clean"
+            cleaning.clean_trips(self.raw, self.config.columns, self.config.cleaning), "clean"
         )
 
     @cached_property
@@ -105,12 +117,12 @@ class TripStudy:
 
     def distance_quantiles(self) -> DataFrame:
         return quality.quantile_interpolation(
-            self.raw, self.config.columns.distance, staging=self.staging
+            self.raw, self.config.columns.distance, rows=self.raw_rows, staging=self.staging
         )
 
     def speed_by_passengers(self, keep_null_group: bool = True) -> DataFrame:
         return aggregates.speed_by_passengers(
-            self.raw, self.config.columns, keep_null_group, staging=self.staging
+            self.raw, self.config.columns, keep_null_group, self.raw_rows, self.staging
         )
 
     def passenger_reconcile(self) -> DataFrame:
@@ -130,7 +142,7 @@ class TripStudy:
         )
 
     def audit(self) -> DataFrame:
-        return cleaning.clean_audit(self.trips, self.config.columns, self.config.cleaning)
+        return cleaning.clean_audit(self.raw, self.config.columns, self.config.cleaning)
 
     # Labelled data ----------------------------------------------------------
 
@@ -274,7 +286,7 @@ class TripStudy:
 
     def with_config(self, **changes) -> TripStudy:
         """A new study of the same trips with some settings changed."""
-        return TripStudy(self.raw, replace(self.config, **changes), self.staging)
+        return TripStudy(self.raw, replace(self.config, **changes), self.staging, self.raw_rows)
 
 
 COMPARISON_SCHEMA = (
