@@ -27,8 +27,3 @@ def is_true(condition: Column) -> Column:
 def not_within(value: Column, low: float, high: float) -> Column:
     """True outside the closed interval, and for NULL."""
     return ~is_true(value.between(low, high))
-
-
-def null_flag(name: str) -> Column:
-    """1 where the column is NULL, else 0."""
-    return F.col(f"`{name}`").isNull().cast("int")

@@ -1,4 +1,4 @@
-"""Two-sided p-value of Student's t as a column expression.
+"""Two-sided p-value of Student's t as a SQL expression.
 
 P(|T| >= |t|) is the regularised incomplete beta function I_x(dof/2, 1/2) at
 x = dof / (dof + t^2), evaluated by its continued fraction.  It stays inside
@@ -14,82 +14,81 @@ from pyspark.sql import functions as F
 
 FRACTION_TERMS = 1000
 GAMMA_SHIFT = 50
-TINY = 1e-300
 MOST_DOF = 1e6
+TINY = "1e-300D"
 
 
-def two_sided_p(t: Column, dof: Column) -> Column:
-    """p-value of a t statistic; NULL where either argument is NULL."""
+def two_sided_p(t: str, dof: str) -> Column:
+    """p-value of a t statistic, from column names; NULL where either is NULL."""
     # Beyond MOST_DOF the distribution is all but normal and the fraction would cancel:
     # go over to the t value with the same normal score at MOST_DOF degrees of freedom.
-    score = (dof - F.lit(0.5)) * F.log1p(t * t / dof) / F.lit(MOST_DOF - 0.5)
-    odds = F.when(dof > MOST_DOF, F.expm1(F.least(score, F.lit(700.0)))).otherwise(t * t / dof)
-    a = F.least(dof, F.lit(MOST_DOF)) / F.lit(2.0)
-    half = F.lit(0.5)
-    y = odds / (F.lit(1.0) + odds)  # 1 - x, without cancellation
-    log_x = -F.log1p(odds)
-    front = F.exp(a * log_x + half * F.log(y) + _log_gamma_step(a)) / F.lit(math.sqrt(math.pi))
+    score = f"({dof} - 0.5D) * log1p({t} * {t} / {dof}) / {MOST_DOF - 0.5!r}D"
+    odds = (
+        f"if({dof} > {MOST_DOF!r}D, expm1(least({score}, 700D)), {t} * {t} / {dof})"
+    )
+    given = f"named_struct('a', least({dof}, {MOST_DOF!r}D) / 2D, 'odds', {odds})"
+    # A one-element array is SQL's way to name an intermediate result.
+    p = f"transform(array({given}), g -> {_beta_p('g.a', 'g.odds')})[0]"
+    return F.expr(f"CASE WHEN {t} = 0 THEN 1D WHEN {t} IS NOT NULL AND {dof} > 0 THEN {p} END")
+
+
+def _beta_p(a: str, odds: str) -> str:
+    """I_x(a, 1/2) where y = 1 - x = odds / (1 + odds), taken so without cancellation."""
+    y = f"({odds} / (1D + {odds}))"
+    log_x = f"(-log1p({odds}))"
+    front = f"(exp({a} * {log_x} + 0.5D * ln({y}) + {_log_gamma_step(a)}) / {math.sqrt(math.pi)!r}D)"
     # The fraction converges fast on one side of the mean of the beta distribution.
-    direct = y > F.lit(1.0) - (a + F.lit(1.0)) / (a + F.lit(2.5))
+    direct = f"({y} > 1D - ({a} + 1D) / ({a} + 2.5D))"
     fraction = _beta_fraction(
-        F.when(direct, a).otherwise(half),
-        F.when(direct, half).otherwise(a),
-        F.when(direct, F.exp(log_x)).otherwise(y),
+        f"if({direct}, {a}, 0.5D)", f"if({direct}, 0.5D, {a})", f"if({direct}, exp({log_x}), {y})"
     )
-    p = F.when(direct, front * fraction / a).otherwise(F.lit(1.0) - front * fraction / half)
-    return F.when(t == 0, F.lit(1.0)).otherwise(p)
+    return f"if({direct}, {front} * {fraction} / {a}, 1D - 2D * {front} * {fraction})"
 
 
-def _log_gamma_step(a: Column) -> Column:
+def _log_gamma_step(a: str) -> str:
     """ln(Gamma(a + 1/2) / Gamma(a)): a series far from zero, reached by recursion."""
-    n = F.lit(float(GAMMA_SHIFT))
-    shifted = a + n
+    far = f"({a} + {GAMMA_SHIFT}D)"
     series = (
-        F.lit(0.5) * F.log(shifted)
-        - F.lit(1 / 8) / shifted
-        + F.lit(1 / 192) / F.pow(shifted, F.lit(3))
-        - F.lit(1 / 640) / F.pow(shifted, F.lit(5))
+        f"0.5D * ln({far}) - 1D / (8D * {far}) + 1D / (192D * power({far}, 3))"
+        f" - 1D / (640D * power({far}, 5))"
     )
-    steps = F.aggregate(
-        F.sequence(F.lit(0), F.lit(GAMMA_SHIFT - 1)),
-        F.lit(0.0),
-        lambda total, k: total + F.log((a + k) / (a + k + F.lit(0.5))),
+    steps = (
+        f"aggregate(sequence(0, {GAMMA_SHIFT - 1}), 0D,"
+        f" (total, k) -> total + ln(({a} + k) / ({a} + k + 0.5D)))"
     )
-    return series + steps
+    return f"({series} + {steps})"
 
 
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    """Continued fraction of the incomplete beta function by modified Lentz steps."""
-    one = F.lit(1.0)
+def _beta_fraction(a: str, b: str, x: str) -> str:
+    """Continued fraction of the incomplete beta function by modified Lentz steps.
 
-    def away_from_zero(z: Column) -> Column:
-        return F.when(F.abs(z) < TINY, F.lit(TINY)).otherwise(z)
+    The state carries the arguments, and in ``e`` the coefficient of the next step.
+    """
 
-    def term(j: Column) -> Column:
-        m = F.floor(j / F.lit(2)).cast("double")
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        return F.when(j % 2 == 0, even).otherwise(odd)
+    def coefficient(s: str, j: str) -> str:
+        m = f"floor({j} / 2)"
+        even = f"{m} * ({s}.b - {m}) * {s}.x / (({s}.a + 2 * {m} - 1) * ({s}.a + 2 * {m}))"
+        odd = (
+            f"-({s}.a + {m}) * ({s}.a + {s}.b + {m}) * {s}.x"
+            f" / (({s}.a + 2 * {m}) * ({s}.a + 2 * {m} + 1))"
+        )
+        return f"if({j} % 2 = 0, {even}, {odd})"
 
-    def with_term(state: Column, j: Column) -> Column:
-        return F.struct(
-            state["c"].alias("c"),
-            state["d"].alias("d"),
-            state["v"].alias("v"),
-            term(j).alias("e"),
+    def state(c: str, d: str, v: str, e: str, s: str) -> str:
+        return (
+            f"named_struct('c', {c}, 'd', {d}, 'v', {v}, 'e', CAST({e} AS DOUBLE),"
+            f" 'a', {s}.a, 'b', {s}.b, 'x', {s}.x)"
         )
 
-    def step(state: Column, j: Column) -> Column:
-        # e is the coefficient of this step, worked out in the step before.
-        d = one / away_from_zero(one + state["e"] * state["d"])
-        c = away_from_zero(one + state["e"] / state["c"])
-        moved = F.struct(c.alias("c"), d.alias("d"), (state["v"] * c * d).alias("v"))
-        return with_term(moved, j + 1)
-
-    start = F.struct(F.lit(1e300).alias("c"), one.alias("d"), one.alias("v"))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(FRACTION_TERMS)),
-        with_term(start, F.lit(1)),
-        step,
-        lambda state: state["v"],
+    def nonzero(z: str) -> str:
+        return f"if(abs({z}) < {TINY}, {TINY}, {z})"
+
+    d = f"(1D / {nonzero('(1D + s.e * s.d)')})"
+    c = nonzero("(1D + s.e / s.c)")
+    step = state(c, d, f"s.v * {c} * {d}", coefficient("s", "(j + 1)"), "s")
+    start = state("1e300D", "1D", "1D", coefficient("u", "1"), "u")
+    arguments = f"named_struct('a', {a}, 'b', {b}, 'x', {x})"
+    return (
+        f"aggregate(sequence(1, {FRACTION_TERMS}), transform(array({arguments}), u -> {start})[0],"
+        f" (s, j) -> {step}, s -> s.v)"
     )

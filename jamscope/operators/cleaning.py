@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jamscope.config import CleaningRules, ColumnMap
+from jamscope.functions import rows as sql
 from jamscope.functions.nulls import is_true, not_within
 from jamscope.functions.trips import (
     add_speed,
@@ -119,39 +120,25 @@ def clean_audit(
         F.sum("_m").alias("_rows"), F.count(F.lit(1)).alias("_distinct")
     )
     # One row per rule from here on.
-    is_first = F.col("_rule") == 1
-    totals = per_rule.agg(
-        F.coalesce(F.sum("_rows"), F.lit(0)).alias("_start"),
-        F.coalesce(F.sum(F.when(is_first, F.col("_rows"))), F.lit(0)).alias("_r1"),
-        F.coalesce(
-            F.sum(F.when(~is_first, F.col("_rows") - F.col("_distinct"))), F.lit(0)
-        ).alias("_r2"),
+    totals = per_rule.selectExpr(
+        "coalesce(sum(_rows), 0) AS _start",
+        "coalesce(sum(_rows) FILTER (WHERE _rule = 1), 0) AS _r1",
+        "coalesce(sum(_rows - _distinct) FILTER (WHERE _rule <> 1), 0) AS _r2",
         *[
-            F.coalesce(F.sum(F.when(F.col("_rule") == i, F.col("_distinct"))), F.lit(0)).alias(
-                f"_r{i}"
-            )
+            f"coalesce(sum(_distinct) FILTER (WHERE _rule = {i}), 0) AS _r{i}"
             for i in range(3, len(ordered) + 1)
         ],
     )
-    entries = [
-        F.struct(
-            F.lit(0).alias("step"),
-            F.lit("start").alias("rule"),
-            F.lit(0).cast("bigint").alias("removed"),
-        )
-    ]
-    entries += [
-        F.struct(
-            F.lit(i).alias("step"), F.lit(rule.name).alias("rule"), F.col(f"_r{i}").alias("removed")
-        )
-        for i, rule in enumerate(ordered, start=1)
-    ]
+    entries = [["0", "'start'", "0L"]]
+    entries += [[str(i), sql.text(rule.name), f"_r{i}"] for i, rule in enumerate(ordered, start=1)]
     so_far = (
         Window.partitionBy(F.lit(0))
         .orderBy("step")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    return totals.select("_start", F.inline(F.array(*entries))).select(
+    return totals.selectExpr(
+        "_start", sql.stack(["step", "rule", "removed"], entries)
+    ).select(
         "step",
         "rule",
         "removed",

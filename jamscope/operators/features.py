@@ -10,6 +10,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jamscope.functions import rows as sql
 from jamscope.operators.quantiles import quantile_table
 from jamscope.operators.stats import _long
 from jamscope.sources.tables import require_columns
@@ -43,18 +44,24 @@ def numeric_statistics(
         rows=None if rows is None else rows * len(numeric),
         staging=staging,
     ).select("variable", "median")
-    moments = train.agg(
+    measures = {
+        "known": "count({0})",
+        "n_null": "count_if({0} IS NULL)",
+        "m": "avg({0})",
+        "v": "coalesce(var_pop({0}), 0D)",
+    }
+    moments = train.selectExpr(
         *[
-            F.struct(
-                F.lit(n).alias("variable"),
-                F.count(n).alias("known"),
-                F.count_if(F.col(n).isNull()).alias("n_null"),
-                F.avg(n).alias("m"),
-                F.coalesce(F.var_pop(n), F.lit(0.0)).alias("v"),
-            ).alias(f"_{i}")
+            f"{expr.format(sql.name(n))} AS _{k}{i}"
             for i, n in enumerate(numeric)
+            for k, expr in measures.items()
         ]
-    ).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(numeric))])))
+    ).selectExpr(
+        sql.stack(
+            ["variable", *measures],
+            [[sql.text(n), *[f"_{k}{i}" for k in measures]] for i, n in enumerate(numeric)],
+        )
+    )
     known, holes = F.col("known"), F.col("n_null")
     mean = (known * F.col("m") + holes * F.col("median")) / (known + holes)
     apart, moved = F.col("m") - F.col("mean"), F.col("median") - F.col("mean")
@@ -79,16 +86,8 @@ def category_counts(train: DataFrame, nominal: Sequence[str]) -> DataFrame:
     The smallest code wins among equally frequent ones.  Columns: ``feature``,
     ``code``, ``n`` (NULLs included), ``mode`` (the column's most frequent code).
     """
-    long = train.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("feature"), F.col(n).cast("bigint").alias("code"))
-                    for n in nominal
-                ]
-            )
-        )
-    )
+    entries = [[sql.text(n), f"CAST({sql.name(n)} AS BIGINT)"] for n in nominal]
+    long = train.selectExpr(sql.stack(["feature", "code"], entries))
     counts = long.groupBy("feature", "code").agg(F.count(F.lit(1)).alias("n"))
     known = F.col("code").isNotNull()
     modes = counts.groupBy("feature").agg(

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jamscope.config import CleaningRules, ColumnMap
-from jamscope.functions.nulls import is_true, null_flag
+from jamscope.functions import rows as sql
+from jamscope.functions.nulls import is_true
 from jamscope.operators.quantiles import (
     IN_MEMORY_ROWS,
     count_values,
@@ -20,24 +21,12 @@ from jamscope.staging import StagingArea
 
 def _null_counts(df: DataFrame) -> DataFrame:
     """One row per column: position, name, NULLs, rows.  One pass, one row, then unpivoted."""
-    counts = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[
-            F.sum(null_flag(name)).alias(f"_n{i}")
-            for i, name in enumerate(df.columns)
-        ],
-    )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("position"),
-                F.lit(name).alias("column"),
-                F.coalesce(F.col(f"_n{i}"), F.lit(0)).cast("bigint").alias("n_null"),
-            )
-            for i, name in enumerate(df.columns)
-        ]
+    counts = df.selectExpr(
+        "count(*) AS _rows",
+        *[f"count_if({sql.name(c)} IS NULL) AS _n{i}" for i, c in enumerate(df.columns)],
     )
-    return counts.select("_rows", F.inline(entries))
+    entries = [[str(i), sql.text(c), f"_n{i}"] for i, c in enumerate(df.columns)]
+    return counts.selectExpr("_rows", sql.stack(["position", "column", "n_null"], entries))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -90,19 +79,14 @@ def sentinel_profile(
         F.count_if(unknown_rate).alias("_rate"),
         F.count_if(unknown_zone).alias("_zone"),
     )
-    entries = F.array(
-        F.struct(
-            F.lit("unknown_ratecode").alias("item"),
-            F.col("_rate").alias("n_rows"),
-            F.lit("keep as a category").alias("policy"),
-        ),
-        F.struct(
-            F.lit("unknown_zone").alias("item"),
-            F.col("_zone").alias("n_rows"),
-            F.lit("drop").alias("policy"),
-        ),
+    entries = sql.stack(
+        ["item", "n_rows", "policy"],
+        [
+            ["'unknown_ratecode'", "_rate", "'keep as a category'"],
+            ["'unknown_zone'", "_zone", "'drop'"],
+        ],
     )
-    return counts.select("_rows", F.inline(entries)).select(
+    return counts.selectExpr("_rows", entries).select(
         "item", "n_rows", F.try_divide(F.col("n_rows") * 100, F.col("_rows")).alias("pct"), "policy"
     )
 
@@ -117,9 +101,9 @@ def missing_patterns(df: DataFrame) -> DataFrame:
 
     ``pattern`` has one character per column, in column order, 1 = NULL.
     """
-    bits = F.concat(*[null_flag(n).cast("string") for n in df.columns])
+    bits = ", ".join(f"if({sql.name(c)} IS NULL, '1', '0')" for c in df.columns)
     return (
-        df.select(bits.alias("pattern"))
+        df.selectExpr(f"concat({bits}) AS pattern")
         .groupBy("pattern")
         .agg(F.count(F.lit(1)).alias("n_rows"))
     )
@@ -138,45 +122,41 @@ def missing_block(df: DataFrame) -> DataFrame:
         F.min(F.when(F.instr("pattern", "1") > 0, F.instr("pattern", "1"))).alias("_base")
     )
     with_base = patterns.crossJoin(F.broadcast(base))  # one row
-    base_bit = F.col("pattern").substr(F.col("_base"), F.lit(1))
+    base_bit = "substr(pattern, _base, 1)"
+    bits = [f"substr(pattern, {i + 1}, 1)" for i in range(len(names))]
+    counts = with_base.selectExpr(
+        "coalesce(sum(n_rows), 0) AS total",
+        f"coalesce(sum(n_rows) FILTER (WHERE {base_bit} = '1'), 0) AS base_rows",
+        *[
+            f"coalesce(sum(n_rows) FILTER (WHERE {b} = '1'), 0) AS _n{i}"
+            for i, b in enumerate(bits)
+        ],
+        *[
+            f"coalesce(sum(n_rows) FILTER (WHERE {b} <> {base_bit}), 0) AS _d{i}"
+            for i, b in enumerate(bits)
+        ],
+    )
 
-    def rows_where(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n_rows"))), F.lit(0))
+    def names_where(condition: str) -> str:
+        flagged = ", ".join(
+            f"if({condition.format(i=i)}, {sql.text(c)}, NULL)" for i, c in enumerate(names)
+        )
+        return f"array_compact(array({flagged}))"
 
-    bits = [F.col("pattern").substr(i + 1, 1) for i in range(len(names))]
-    counts = with_base.agg(
-        rows_where(F.lit(True)).alias("total"),
-        rows_where(base_bit == "1").alias("_base_rows"),
-        *[rows_where(bit == "1").alias(f"_n{i}") for i, bit in enumerate(bits)],
-        *[rows_where(bit != base_bit).alias(f"_d{i}") for i, bit in enumerate(bits)],
-    )
-    bearing = [F.col(f"_n{i}") > 0 for i in range(len(names))]
-    as_base = [known & (F.col(f"_d{i}") == 0) for i, known in enumerate(bearing)]
-    picked = counts.select(
+    picked = counts.selectExpr(
         "total",
-        "_base_rows",
-        _names_where(names, as_base).alias("_identical"),
-        _names_where(names, bearing).alias("_bearing"),
+        "base_rows",
+        names_where("_n{i} > 0 AND _d{i} = 0") + " AS identical",
+        names_where("_n{i} > 0") + " AS bearing",
     )
-    has_block = F.size("_identical") > 1
-    rows = F.when(has_block, F.col("_base_rows")).otherwise(F.lit(0))
-    return picked.select(
-        has_block.alias("has_block"),
-        F.array_join(
-            F.when(has_block, F.col("_identical")).otherwise(F.col("_bearing")), ","
-        ).alias("columns"),
-        rows.cast("bigint").alias("block_rows"),
-        F.coalesce(F.try_divide(rows, F.col("total")), F.lit(0.0)).alias("block_ratio"),
+    return picked.selectExpr(
+        "size(identical) > 1 AS has_block",
+        "array_join(if(size(identical) > 1, identical, bearing), ',') AS columns",
+        "if(size(identical) > 1, base_rows, 0) AS block_rows",
+        "coalesce(try_divide(if(size(identical) > 1, base_rows, 0), total), 0D) AS block_ratio",
     )
 
 
-def _names_where(names: Sequence[str], conditions: Sequence[Column]) -> Column:
-    flagged = F.array(
-        *[F.when(c, F.lit(n)) for n, c in zip(names, conditions, strict=True)]
-    )
-    return F.filter(flagged, lambda n: n.isNotNull())
-
-
 def missing_block_by_group(df: DataFrame, block_column: str, group: str) -> DataFrame:
     """Rows of each group inside and outside the block where ``block_column`` is NULL.
 
@@ -258,16 +238,7 @@ def quantile_interpolation(
     pairs = linear.select(*[F.col(k).alias(f"l_{k}") for k in named]).crossJoin(
         F.broadcast(nearest.select(*[F.col(k).alias(f"n_{k}") for k in named]))  # one row each
     )
-    entries = F.array(
-        *[
-            F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.col(f"l_{k}").alias("linear"),
-                F.col(f"n_{k}").alias("nearest"),
-            )
-            for k, p in named.items()
-        ]
-    )
-    return pairs.select(F.inline(entries)).withColumn(
+    entries = [[f"{float(p)!r}D", f"l_{k}", f"n_{k}"] for k, p in named.items()]
+    return pairs.selectExpr(sql.stack(["prob", "linear", "nearest"], entries)).withColumn(
         "differs", F.col("linear") != F.col("nearest")
     )

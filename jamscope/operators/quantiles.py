@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from jamscope.staging import Staged, StagingArea
 
-# Most distinct values of one group that a task may hold.
-IN_MEMORY_ROWS = 1_000_000
+# Most distinct values, of all groups together, that a task may hold.
+IN_MEMORY_ROWS = 2_000_000
 # Coarse buckets per factor e of the value, and linear parts of one bucket.
 BUCKETS_PER_E = 64
 BUCKET_PARTS = 4096

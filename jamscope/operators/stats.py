@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jamscope.config import ColumnMap, StudyConfig
+from jamscope.functions import rows as sql
 from jamscope.functions.nulls import is_true
 from jamscope.functions.student_t import two_sided_p
 from jamscope.functions.trips import in_hours
@@ -19,17 +20,8 @@ from jamscope.staging import StagingArea
 
 def _long(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
     """Columns turned into (variable, value) rows, as doubles."""
-    return df.select(
-        *keep,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(n).alias("variable"), F.col(n).cast("double").alias("value"))
-                    for n in names
-                ]
-            )
-        ),
-    )
+    entries = [[sql.text(n), f"CAST({sql.name(n)} AS DOUBLE)"] for n in names]
+    return df.selectExpr(*map(sql.name, keep), sql.stack(["variable", "value"], entries))
 
 
 def describe_numeric(
@@ -43,19 +35,25 @@ def describe_numeric(
     Columns that do not exist are left out.
     """
     names = available_columns(df, names)
-    moments = df.agg(
+    measures = {
+        "count": "count({0})",
+        "mean": "avg({0})",
+        "std": "stddev_samp({0})",
+        "min": "min(CAST({0} AS DOUBLE))",
+        "max": "max(CAST({0} AS DOUBLE))",
+    }
+    moments = df.selectExpr(
         *[
-            F.struct(
-                F.lit(n).alias("variable"),
-                F.count(n).alias("count"),
-                F.avg(n).alias("mean"),
-                F.stddev_samp(n).alias("std"),
-                F.min(F.col(n).cast("double")).alias("min"),
-                F.max(F.col(n).cast("double")).alias("max"),
-            ).alias(f"_{i}")
+            f"{expr.format(sql.name(n))} AS _{k}{i}"
             for i, n in enumerate(names)
+            for k, expr in measures.items()
         ]
-    ).select(F.inline(F.array(*[F.col(f"_{i}") for i in range(len(names))])))
+    ).selectExpr(
+        sql.stack(
+            ["variable", *measures],
+            [[sql.text(n), *[f"_{k}{i}" for k in measures]] for i, n in enumerate(names)],
+        )
+    )
     quartiles = quantile_table(
         _long(df, names),
         "value",
@@ -70,40 +68,38 @@ def describe_numeric(
     )
 
 
-def correlation_matrix(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair, in long form (row_var, col_var, r).
+def correlation_matrix(
+    df: DataFrame, names: Sequence[str], complete: bool = False
+) -> DataFrame:
+    """Pearson correlation of every pair, in long form (row_var, col_var, r), in one pass.
 
     Each pair uses the rows where both values are known; a constant column
-    gives NULL.  All pairs come from one pass.
+    gives NULL.  ``complete`` states that no value is NULL: then one variance
+    per column serves all its pairs.
     """
     names = available_columns(df, names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i + 1, len(names))]
-    sums = df.agg(
-        *[F.var_pop(n).alias(f"_{i}_{i}") for i, n in enumerate(names)],
-        *[_pearson(names[i], names[j]).alias(f"_{i}_{j}") for i, j in pairs],
-    )
-
-    def cell(i: int, j: int) -> Column:
+    known = {n: f"CAST({sql.name(n)} AS DOUBLE)" for n in names}
+    spreads = [f"var_pop({known[n]}) AS v{i}" for i, n in enumerate(names)]
+    for i, a in enumerate(names):
+        for j, b in enumerate(names[i + 1 :], start=i + 1):
+            spreads.append(f"covar_pop({known[a]}, {known[b]}) AS c{i}_{j}")
+            if not complete:
+                both = f"FILTER (WHERE {known[a]} IS NOT NULL AND {known[b]} IS NOT NULL)"
+                spreads.append(f"var_pop({known[a]}) {both} AS v{i}_{j}")
+                spreads.append(f"var_pop({known[b]}) {both} AS v{j}_{i}")
+
+    def cell(i: int, j: int) -> str:
         if i == j:
-            return F.when(F.col(f"_{i}_{i}") > 0, F.lit(1.0))
-        return F.col(f"_{min(i, j)}_{max(i, j)}")
+            return f"if(v{i} > 0, 1D, NULL)"
+        a, b = (f"v{i}", f"v{j}") if complete else (f"v{i}_{j}", f"v{j}_{i}")
+        return f"try_divide(c{min(i, j)}_{max(i, j)}, sqrt({a}) * sqrt({b}))"
 
     cells = [
-        F.struct(
-            F.lit(a).alias("row_var"), F.lit(b).alias("col_var"), cell(i, j).alias("r")
-        )
+        [sql.text(a), sql.text(b), cell(i, j)]
         for i, a in enumerate(names)
         for j, b in enumerate(names)
     ]
-    return sums.select(F.inline(F.array(*cells)))
-
-
-def _pearson(x: str, y: str) -> Column:
-    """Correlation over pairs of known values; unlike ``corr``, NULL for a constant column."""
-    a, b = F.col(x).cast("double"), F.col(y).cast("double")
-    return F.try_divide(
-        F.regr_sxy(a, b), F.sqrt(F.regr_sxx(a, b)) * F.sqrt(F.regr_syy(a, b))
-    )
+    return df.selectExpr(*spreads).selectExpr(sql.stack(["row_var", "col_var", "r"], cells))
 
 
 def top_correlations(
@@ -161,22 +157,15 @@ def welch_tests(
                 F.var_samp(v).alias(f"_v{side}{i}"),
             ]
     wide = df.groupBy(*by).agg(*moments)
-    long = wide.select(
-        *by,
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(test.name).alias("test"),
-                        *[
-                            F.col(f"_{k}{side}{i}").alias(f"{out}_{side}")
-                            for k, out in (("n", "n"), ("m", "mean"), ("v", "var"))
-                            for side in "ab"
-                        ],
-                    )
-                    for i, test in enumerate(tests)
-                ]
-            )
+    picked = ["n_a", "n_b", "mean_a", "mean_b", "var_a", "var_b"]
+    long = wide.selectExpr(
+        *map(sql.name, by),
+        sql.stack(
+            ["test", *picked],
+            [
+                [sql.text(test.name), *[f"_{k}{s}{i}" for k in "nmv" for s in "ab"]]
+                for i, test in enumerate(tests)
+            ],
         ),
     )
     too_few = (F.col("n_a") < 2) | (F.col("n_b") < 2)
@@ -204,7 +193,7 @@ def welch_tests(
         F.try_divide(F.col("mean_a") - F.col("mean_b"), F.sqrt(sa + sb)).alias("t"),
         dof.alias("dof"),
     )
-    return scored.withColumn("p", two_sided_p(F.col("t"), F.col("dof"))).withColumn(
+    return scored.withColumn("p", two_sided_p("t", "dof")).withColumn(
         "verdict", interpret_p(F.col("p"), alpha)
     )
 

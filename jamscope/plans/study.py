@@ -165,7 +165,10 @@ class TripStudy:
         )
 
     def correlations(self) -> DataFrame:
-        return stats.correlation_matrix(self.labelled, self.config.columns.statistics)
+        # Cleaning left no NULL in these columns.
+        return stats.correlation_matrix(
+            self.labelled, self.config.columns.statistics, complete=True
+        )
 
     def top_correlations(self, target: str = "speed_mph", n: int = 5) -> DataFrame:
         return stats.top_correlations(
