@@ -96,9 +96,10 @@ def draw_sample(
         }
     )
     keyed = feature_table(keyed, [*columns.features, *ROW_HASHES], labels)
-    # The forest reads the sample once per tree level: spread it over the cores.
-    cores = staging.spark.sparkContext.defaultParallelism
-    keyed = keyed.repartition(max(1, min(cores, n // MIN_PARTITION_ROWS)), ROW_HASHES[0])
+    if settings.sample_size is not None:
+        # The forest reads the sample once per tree level: spread it over the cores.
+        cores = staging.spark.sparkContext.defaultParallelism
+        keyed = keyed.repartition(max(1, min(cores, n // MIN_PARTITION_ROWS)), ROW_HASHES[0])
     return staging.stage(keyed, "model_sample")
 
 

@@ -29,9 +29,13 @@ def _null_counts(df: DataFrame) -> DataFrame:
     return counts.selectExpr("_rows", sql.stack(["position", "column", "n_null"], entries))
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """Columns that hold NULLs: count, percent of rows, and the NULL cells of the whole table."""
-    counts = _null_counts(df)
+def null_profile(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
+    """Columns that hold NULLs: count, percent of rows, and the NULL cells of the whole table.
+
+    With the table's ``patterns`` (see :func:`missing_patterns`) at hand the
+    table itself is not read.
+    """
+    counts = _null_counts(df) if patterns is None else _pattern_counts(df.columns, patterns)
     everywhere = Window.partitionBy(F.lit(0))  # as many rows as the table has columns
     return (
         counts.withColumn("total_null", F.sum("n_null").over(everywhere))
@@ -45,6 +49,19 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def _pattern_counts(columns: Sequence[str], patterns: DataFrame) -> DataFrame:
+    """What :func:`_null_counts` gives, from the NULL patterns."""
+    counts = patterns.selectExpr(
+        "coalesce(sum(n_rows), 0) AS _rows",
+        *[
+            f"coalesce(sum(n_rows) FILTER (WHERE substr(pattern, {i + 1}, 1) = '1'), 0) AS _n{i}"
+            for i in range(len(columns))
+        ],
+    )
+    entries = [[str(i), sql.text(c), f"_n{i}"] for i, c in enumerate(columns)]
+    return counts.selectExpr("_rows", sql.stack(["position", "column", "n_null"], entries))
+
+
 def null_count_reconcile(left: DataFrame, right: DataFrame) -> DataFrame:
     """NULLs per column of two tables, matched by column name.
 
@@ -109,7 +126,7 @@ def missing_patterns(df: DataFrame) -> DataFrame:
     )
 
 
-def missing_block(df: DataFrame) -> DataFrame:
+def missing_block(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """Do several columns share one and the same NULL mask?  One row with the verdict.
 
     As a base serves the first column that holds a NULL; ``columns`` names the
@@ -117,7 +134,7 @@ def missing_block(df: DataFrame) -> DataFrame:
     is no such block).
     """
     names = df.columns
-    patterns = missing_patterns(df)
+    patterns = missing_patterns(df) if patterns is None else patterns
     base = patterns.agg(
         F.min(F.when(F.instr("pattern", "1") > 0, F.instr("pattern", "1"))).alias("_base")
     )

@@ -23,6 +23,8 @@ from jamscope.staging import Staged, StagingArea
 
 # Most distinct values, of all groups together, that a task may hold.
 IN_MEMORY_ROWS = 2_000_000
+# Groups a task aggregates side by side before it goes over to sorting (Spark's default).
+GROUPS_IN_MEMORY = 128
 # Coarse buckets per factor e of the value, and linear parts of one bucket.
 BUCKETS_PER_E = 64
 BUCKET_PARTS = 4096
@@ -76,10 +78,13 @@ def quantiles_of_counts(
     in_memory_rows: int = IN_MEMORY_ROWS,
 ) -> DataFrame:
     """Quantiles from staged value counts; see :func:`quantile_table`."""
+    keys = _keys(by)
     if counts.rows > in_memory_rows:
-        keys = _keys(by)
-        held = _corner(counts.frame, keys, probs, method, staging, in_memory_rows)
-        return _assemble(held, probs, by, method)
+        # Before it spills, an aggregation keeps GROUPS_IN_MEMORY groups in a task.
+        widest = counts.frame.groupBy(*keys).count().agg(F.max("count")).first()[0]
+        if widest * GROUPS_IN_MEMORY > in_memory_rows:
+            held = _corner(counts.frame, keys, probs, method, staging, in_memory_rows)
+            return _assemble(held, probs, by, method)
     if method == "linear":
         return _built_in(counts.frame, probs, by, weight="_c")
     return _nearest_of_counts(counts.frame, probs, by)
@@ -249,7 +254,6 @@ def _corner(
     rank_keys = [*keys, "slot"]
     carried = [*rank_keys, "_b", "rank", "_total", "_mean"]
     state_columns = [*carried, "_below", "_low", "_high", "_distinct"]
-    widest = F.max("_distinct").alias("widest")
 
     coarse = counted.groupBy(*keys, "_b").agg(
         F.sum("_c").alias("_n"),
@@ -259,10 +263,10 @@ def _corner(
         F.max("_x").alias("_high"),
     )
     held = _holding_wanted_ranks(coarse, keys, "_b", probs, method)
-    state: Staged = staging.stage(held.select(*state_columns), "rank_buckets", widest)
+    state = staging.stage(held.select(*state_columns), "rank_buckets").frame
 
-    while (state.measures["widest"] or 0) > in_memory_rows:
-        inside = _values_inside(counted, state.frame, keys)
+    while (state.agg(F.max("_distinct")).first()[0] or 0) > in_memory_rows:
+        inside = _values_inside(counted, state, keys)
         parts = (
             inside.withColumn("_part", _part_of(F.col("_x"), F.col("_low"), F.col("_high")))
             .groupBy(*carried, "_below", "_part")
@@ -274,9 +278,9 @@ def _corner(
             )
         )
         held = _holding_own_rank(parts, rank_keys, "_part")
-        state = staging.stage(held.select(*state_columns), "rank_buckets", widest)
+        state = staging.stage(held.select(*state_columns), "rank_buckets").frame
 
-    return _holding_own_rank(_values_inside(counted, state.frame, keys), rank_keys, "_x")
+    return _holding_own_rank(_values_inside(counted, state, keys), rank_keys, "_x")
 
 
 def _values_inside(counted: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from jamscope.config import StudyConfig
 from jamscope.functions.trips import add_time_features
@@ -24,10 +26,10 @@ from jamscope.staging import Staged, StagingArea
 class TripStudy:
     """The stages of one study, each run at most once.
 
-    Three tables are staged because many results read them: the cleaned trips,
-    the route medians and the model sample.  Every result is a DataFrame over
-    these (or over the raw scan) and runs when it is used.  ``rows`` is an upper
-    bound of the raw rows, if known.
+    What several results read is staged: the cleaned trips, the route medians,
+    the model sample, and small tables that others are derived from.  Every
+    result is a DataFrame over these (or over the raw scan) and runs when it is
+    used.  ``rows`` is an upper bound of the raw rows, if known.
     """
 
     def __init__(
@@ -92,8 +94,13 @@ class TripStudy:
     def shape(self) -> DataFrame:
         return shape_reconcile(self.raw, self.raw)
 
+    @cached_property
+    def patterns(self) -> Staged:
+        """Which columns are missing together: one pass over the raw trips for three results."""
+        return self.staging.stage(quality.missing_patterns(self.trips), "patterns")
+
     def null_profile(self) -> DataFrame:
-        return quality.null_profile(self.trips)
+        return quality.null_profile(self.trips, self.patterns.frame)
 
     def null_counts(self, other: DataFrame) -> DataFrame:
         """NULL counts compared with another copy of the trips."""
@@ -103,10 +110,10 @@ class TripStudy:
         return quality.sentinel_profile(self.raw, self.config.columns, self.config.cleaning)
 
     def missing_patterns(self) -> DataFrame:
-        return quality.missing_patterns(self.raw)
+        return self.patterns.frame
 
     def missing_block(self) -> DataFrame:
-        return quality.missing_block(self.raw)
+        return quality.missing_block(self.trips, self.patterns.frame)
 
     def missing_block_by_vendor(self) -> DataFrame:
         c = self.config.columns
@@ -125,20 +132,24 @@ class TripStudy:
             self.raw, self.config.columns, keep_null_group, self.raw_rows, self.staging
         )
 
+    @cached_property
+    def _passenger_sides(self) -> tuple[DataFrame, DataFrame]:
+        """The passenger aggregate without and with its NULL group, for comparison."""
+        return tuple(
+            self.staging.stage(self.speed_by_passengers(keep), "passengers").frame
+            for keep in (False, True)
+        )
+
     def passenger_reconcile(self) -> DataFrame:
         return quality.aggregate_reconcile(
-            self.speed_by_passengers(keep_null_group=False),
-            self.speed_by_passengers(keep_null_group=True),
+            *self._passenger_sides,
             self.config.columns.passengers,
             ["trips", "mean_speed", "median_speed"],
-        )
+        ).orderBy(F.asc_nulls_last(self.config.columns.passengers))
 
     def passenger_reconcile_summary(self) -> DataFrame:
         return quality.aggregate_reconcile_summary(
-            self.speed_by_passengers(keep_null_group=False),
-            self.speed_by_passengers(keep_null_group=True),
-            self.config.columns.passengers,
-            "trips",
+            *self._passenger_sides, self.config.columns.passengers, "trips"
         )
 
     def audit(self) -> DataFrame:
@@ -164,11 +175,16 @@ class TripStudy:
             self.labelled, self.config.columns.statistics, self.clean.rows, self.staging
         )
 
-    def correlations(self) -> DataFrame:
+    @cached_property
+    def _correlations(self) -> Staged:
         # Cleaning left no NULL in these columns.
-        return stats.correlation_matrix(
+        matrix = stats.correlation_matrix(
             self.labelled, self.config.columns.statistics, complete=True
         )
+        return self.staging.stage(matrix, "correlations")
+
+    def correlations(self) -> DataFrame:
+        return self._correlations.frame
 
     def top_correlations(self, target: str = "speed_mph", n: int = 5) -> DataFrame:
         return stats.top_correlations(
@@ -178,11 +194,15 @@ class TripStudy:
     def speed_pivot(self) -> DataFrame:
         return aggregates.speed_hour_dow_pivot(self.labelled)
 
-    def hourly(self, label: str = "jam_abs") -> DataFrame:
-        return aggregates.hourly_summary(self.labelled, label)
+    @cached_property
+    def _hourly(self) -> Staged:
+        return self.staging.stage(aggregates.hourly_summary(self.labelled), "hourly")
+
+    def hourly(self) -> DataFrame:
+        return self._hourly.frame.orderBy("hour")
 
     def hourly_extremes(self) -> DataFrame:
-        return aggregates.hourly_extremes(self.hourly())
+        return aggregates.hourly_extremes(self._hourly.frame)
 
     def zones(self) -> DataFrame:
         return aggregates.zone_jam_topk(
@@ -243,8 +263,23 @@ class TripStudy:
 
     # Everything ---------------------------------------------------------------
 
-    def tables(self, with_models: bool = True) -> dict[str, DataFrame]:
+    def _stage_shared(self, parallel: int) -> None:
+        """Stage what several tables share; steps that do not need each other run side by side."""
+        with ThreadPoolExecutor(max_workers=parallel) as pool:
+            steps = [
+                pool.submit(lambda: self.patterns),
+                pool.submit(lambda: self._passenger_sides),
+            ]
+            steps.append(pool.submit(lambda: self.labels))
+            steps[-1].result()
+            steps.append(pool.submit(lambda: self._correlations))
+            steps.append(pool.submit(lambda: self._hourly))
+            for step in steps:
+                step.result()
+
+    def tables(self, with_models: bool = True, parallel: int = 4) -> dict[str, DataFrame]:
         """All result tables by name."""
+        self._stage_shared(parallel)
         results = {
             "scan_shape": self.shape(),
             "quantile_interpolation": self.distance_quantiles(),
@@ -279,7 +314,7 @@ class TripStudy:
         self, directory: str, fmt: str = "parquet", with_models: bool = True, parallel: int = 4
     ) -> dict[str, str]:
         """Compute and write all tables, and the fitted models below ``models/``."""
-        paths = write_tables(self.tables(with_models), directory, fmt, parallel)
+        paths = write_tables(self.tables(with_models, parallel), directory, fmt, parallel)
         if with_models:
             for name, evaluation in self._evaluations.items():
                 paths[f"model_{name}"] = forest.save_model(

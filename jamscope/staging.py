@@ -11,22 +11,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from dataclasses import dataclass, field
-from functools import lru_cache
-from typing import Any
+from functools import cached_property, lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
-@dataclass(frozen=True)
 class Staged:
-    """A written table, its number of rows and further measures taken of it."""
+    """A written table.  ``rows`` is counted when first asked for, from what was written."""
 
-    frame: DataFrame
-    rows: int
-    path: str
-    measures: dict[str, Any] = field(default_factory=dict)
+    def __init__(self, frame: DataFrame, path: str) -> None:
+        self.frame = frame
+        self.path = path
+
+    @cached_property
+    def rows(self) -> int:
+        return self.frame.count()
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -55,14 +54,8 @@ class StagingArea:
         self.spark = spark
         self.path = f"{(root or checkpoint_root(spark)).rstrip('/')}/jamscope-{uuid.uuid4().hex}"
 
-    def stage(self, df: DataFrame, name: str, *measures: Column) -> Staged:
-        """Write ``df`` once; the result reads the written copy.
-
-        ``measures`` are aliased aggregates to take of the written table.
-        """
+    def stage(self, df: DataFrame, name: str) -> Staged:
+        """Write ``df`` once; the result reads the written copy."""
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
-        written = self.spark.read.schema(df.schema).parquet(path)
-        # Counted from what was written, not while writing: a repeated task cannot distort it.
-        values = written.agg(F.count(F.lit(1)).alias("rows"), *measures).first().asDict()
-        return Staged(written, rows=int(values.pop("rows")), path=path, measures=values)
+        return Staged(self.spark.read.schema(df.schema).parquet(path), path)

@@ -191,7 +191,7 @@ def _quantiles() -> str:
 
 
 def _audit(start: str, ctes: str) -> str:
-    counts = [f"SELECT 0 AS step, 'start' AS rule, count(*) AS remaining FROM s0"]
+    counts = ["SELECT 0 AS step, 'start' AS rule, count(*) AS remaining FROM s0"]
     counts += [
         f"SELECT {i} AS step, '{name}' AS rule, count(*) AS remaining FROM s{i}"
         for i, (name, _) in enumerate(STEPS, start=1)
@@ -416,8 +416,6 @@ def _label_profile() -> str:
 
 
 def _block() -> str:
-    masks = ", ".join(f"max(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END)" for c in TRIP_COLUMNS)
-    del masks
     nulls = _null_counts("trips", "n")
     differs = _union(
         [
@@ -445,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         f"passenger_count, trips, {r('mean_speed')} AS mean_speed, "
         f"{r('median_speed')} AS median_speed"
     )
-    pattern = " || ".join(f"CAST({c} IS NULL AS INTEGER)::VARCHAR" for c in TRIP_COLUMNS)
+    pattern = " || ".join(f"CAST({c} IS NULL AS INTEGER)::VARCHAR" for c in FEATURED_COLUMNS)
     welch = {n: _welch(n, flag, value) for n, (flag, value) in TESTS.items()}
     return {
         "scan_shape": _with(
@@ -508,7 +506,7 @@ marked AS (SELECT * REPLACE (CASE WHEN ratecode_id <> 99 THEN ratecode_id END AS
               'drop' FROM trips""",
         ),
         "missing_patterns": _with(
-            TRIPS, f"SELECT {pattern} AS pattern, count(*) AS n_rows FROM trips GROUP BY 1"
+            FEAT, f"SELECT {pattern} AS pattern, count(*) AS n_rows FROM feat GROUP BY 1"
         ),
         "missing_block": _with(TRIPS, _block()),
         "missing_block_by_group": _with(

@@ -177,6 +177,14 @@ def test_missing_patterns(spark):
     assert {(r["pattern"], r["n_rows"]) for r in found} == {("01", 2), ("10", 1), ("00", 1)}
 
 
+def test_null_profile_with_and_without_patterns(spark):
+    df = frame_of_masks(spark, ["011", "011", "001", "000"])
+    expected = {("b", 2, 50.0, 5), ("c", 3, 75.0, 5)}
+    patterns = quality.missing_patterns(df)
+    assert {tuple(r) for r in quality.null_profile(df).collect()} == expected
+    assert {tuple(r) for r in quality.null_profile(df, patterns).collect()} == expected
+
+
 def test_null_counts_of_tables_that_differ(spark):
     a = spark.createDataFrame([(None, 1), (2, None)], "a int, b int")
     b = spark.createDataFrame([(None,), (None,)], "a int")
