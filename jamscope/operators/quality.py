@@ -10,12 +10,8 @@ from pyspark.sql import functions as F
 from jamscope.config import CleaningRules, ColumnMap
 from jamscope.functions import rows as sql
 from jamscope.functions.nulls import is_true
-from jamscope.operators.quantiles import (
-    IN_MEMORY_ROWS,
-    count_values,
-    quantile_table,
-    quantiles_of_counts,
-)
+from jamscope.operators import quantiles
+from jamscope.operators.quantiles import count_values, quantile_table, quantiles_of_counts
 from jamscope.staging import StagingArea
 
 
@@ -243,7 +239,7 @@ def quantile_interpolation(
 ) -> DataFrame:
     """Quantiles with linear and nearest-rank interpolation, and whether the two differ."""
     named = {f"q{i}": p for i, p in enumerate(probs)}
-    if rows is not None and rows <= IN_MEMORY_ROWS:
+    if rows is not None and rows <= quantiles.IN_MEMORY_ROWS:
         linear = quantile_table(df, column, named, rows=rows)
         nearest = quantile_table(df, column, named, method="nearest", rows=rows)
     else:

@@ -39,7 +39,7 @@ def quantile_table(
     method: str = "linear",
     rows: int | None = None,
     staging: StagingArea | None = None,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of a numeric column: one row per group, NULL keys kept.
 
@@ -51,7 +51,7 @@ def quantile_table(
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile method: {method}")
-    small = rows is not None and rows <= in_memory_rows
+    small = rows is not None and rows <= (in_memory_rows or IN_MEMORY_ROWS)
     if small and method == "linear":
         return _built_in(_known_values(df, value, by), probs, by)
     if small:
@@ -75,10 +75,11 @@ def quantiles_of_counts(
     by: Sequence[str],
     method: str,
     staging: StagingArea,
-    in_memory_rows: int = IN_MEMORY_ROWS,
+    in_memory_rows: int | None = None,
 ) -> DataFrame:
     """Quantiles from staged value counts; see :func:`quantile_table`."""
     keys = _keys(by)
+    in_memory_rows = in_memory_rows or IN_MEMORY_ROWS
     if counts.rows > in_memory_rows:
         # Before it spills, an aggregation keeps GROUPS_IN_MEMORY groups in a task.
         widest = counts.frame.groupBy(*keys).count().agg(F.max("count")).first()[0]

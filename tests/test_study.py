@@ -7,7 +7,7 @@ from conftest import TESTDATA
 from pyspark.sql import functions as F
 
 from jamscope.functions.trips import add_time_features
-from jamscope.operators import aggregates
+from jamscope.operators import aggregates, quantiles
 from jamscope.plans.order_trips import order_trip_config, order_trips
 from jamscope.plans.study import TripStudy
 from jamscope.sources.tables import (
@@ -115,6 +115,36 @@ def test_audit_and_labels(spark, scale, least, remaining, rows):
     assert study.labels.abs_threshold == pytest.approx(2.8)
 
 
+def test_large_tables_give_the_same_results(small_study, monkeypatch):
+    """The path for tables beyond a task's memory, forced on the whole study."""
+    names = [
+        "distance_quantiles",
+        "speed_by_passengers",
+        "label_meta",
+        "label_profile",
+        "describe",
+        "labelled",
+    ]
+
+    def results(study):
+        tables = {n: getattr(study, n) for n in names}
+        tables = {n: t() if callable(t) else t for n, t in tables.items()}
+        return {
+            n: sorted(
+                [
+                    tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
+                    for row in t.collect()
+                ]
+            )
+            for n, t in tables.items()
+        }
+
+    expected = results(small_study)
+    monkeypatch.setattr(quantiles, "IN_MEMORY_ROWS", 200)
+    forced = small_study.with_config(min_route_trips=10)
+    assert results(forced) == expected
+
+
 def test_labels_without_reliable_routes(small_study):
     none = small_study.with_config(min_route_trips=10**6)
     assert none.labelled.count() == 0
