@@ -25,6 +25,13 @@ COLUMNS = ORDER_TRIP_COLUMNS
 KEY_COLUMNS = KEYS.split(", ")
 _studies: dict[tuple[str, str], TripStudy] = {}
 
+# The corpus operators are optional: without them the rest works alone.
+try:
+    import corpus_pipeline
+    from jamscope.llm import queries as corpus_queries
+except ImportError:
+    corpus_pipeline = corpus_queries = None
+
 
 def study_of(spark: SparkSession, sf_dir: str) -> TripStudy:
     """The study of a folder; its staged tables serve all queries of a session."""
@@ -254,8 +261,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def registered(build: Callable[[TripStudy], DataFrame]):
         return lambda spark, sf_dir: rounded(build(study_of(spark, sf_dir)))
 
-    return {name: registered(build) for name, build in table.items()}
+    own = {name: registered(build) for name, build in table.items()}
+    if corpus_queries is None:
+        return own
+    return own | corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle_queries.oracle_sql()
+    own = oracle_queries.oracle_sql()
+    if corpus_queries is None:
+        return own
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return own | corpus_queries.oracle_sql() | pipeline
