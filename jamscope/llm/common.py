@@ -139,3 +139,17 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def shingle_spans(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of ``size`` words of each text (all its words, if they are fewer).
+
+    ``first`` is that of a :class:`WordBuffer`.  Returns where each text's
+    shingles begin, and the first and last word of every shingle.
+    """
+    words = np.diff(first)
+    count = np.where(words >= size, words - size + 1, np.minimum(words, 1))
+    begin = np.concatenate([[0], np.cumsum(count)])
+    place = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
+    last = np.minimum(place + size, np.repeat(first[1:], count)) - 1
+    return begin, place, last

@@ -28,7 +28,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import WordBuffer, chunks, mixed, scattered, text_bytes
+from jamscope.llm.common import WordBuffer, chunks, mixed, scattered, shingle_spans, text_bytes
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
@@ -46,18 +46,15 @@ _EMPTY = np.uint64((1 << 64) - 1)
 
 def shingle_hashes(words: WordBuffer, size: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all shingles, text after text, and where each text's shingles begin."""
-    h = words.hashes()
-    n = np.diff(words.first)
-    count = np.where(n >= size, n - size + 1, np.minimum(n, 1))
-    begin = np.concatenate([[0], np.cumsum(count)])
-    place = np.repeat(words.first[:-1] - begin[:-1], count) + np.arange(begin[-1])
-    left = np.repeat(words.first[1:], count) - place
+    begin, place, last = shingle_spans(words.first, size)
+    left = last - place + 1
+    padded = np.concatenate([words.hashes(), np.zeros(size, np.uint64)])
     total = np.zeros(len(place), dtype=np.uint64)
     padded = np.concatenate([h, np.zeros(size, np.uint64)])
     for k in range(size):
         # A short text's only shingle ends with it.
         part = np.where(k < left, padded[place + k], np.uint64(0))
-        total = mixed(total * np.uint64(3) + part) if k == 0 else total * np.uint64(0xD6E8FEB86659FD93) + part
+        total = mixed(total * np.uint64(0xD6E8FEB86659FD93) + part)
     return mixed(total), begin
 
 

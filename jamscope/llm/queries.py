@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jamscope.llm import fingerprints, language, mixing, quality, toxicity
+from jamscope.llm import fingerprints, language, mixing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +31,17 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language_report(docs)
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.Mixture(docs).report()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_fingerprints, op6_toxicity, op8_language, op10_mixing)
+    found = (op1_quality_rules, op2_fingerprints, op6_toxicity, op8_language, op9_simhash, op10_mixing)
     return {f.__name__: f for f in found}
 
 
