@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jamscope.llm import fingerprints, language, mixing, quality, simhash, toxicity
+from jamscope.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.bpe_report(docs, bpe.Bpe.read(public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.language_report(docs)
@@ -41,7 +47,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_fingerprints, op6_toxicity, op8_language, op9_simhash, op10_mixing)
+    found = (op1_quality_rules, op2_fingerprints, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
     return {f.__name__: f for f in found}
 
 
