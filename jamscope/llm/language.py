@@ -131,7 +131,7 @@ def learn(
     """Learn from about ``sample`` rows of ``doc_id``, ``text``, ``lang`` that may be learned from."""
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
     total = known.select("doc_id", "lang").count()
-    rows = known.select("lang", "text").sample(min(1.0, sample / total) if total else 1.0, seed)
+    rows = known.select("lang", "text").sample(fraction=min(1.0, sample / total) if total else 1.0, seed=seed)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -178,7 +178,7 @@ class QualityCascade:
         """Measure every rule on about ``rows`` rows drawn from the whole table."""
         total = docs.count()
         share = min(1.0, rows / total) if total else 1.0
-        sample = staged(docs.select(F.col(text).alias("text")).sample(share, seed=7), "quality")
+        sample = staged(docs.select(F.col(text).alias("text")).sample(fraction=share, seed=7), "quality")
         body = F.col("text")
 
         def run(condition: Column) -> tuple[float, int]:

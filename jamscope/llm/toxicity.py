@@ -243,7 +243,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 3
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
     # About ``rows`` rows of two numbers: small enough for every executor.
-    chosen = F.broadcast(known.sample(min(1.0, rows / total) if total else 1.0, seed))
+    chosen = F.broadcast(known.sample(fraction=min(1.0, rows / total) if total else 1.0, seed=seed))
     return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
 
 
