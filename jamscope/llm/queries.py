@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jamscope.llm import bpe, fingerprints, language, mixing, quality, simhash, toxicity, urls
+from jamscope.llm import bpe, fingerprints, language, mixing, quality, simhash, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.token_report(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_report(table(spark, sf_dir, "pages").select("page_id", "url"))
 
@@ -51,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_fingerprints, op5_urls, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
+    found = (op1_quality_rules, op2_fingerprints, op4_token_counts, op5_urls, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
     return {f.__name__: f for f in found}
 
 
