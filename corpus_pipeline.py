@@ -2,19 +2,49 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from jamscope.llm import quality
+from jamscope.llm import bpe, lines, mixing, quality, simhash
 from jamscope.llm.common import staged
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
     return quality.QualityCascade().fit(docs).filter(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one."""
+    return lines.deduplicated(docs)
 
-#: Near-duplicate groups and a pseudorandom mix are beyond SQL.
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes, as documents; a text taken twice is there twice."""
+    return mixing.Mixture(docs).mixed_documents()
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text, and the text they decode to."""
+    model = bpe.Bpe.read(public_tokenizers.path("word_bpe_49k.json"))
+    encoded = bpe.encode(docs, model, keep=["doc_id", "source"])
+    return bpe.decode(encoded, model)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("SimHash near-dedup", near_dedup),
+    ("source mix", source_mix),
+    ("BPE", bpe_tokens),
+]
+
+#: Near-duplicate groups, the mix and the tokens are beyond SQL.
 ORACLE_SQL = None
 
 

@@ -153,3 +153,69 @@ def shingle_spans(first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray,
     place = np.repeat(first[:-1] - begin[:-1], count) + np.arange(begin[-1])
     last = np.minimum(place + size, np.repeat(first[1:], count)) - 1
     return begin, place, last
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], names: list[str], limit: int | None
+) -> Iterator[tuple[bool, list[np.ndarray]]]:
+    """Whole groups of a stream that is sorted by its first column, as numpy columns.
+
+    A group may go over batches; it is held until it is complete.  With a
+    ``limit``, larger groups are not held: their rows come as they are, marked
+    by True.
+    """
+    rest: list[np.ndarray] | None = None
+    hot = None  # the key of a group whose rows are passed on
+    for batch in batches:
+        columns = [np.asarray(batch.column(n)) for n in names]
+        if rest is not None:
+            columns = [np.concatenate([x, y]) for x, y in zip(rest, columns, strict=True)]
+        if not len(columns[0]):
+            continue
+        if hot is not None:
+            n = int(np.searchsorted(columns[0], hot, side="right"))
+            if n:
+                yield True, [c[:n] for c in columns]
+            columns, rest = [c[n:] for c in columns], None
+            if not len(columns[0]):
+                continue
+            hot = None
+        key = columns[0]
+        cut = int(np.searchsorted(key, key[-1], side="left"))
+        done = [c[:cut] for c in columns]
+        rest = [c[cut:] for c in columns]
+        if limit is not None and cut:
+            starts = np.flatnonzero(np.diff(done[0], prepend=done[0][0] - 1))
+            size = np.diff(np.append(starts, cut))
+            big = np.repeat(size > limit, size)
+            if big.any():
+                yield True, [c[big] for c in done]
+                done = [c[~big] for c in done]
+        if len(done[0]):
+            yield False, done
+        if limit is not None and len(rest[0]) > limit:
+            hot = rest[0][0]
+            yield True, rest
+            rest = None
+    if rest is not None and len(rest[0]):
+        yield False, rest
+
+
+def dealt_in_blocks(hot: DataFrame, key: str, spread: str, block_rows: int) -> DataFrame:
+    """Rows of large groups, each with every pair of blocks of its group that has its own block.
+
+    Any two rows of a group meet under one new ``key`` at least; a group under a
+    new key has about ``2 * block_rows`` rows.
+    """
+    sizes = hot.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__n"))
+    own = F.pmod(F.xxhash64(F.lit(17), spread), F.col("__n")).cast("int")
+    others = [c for c in hot.columns if c != key]
+    return (
+        hot.join(sizes, key)
+        .withColumn("__own", own)
+        .withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+        .select(
+            F.xxhash64(key, F.least("__own", "__other"), F.greatest("__own", "__other")).alias(key),
+            *others,
+        )
+    )

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from jamscope.llm import bpe, fingerprints, language, mixing, quality, simhash, token_counts, toxicity, urls
+from jamscope.llm import bpe, fingerprints, language, lines, mixing, quality, simhash, token_counts, toxicity, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.line_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_report(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -56,12 +62,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_fingerprints, op4_token_counts, op5_urls, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
+    found = (op1_quality_rules, op2_fingerprints, op3_lines, op4_token_counts, op5_urls, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": OP1_SQL}
+    return {"op1_quality_rules": OP1_SQL, "op3_lines": OP3_SQL}
 
 
 OP1_SQL = r"""
@@ -98,3 +104,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words) AS kept
 FROM judged
 """
+
+OP3_SQL = r"""
+WITH raw AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (
+  SELECT doc_id, line, list_sort(list_distinct(words)) AS words FROM (
+    SELECT doc_id, i - 1 AS line, regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM raw))
+  WHERE len(words) > 0),
+sets AS (
+  SELECT row_number() OVER () AS s, words, len(words) AS n, first FROM (
+    SELECT words, min((doc_id, line)) AS first FROM lines GROUP BY words)),
+tokens AS (SELECT s, n, first, unnest(words) AS word FROM sets),
+pairs AS (
+  SELECT a.s, b.s AS other, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM tokens a JOIN tokens b
+    ON a.word = b.word AND b.first < a.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+  GROUP BY a.s, b.s),
+late AS (SELECT DISTINCT s FROM pairs WHERE 5 * c >= 4 * (n + m - c)),
+gone AS (
+  SELECT doc_id, list_sort(list_distinct(list(line::INTEGER))) AS removed
+  FROM lines JOIN sets USING (words)
+  WHERE (doc_id, line) > first OR s IN (SELECT s FROM late) GROUP BY doc_id)
+SELECT doc_id, len(parts)::INTEGER AS n_lines,
+  len(coalesce(removed, []::INTEGER[]))::INTEGER AS n_removed,
+  coalesce(array_to_string(removed, ','), '') AS removed
+FROM raw LEFT JOIN gone USING (doc_id)
+"""

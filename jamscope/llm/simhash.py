@@ -44,9 +44,11 @@ from jamscope.llm.common import (
     _SPACE,
     WordBuffer,
     chunks,
+    dealt_in_blocks,
     scattered,
     shingle_spans,
     signed,
+    sorted_groups,
     staged,
     text_bytes,
 )
@@ -253,49 +255,12 @@ def _linked(limit: int | None):
     """Compares a stream sorted by key and side; groups beyond ``limit`` rows are sent on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[np.ndarray] | None = None  # rows whose group may go on in the next batch
-        hot = None  # the key of a group that is being sent on
-
-        def handled(columns: list[np.ndarray]) -> pa.RecordBatch:
-            key, value, side = columns
-            return _link_batch(*forest(*compared(key, value, side)))
-
-        for batch in batches:
-            columns = [np.asarray(batch.column(c)) for c in ("key", "fp", "side")]
-            columns[1] = columns[1].view(np.uint64)
-            if rest is not None:
-                columns = [np.concatenate([x, y]) for x, y in zip(rest, columns, strict=True)]
-            key = columns[0]
-            if not len(key):
-                continue
-            if hot is not None:
-                n = int(np.searchsorted(key, hot, side="right"))
-                if n:
-                    yield _link_batch(columns[1][:n], None, key[:n], columns[2][:n])
-                columns = [c[n:] for c in columns]
-                key = columns[0]
-                if not len(key):
-                    rest = None
-                    continue
-                hot = None
-            cut = int(np.searchsorted(key, key[-1], side="left"))
-            if limit is not None:
-                size = np.diff(np.append(np.flatnonzero(np.diff(key, prepend=key[0] - 1)), len(key)))
-                big = np.repeat(size > limit, size)
-                big[cut:] = False
-                done = np.arange(len(key)) < cut
-                if big.any():
-                    yield _link_batch(columns[1][big], None, key[big], columns[2][big])
-                yield handled([c[done & ~big] for c in columns])
-            elif cut:
-                yield handled([c[:cut] for c in columns])
-            rest = [c[cut:] for c in columns]
-            if limit is not None and len(rest[0]) > limit:
-                hot = rest[0][0]
-                yield _link_batch(rest[1], None, rest[0], rest[2])
-                rest = None
-        if rest is not None and len(rest[0]):
-            yield handled(rest)
+        for hot, (key, value, side) in sorted_groups(batches, ["key", "fp", "side"], limit):
+            value = value.view(np.uint64)
+            if hot:
+                yield _link_batch(value, None, key, side)
+            else:
+                yield _link_batch(*forest(*compared(key, value, side)))
 
     return run
 
@@ -311,21 +276,8 @@ def near_links(values: DataFrame) -> DataFrame:
     first = staged(sorted_.mapInArrow(_linked(GROUP_ROWS), LINKS), "simhash")
     links = first.where("b IS NOT NULL").select("a", "b")
     hot = first.where("b IS NULL").select("key", F.col("a").alias("fp"), "side")
-    # Groups sent on: every row goes to each pair of blocks that has its own block.
-    sizes = hot.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("n"))
-    block = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-    dealt = (
-        hot.join(sizes, "key")
-        .withColumn("own", block)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(
-            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
-            "fp",
-            "side",
-        )
-        .repartition(parts, "key")
-        .sortWithinPartitions("key", "side")
-    )
+    dealt = dealt_in_blocks(hot, "key", "fp", BLOCK_ROWS)
+    dealt = dealt.repartition(parts, "key").sortWithinPartitions("key", "side")
     return links.unionByName(dealt.mapInArrow(_linked(None), LINKS).select("a", "b"))
 
 
