@@ -50,7 +50,6 @@ def shingle_hashes(words: WordBuffer, size: int = SHINGLE_WORDS) -> tuple[np.nda
     left = last - place + 1
     padded = np.concatenate([words.hashes(), np.zeros(size, np.uint64)])
     total = np.zeros(len(place), dtype=np.uint64)
-    padded = np.concatenate([h, np.zeros(size, np.uint64)])
     for k in range(size):
         # A short text's only shingle ends with it.
         part = np.where(k < left, padded[place + k], np.uint64(0))
