@@ -13,10 +13,10 @@ stays if it is the first of its word set and no similar set begins earlier.
    and a 64-bit parity map of the set.
 3. Postings meet by word in sorted streams.  Length filter, positional filter
    and the parity map (whose differing bits are a lower bound of the differing
-   words) leave few false candidates.  A set sends on its first candidates of a
-   word, and a mark if there were more.
-4. Candidates are verified on their full word sets.  Marked sets of which no
-   candidate holds are joined with all their candidates, so none is lost.
+   words) leave few false candidates.  One similar set is enough to decide, so a
+   set sends on its likeliest candidate and a mark if there were more.
+4. Candidates are verified on their full word sets.  Marked sets whose candidate
+   does not hold are joined with all their candidates, so none is lost.
 
 Groups beyond ``GROUP_ROWS`` postings are dealt out anew as pairs of blocks.
 Copies of a line in one batch give one posting, so frequent lines stay small.
@@ -56,8 +56,6 @@ SIMILAR = (4, 5)
 COUNT_BITS = 20
 FILTER_BITS = 22
 SEGMENTS = 64
-#: Candidates of a set that one word sends on at first.
-FIRST_CANDIDATES = 2
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
 #: Comparisons made at once.
@@ -183,8 +181,9 @@ def _posted(ids: np.ndarray, sets: LineSets) -> pa.RecordBatch:
 
 
 def _compared(limit: int | None):
-    """For a stream of postings sorted by word and place: the first earlier sets that pass the
-    filters; rows of groups beyond ``limit`` as they are."""
+    """For a stream of postings sorted by word and place: of each set the likeliest earlier set
+    that passes the filters, with ``n`` for the differing bits of the parity maps; rows of
+    groups beyond ``limit`` as they are."""
     names = [f.split()[0] for f in POSTING.split(", ")]
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -210,17 +209,17 @@ def _compared(limit: int | None):
             good = may_match(n[i], n[j], at[i], at[j], parity[i], parity[j])
             i, j = i[good], j[good]
             if len(i):
+                differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32)
+                order = np.lexsort((j, differ, i))
+                i, j, differ = i[order], j[order], differ[order]
                 begin = np.flatnonzero(np.diff(i, prepend=-1))
-                count = np.diff(np.append(begin, len(i)))
-                rank = np.arange(len(i)) - np.repeat(begin, count)
-                more = np.repeat(count > FIRST_CANDIDATES, count)
-                kept = rank < FIRST_CANDIDATES
-                i, j, more = i[kept], j[kept], more[kept]
+                more = np.diff(np.append(begin, len(i))) > 1
+                i, j, differ = i[begin], j[begin], differ[begin]
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-                rest = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int32(), pa.int32())]
-                ends = [pa.array(set_id[j]), pa.array(more)]
+                ends = [pa.nulls(len(i), pa.int64()), pa.array(differ), pa.nulls(len(i), pa.int32())]
+                ends += [pa.array(set_id[j]), pa.array(more)]
                 yield pa.RecordBatch.from_arrays(
-                    [*none, pa.array(set_id[i]), *rest, *ends], names=[*names, "other", "more"]
+                    [*none, pa.array(set_id[i]), *ends], names=[*names, "other", "more"]
                 )
             low = high
 
@@ -322,18 +321,24 @@ class LineIndex:
         counts = found.where("segment IS NOT NULL").select("segment", "content")
         self.rarity = rarities(_summed(counts, np.add, np.uint32))
 
-    def postings(self) -> DataFrame:
-        rarity = self.spark.sparkContext.broadcast(self.rarity)
+    def postings(self, column: str = "", wanted: BucketFilter | None = None) -> DataFrame:
+        """All postings, or those whose ``column`` passes a filter."""
+        shared = self.spark.sparkContext.broadcast((self.rarity, wanted))
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rarity, wanted = shared.value
             for batch in batches:
-                for ids, sets in _line_sets(batch, rarity.value):
-                    yield _posted(ids, sets)
+                for ids, sets in _line_sets(batch, rarity):
+                    found = _posted(ids, sets)
+                    if wanted is not None:
+                        found = found.filter(pa.array(wanted(np.asarray(found.column(column)))))
+                    yield found
 
         return self.docs.mapInArrow(post, POSTING)
 
     def candidates(self) -> DataFrame:
-        """``set_id``, an earlier ``other`` that may be similar, and whether there are ``more``."""
+        """Of each set that has any, an earlier ``other`` that may be similar, the likeliest one,
+        and whether there are ``more``."""
 
         def compared(postings: DataFrame, limit: int | None) -> DataFrame:
             rows = postings.repartition(self.parts, "word")
@@ -344,9 +349,13 @@ class LineIndex:
         first = staged(compared(self.postings(), GROUP_ROWS), "candidates")
         hot = first.where("other IS NULL").drop("other", "more")
         dealt = dealt_in_blocks(hot, "word", "set_id", BLOCK_ROWS)
-        pairs = first.where("other IS NOT NULL").select("set_id", "other", "more")
-        again = compared(dealt, None).select("set_id", "other", "more")
-        return pairs.unionByName(again).groupBy("set_id", "other").agg(F.max("more").alias("more"))
+        pairs = first.where("other IS NOT NULL").select("set_id", "n", "other", "more")
+        again = compared(dealt, None).select("set_id", "n", "other", "more")
+        best = pairs.unionByName(again).groupBy("set_id").agg(
+            F.min(F.struct("n", "other")).alias("best"),
+            (F.max("more") | (F.min("other") != F.max("other"))).alias("more"),
+        )
+        return best.select("set_id", F.col("best.other").alias("other"), "more")
 
     def word_sets(self, wanted: BucketFilter) -> DataFrame:
         """``set_id`` and ``words`` of the sets that pass a filter."""
@@ -393,12 +402,18 @@ class LineIndex:
         return found.unionByName(self._thorough(open_))
 
     def _thorough(self, open_: DataFrame) -> DataFrame:
-        """Late ones among sets whose first candidates were all false: all candidates are tried."""
+        """Late ones among sets whose likeliest candidate was false: all candidates are tried."""
         a, b = SIMILAR
-        firsts = self.postings().groupBy("word", "set_id", "parity", "n", "at").agg(
-            F.min(F.struct("doc_id", "line")).alias("place")
-        )
-        x, y = firsts.join(open_, "set_id").alias("x"), firsts.alias("y")
+
+        def firsts(postings: DataFrame) -> DataFrame:
+            return postings.groupBy("word", "set_id", "parity", "n", "at").agg(
+                F.min(F.struct("doc_id", "line")).alias("place")
+            )
+
+        own = firsts(self.postings("set_id", BucketFilter(open_)).join(open_, "set_id"))
+        own = staged(own, "open-postings")
+        theirs = firsts(self.postings("word", BucketFilter(own.select("word"))))
+        x, y = own.alias("x"), theirs.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
         needed = F.ceil((n + m) * a / (a + b))
         rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
