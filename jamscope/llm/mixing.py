@@ -40,7 +40,7 @@ SHARD_DRAWS = 1 << 16
 SEED = 42
 
 #: Rows of one bucket of a source, on average.
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 5_000
 #: Sources come to the driver one row each; more than this is an error.
 MOST_SOURCES = 100_000
 
@@ -230,7 +230,8 @@ class Mixture:
         times = self.draws().groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
         begin = F.greatest(F.col("block") * size, F.col("start"))
         end = F.least((F.col("block") + 1) * size, F.col("start") + F.col("size"))
-        return pieces.join(times, ["number", "block"]).select(
+        # A block row is many times what its document's size suggests: nothing to broadcast.
+        return pieces.join(times.hint("merge"), ["number", "block"]).select(
             "doc_id",
             "number",
             "source",
@@ -269,7 +270,9 @@ class Mixture:
         # Rows that agree in id, source and size take any of the places found for such rows.
         rank = F.row_number().over(Window.partitionBy(*same).orderBy("start"))
         chosen = chosen.withColumn("rank", rank).select(
-            *[F.col(c).alias(f"__{c}") for c in same], F.col("rank").alias("__rank"), F.col("u").alias("__u")
+            *[F.col(c).alias(f"__{c}") for c in same],
+            F.col("rank").alias("__rank"),
+            F.col("u").alias("__u"),
         )
         columns = self.docs.columns
         rows = self.docs.withColumn("__n", word_count(F.col("text"))).withColumn(
