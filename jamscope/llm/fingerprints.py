@@ -6,11 +6,13 @@ shingle hashes, taken over pieces of a text in numpy, of which the smallest
 value stays.  Signatures estimate the Jaccard similarity of the shingle sets:
 the share of equal places.
 
-``near_duplicates`` finds all documents that belong together: equal texts fall
-into one class first; equal bands of signatures give candidates, in a band's
-group every member with the smallest and with its neighbour by signature, so a
-group of n gives at most 2n candidates and none is emitted twice over; the
-Jaccard similarity of the shingle sets is verified; components give classes.
+``near_duplicates`` puts similar documents into classes: equal texts fall into
+one class first; signature bands are hashed, and in a band's group every text is
+a candidate with the first and the last of the group, so a group of n gives at
+most 2n candidates; the Jaccard similarity of the shingle sets of candidates is
+verified; connected components give the classes.  A similar pair that no chain
+of such candidates connects is not found; with 32 bands of four rows, a pair at
+similarity 0.8 shares a band all but surely, and most share several.
 
 Defined results: NULL counts as empty; texts without words have the fingerprint
 of the empty set, which is like itself (1) and unlike others (0); equal texts
@@ -28,7 +30,18 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import WordBuffer, chunks, mixed, scattered, shingle_spans, text_bytes
+from jamscope.llm.common import (
+    WordBuffer,
+    chunks,
+    mixed,
+    scattered,
+    shingle_spans,
+    signed,
+    staged,
+    text_bytes,
+)
+from jamscope.llm.components import components
+from jamscope.llm.lines import BucketFilter
 
 SHINGLE_WORDS = 5
 PERMUTATIONS = 128
@@ -81,6 +94,66 @@ def signatures(texts: list[bytes]) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32)
 
 
+def _band_keys(found: np.ndarray) -> np.ndarray:
+    """Hashes of the bands (texts x bands) of signatures."""
+    bands = found.reshape(len(found), PERMUTATIONS // BAND_ROWS, BAND_ROWS).astype(np.uint64)
+    keys = np.zeros(bands.shape[:2], dtype=np.uint64)
+    for k in range(BAND_ROWS):
+        keys = mixed(keys * np.uint64(0xD6E8FEB86659FD93) + bands[:, :, k])
+    return keys + np.arange(bands.shape[1], dtype=np.uint64)
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id`` and ``class_id``, the smallest id of its class, of every row."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = _band_keys(signatures(text_bytes(batch.column("text"))))
+            arrays = [batch.column("doc_id"), batch.column("h")]
+            arrays.append(pa.array(list(signed(keys)), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "bands"])
+
+    marked = staged(rows.mapInArrow(banded, "doc_id long, h long, bands array<long>"), "bands")
+    texts = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("b"))
+    keyed = texts.select("h", F.explode("b").alias("key"))
+    ends = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
+    pairs = keyed.join(ends, "key").select("h", F.explode(F.array("x", "y")).alias("other"))
+    pairs = staged(
+        pairs.where("h != other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(),
+        "pairs",
+    )
+    wanted = BucketFilter(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, texts = np.asarray(batch.column("h")), text_bytes(batch.column("text"))
+            chosen = np.flatnonzero(shared.value(h))
+            found = [np.unique(shingle_hashes(WordBuffer([texts[i]]))[0]) for i in chosen]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "h": pa.array(h[chosen]),
+                    "s": pa.array([signed(f) for f in found], pa.list_(pa.int64())),
+                }
+            )
+
+    full = rows.mapInArrow(sets, "h long, s array<long>").dropDuplicates(["h"])
+    x = full.select(F.col("h").alias("a"), F.col("s").alias("x"))
+    y = full.select(F.col("h").alias("b"), F.col("s").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    similar = common >= similarity * (F.size("x") + F.size("y") - common)
+    links = pairs.join(x, "a").join(y, "b").where(similar).select("a", "b")
+    roots = components(links).withColumnRenamed("node", "h")
+    rooted = texts.select("h", "least").join(roots, "h", "left")
+    rooted = rooted.withColumn("root", F.coalesce("root", "h"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
+    return marked.select("doc_id", "h").join(
+        rooted.join(least, "root").select("h", "class_id"), "h"
+    ).select("doc_id", "class_id")
+
+
 def printed(signature: np.ndarray) -> str:
     return signature.astype(">u4").tobytes().hex()
 
@@ -125,6 +198,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     ids = docs.select("doc_id", F.col("doc_id").cast("double").alias("id"))
     shares = [i / parts for i in range(1, parts)]
     bounds = sorted(set(ids.approxQuantile("id", shares, 0.2 / parts))) if parts > 1 else []
+    bounds = bounds or [0.0]  # no ids, or one partition
     cut = Bucketizer(
         splits=[float("-inf"), *bounds, float("inf")],
         inputCol="id",
@@ -180,9 +254,9 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
             rows = [batch.column(c).to_pylist() for c in ("place", "more", "doc_id")]
             texts = text_bytes(batch.column("text"))
             for low, high in chunks(texts):
-                signed = list(signatures(texts[low:high]))
+                found = list(signatures(texts[low:high]))
                 held = [(p, m, i, t.decode("utf-8", "replace"), s) for p, m, i, t, s in zip(
-                    *(r[low:high] for r in rows), texts[low:high], signed, strict=True
+                    *(r[low:high] for r in rows), texts[low:high], found, strict=True
                 )]
                 pairs = [
                     (a, b)
