@@ -36,7 +36,10 @@ from jamscope.llm.common import held_out, text_bytes
 SAMPLE_DOCUMENTS = 20_000
 #: Words that labels can add to the lexicon.
 MOST_LEARNED = 500
+#: A learned word stands in so many toxic texts at least, and in this share of them, so that
+#: the words of one much-copied text do not join.
 MIN_SUPPORT = 8
+MIN_SHARE = 0.1
 MIN_LOG_ODDS = 2.5
 #: Log odds of a listed word that the sample does not have.
 PRIOR_WEIGHT = 3.0
@@ -283,7 +286,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> T
     listed = {folded(w).strip() for w in INSULTS}
     listed |= {w + "s" for w in listed}
     scored = counted.where("word != ''").withColumn("odds", odds)
-    strong = (F.col("toxic") >= MIN_SUPPORT) & (F.col("odds") >= MIN_LOG_ODDS)
+    support = max(MIN_SUPPORT, MIN_SHARE * toxic)
+    strong = (F.col("toxic") >= support) & (F.col("odds") >= MIN_LOG_ODDS)
     best = scored.where(strong).orderBy(F.desc("toxic"), "word").limit(MOST_LEARNED).collect()
     weights = {w: PRIOR_WEIGHT for w in listed}
     for row in scored.where(F.col("word").isin(sorted(listed))).collect():
