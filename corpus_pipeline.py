@@ -32,8 +32,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and the text they decode to."""
     model = bpe.Bpe.read(public_tokenizers.path("word_bpe_49k.json"))
-    encoded = bpe.encode(docs, model, keep=["doc_id", "source"])
-    return bpe.decode(encoded, model)
+    return bpe.round_trip(docs, model, keep=["doc_id", "source"])
 
 
 STAGES = [

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from jamscope.llm.common import chunks, text_bytes
 
 #: Bytes of text whose distinct words are merged together.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 
 
 def byte_letters() -> list[str]:
@@ -291,6 +291,20 @@ def decode(docs: DataFrame, model: Bpe, ids: str = "ids", keep: list[str] | None
     return _mapped(docs, ids, keep, [("decoded", "string")], work)
 
 
+def round_trip(docs: DataFrame, model: Bpe, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode`` and ``decode`` in one pass: ``ids`` and ``decoded`` beside the ``keep`` columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep or docs.columns if c not in ("ids", "decoded")]
+
+    def work(batch: pa.RecordBatch):
+        for low, high, texts in _texts_of(batch, "__in"):
+            found = [i.astype(np.int32) for i in shared.value.encode(texts)]
+            decoded = pa.array([shared.value.decode(i.tolist()) for i in found], pa.string())
+            yield low, high, [pa.array(found, pa.list_(pa.int32())), decoded]
+
+    return _mapped(docs, text, keep, [("ids", "array<int>"), ("decoded", "string")], work)
+
+
 def bpe_report(docs: DataFrame, model: Bpe) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
