@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import chunks, text_bytes
+from jamscope.llm.common import small_batches, text_bytes
 
 #: Bytes of text whose distinct words are merged together.
 CHUNK = 1 << 22
@@ -244,9 +244,11 @@ def _alternating(touching: np.ndarray) -> np.ndarray:
 
 
 def _texts_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[str]]]:
-    texts = text_bytes(batch.column(name))
-    for low, high in chunks(texts, CHUNK):
-        yield low, high, [t.decode("utf-8", "replace") for t in texts[low:high]]
+    low = 0
+    for part in small_batches([batch], name, CHUNK):
+        texts = [t.decode("utf-8", "replace") for t in text_bytes(part.column(name))]
+        yield low, low + len(texts), texts
+        low += len(texts)
 
 
 def _mapped(docs: DataFrame, column: str, keep: list[str], added: list[tuple[str, str]], work):

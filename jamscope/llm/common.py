@@ -78,6 +78,22 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def small_batches(
+    batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices with about ``limit`` bytes of text; a longer text is alone."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start = total = 0
+        for i, n in enumerate(size.tolist()):
+            if i > start and total + n > limit:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if batch.num_rows > start:
+            yield batch.slice(start)
+
+
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 

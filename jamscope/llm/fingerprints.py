@@ -37,6 +37,7 @@ from jamscope.llm.common import (
     scattered,
     shingle_spans,
     signed,
+    small_batches,
     staged,
     text_bytes,
 )
@@ -109,7 +110,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rows = rows.withColumn("h", F.xxhash64("text"))
 
     def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             keys = _band_keys(signatures(text_bytes(batch.column("text"))))
             arrays = [batch.column("doc_id"), batch.column("h")]
             arrays.append(pa.array(list(signed(keys)), pa.list_(pa.int64())))
@@ -128,7 +129,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             h, texts = np.asarray(batch.column("h")), text_bytes(batch.column("text"))
             chosen = np.flatnonzero(shared.value(h))
             found = [np.unique(shingle_hashes(WordBuffer([texts[i]]))[0]) for i in chosen]
@@ -169,7 +170,7 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "__text"):
             found = signatures(text_bytes(batch.column("__text")))
             arrays = [batch.column(c) for c in others]
             arrays.append(pa.array([printed(s) for s in found], pa.string()))
@@ -250,7 +251,7 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the row before: place, id, text and signature
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             rows = [batch.column(c).to_pylist() for c in ("place", "more", "doc_id")]
             texts = text_bytes(batch.column("text"))
             for low, high in chunks(texts):

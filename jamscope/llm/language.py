@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import chunks, held_out, mixed, text_bytes
+from jamscope.llm.common import chunks, held_out, mixed, small_batches, text_bytes
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -136,7 +136,7 @@ def learn(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             langs, texts = batch.column("lang").to_pylist(), text_bytes(batch.column("text"))
             for lang, text in zip(langs, texts, strict=True):
                 if lang not in sums:
@@ -185,7 +185,7 @@ def identify(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, "__text"):
             texts = text_bytes(batch.column("__text"))
             logs, lettered = model.scores(texts)
             if model.languages:

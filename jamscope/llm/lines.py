@@ -45,6 +45,7 @@ from jamscope.llm.common import (
     mixed,
     scattered,
     signed,
+    small_batches,
     sorted_groups,
     staged,
     text_bytes,
@@ -136,7 +137,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All lines with words; and at last the word counts of the task, in segments."""
     counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
     names = [f.split()[0] for f in COUNTED.split(", ")]
-    for batch in batches:
+    for batch in small_batches(batches, "text"):
         for ids, sets in _line_sets(batch, None):
             bucket = (sets.all_words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
             counts += np.bincount(bucket, minlength=len(counts)).astype(np.uint32)
@@ -327,7 +328,7 @@ class LineIndex:
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rarity, wanted = shared.value
-            for batch in batches:
+            for batch in small_batches(batches, "text"):
                 for ids, sets in _line_sets(batch, rarity):
                     found = _posted(ids, sets)
                     if wanted is not None:
@@ -362,7 +363,7 @@ class LineIndex:
         shared = self.spark.sparkContext.broadcast(wanted)
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small_batches(batches, "text"):
                 for _, sets in _line_sets(batch, None):
                     _, chosen = np.unique(sets.ids, return_index=True)
                     chosen = chosen[shared.value(sets.ids[chosen])]

@@ -48,6 +48,7 @@ from jamscope.llm.common import (
     scattered,
     shingle_spans,
     signed,
+    small_batches,
     sorted_groups,
     staged,
     text_bytes,
@@ -287,7 +288,7 @@ def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = No
     rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "__text"):
             values = fingerprints(text_bytes(batch.column("__text")))
             arrays = [batch.column(c) for c in others] + [pa.array(signed(values))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "fp"])

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import held_out, text_bytes
+from jamscope.llm.common import held_out, small_batches, text_bytes
 
 #: Labelled documents that are learned from, on average.
 SAMPLE_DOCUMENTS = 20_000
@@ -257,7 +257,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> T
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {"": [0, 0]}
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             toxic = batch.column("toxic").to_pylist()
             for text, label in zip(text_bytes(batch.column("text")), toxic, strict=True):
                 found = {""}
@@ -299,7 +299,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> T
         return model
 
     def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, "text"):
             pairs = [model.measure(t) for t in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_pydict(
                 {
@@ -327,7 +327,7 @@ def score(
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in small_batches(batches, "__text"):
             pairs = [model.measure(t) for t in text_bytes(batch.column("__text"))]
             values = np.array(pairs, dtype=float).reshape(-1, 2)
             arrays = [batch.column(c) for c in others]
