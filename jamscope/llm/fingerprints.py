@@ -196,10 +196,10 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     hash of their text; NULL ids are the last range.
     """
     parts = scattered(docs)
+    ranges = 4 * parts  # so that partitions, which get ranges by hash, are even
     ids = docs.select("doc_id", F.col("doc_id").cast("double").alias("id"))
-    shares = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(ids.approxQuantile("id", shares, 0.2 / parts))) if parts > 1 else []
-    bounds = bounds or [0.0]  # no ids, or one partition
+    shares = [i / ranges for i in range(1, ranges)]
+    bounds = sorted(set(ids.approxQuantile("id", shares, 0.2 / ranges))) or [0.0]
     cut = Bucketizer(
         splits=[float("-inf"), *bounds, float("inf")],
         inputCol="id",
