@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -56,6 +57,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of jobs whose results are staged.
+
+    Spark does so whenever the driver's garbage happens to be collected; asking
+    for it keeps a long operator from holding all its steps on disk at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def scattered(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -10,7 +10,7 @@ stays if it is the first of its word set and no similar set begins earlier.
 2. A second pass orders the words of each distinct set by rarity, after that
    table; any order gives a right result, a good one few candidates.  The first
    words (prefix filter) become postings with the set's size, the word's place
-   and a 64-bit parity map of the set.
+   and a parity map of the set, of up to 256 bits.
 3. Postings meet by word in sorted streams.  Length filter, positional filter
    and the parity map (whose differing bits are a lower bound of the differing
    words) leave few false candidates.  One similar set is enough to decide, so a
@@ -42,6 +42,7 @@ from jamscope.llm.common import (
     WordBuffer,
     chunks,
     dealt_in_blocks,
+    forget_shuffles,
     mixed,
     scattered,
     signed,
@@ -60,7 +61,9 @@ SEGMENTS = 64
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
 #: Comparisons made at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
+#: 64-bit words of the widest parity maps.
+MAP_WORDS = 4
 LAST_ID = (1 << 63) - 1
 
 
@@ -91,12 +94,20 @@ class LineSets:
         self.line = whole - first_line[self.text]
         if len(self.begin):
             sums = np.add.reduceat(mixed(self.words ^ np.uint64(0x5851F42D4C957F2D)), self.begin)
-            bits = np.uint64(1) << (self.words >> np.uint64(58))
-            self.parity = np.bitwise_xor.reduceat(bits, self.begin)
+            self.parity = self._parities()
         else:
-            sums = self.parity = np.zeros(0, np.uint64)
+            sums, self.parity = np.zeros(0, np.uint64), np.zeros((MAP_WORDS, 0), np.uint64)
         self.ids = signed(mixed(sums + self.size.astype(np.uint64)))
 
+    def _parities(self) -> np.ndarray:
+        """Which of a map's bits an odd number of words falls on; larger sets have wider maps."""
+        bit = np.uint64(1) << (self.words & np.uint64(63))
+        wide = np.repeat(map_words(self.size), self.size)
+        place = (self.words >> np.uint64(6)).astype(np.int64) & (wide - 1)
+        none = np.uint64(0)
+        maps = [np.where(place == k, bit, none) for k in range(MAP_WORDS)]
+        return np.stack([np.bitwise_xor.reduceat(m, self.begin) for m in maps])
+
     @staticmethod
     def _order(line: np.ndarray, words: np.ndarray, rarity: np.ndarray | None) -> np.ndarray:
         """Sorts by line, then rarity, then word."""
@@ -119,18 +130,43 @@ def prefix_sizes(size: np.ndarray) -> np.ndarray:
     return size - (a * size + b - 1) // b + 1
 
 
-def may_match(nx, ny, px, py, bits_x, bits_y) -> np.ndarray:
+def map_words(size: np.ndarray) -> np.ndarray:
+    """How many 64-bit words a set's parity map has: a power of two."""
+    return np.where(size <= 48, 1, np.where(size <= 96, 2, MAP_WORDS))
+
+
+def differing(nx, ny, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of two columns of parity maps, the wider one folded to the other's width."""
+    wx, wy = map_words(nx), map_words(ny)
+    least = np.minimum(wx, wy)
+    total = np.zeros(len(nx), dtype=np.int64)
+    halves = x ^ y
+    # Words beyond a map's width are zero, so the difference can be folded as it is.
+    for width in (4, 2):
+        fold = least < width
+        for k in range(width // 2):
+            halves[k] = np.where(fold, halves[k] ^ halves[k + width // 2], halves[k])
+            halves[k + width // 2] = np.where(fold, np.uint64(0), halves[k + width // 2])
+    for k in range(MAP_WORDS):
+        total += np.bitwise_count(halves[k])
+    return total
+
+
+def may_match(nx, ny, px, py, differ) -> np.ndarray:
     """Length, positional and parity filter for sets that share a word of their prefixes."""
     a, b = SIMILAR
     least, most = np.minimum(nx, ny), np.maximum(nx, ny)
     needed = -(-a * (nx + ny) // (a + b))
-    bound = np.minimum(px, py) + 1 + np.minimum(nx - px, ny - py) - 1
-    differ = np.bitwise_count(bits_x ^ bits_y).astype(np.int64)
+    bound = np.minimum(px, py) + np.minimum(nx - px, ny - py)
     return (b * least >= a * most) & (bound >= needed) & (differ <= nx + ny - 2 * needed)
 
 
 COUNTED = "doc_id long, line int, set_id long, segment int, content binary"
-POSTING = "word long, doc_id long, line int, set_id long, parity long, n int, at int"
+MAPS = ("p0", "p1", "p2", "p3")
+POSTING = (
+    "word long, doc_id long, line int, set_id long, n int, at int, "
+    "p0 long, p1 long, p2 long, p3 long"
+)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,9 +210,9 @@ def _posted(ids: np.ndarray, sets: LineSets) -> pa.RecordBatch:
             "doc_id": pa.array(doc[row], pa.int64()),
             "line": pa.array(sets.line[row].astype(np.int32)),
             "set_id": pa.array(sets.ids[row]),
-            "parity": pa.array(signed(sets.parity[row])),
             "n": pa.array(sets.size[row].astype(np.int32)),
             "at": pa.array(at.astype(np.int32)),
+            **{name: pa.array(signed(sets.parity[k][row])) for k, name in enumerate(MAPS)},
         }
     )
 
@@ -192,8 +228,9 @@ def _compared(limit: int | None):
         order = np.lexsort((columns[3], columns[0]))
         again = np.zeros(len(order), dtype=bool)
         again[order[1:]] = (np.diff(columns[0][order]) == 0) & (np.diff(columns[3][order]) == 0)
-        word, doc, line, set_id, parity, n, at = (c[~again] for c in columns)
-        parity, n, at = parity.view(np.uint64), n.astype(np.int64), at.astype(np.int64)
+        word, doc, line, set_id, n, at, *maps = (c[~again] for c in columns)
+        n, at = n.astype(np.int64), at.astype(np.int64)
+        parity = np.stack(maps).view(np.uint64)
         start = np.searchsorted(word, word, side="left")
         many = np.arange(len(word)) - start
         rows = np.flatnonzero(many)
@@ -207,17 +244,18 @@ def _compared(limit: int | None):
             j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
             good = (set_id[i] != set_id[j]) & ((doc[i] != doc[j]) | (line[i] != line[j]))
             i, j = i[good], j[good]
-            good = may_match(n[i], n[j], at[i], at[j], parity[i], parity[j])
-            i, j = i[good], j[good]
+            differ = differing(n[i], n[j], parity[:, i], parity[:, j])
+            good = may_match(n[i], n[j], at[i], at[j], differ)
+            i, j, differ = i[good], j[good], differ[good].astype(np.int32)
             if len(i):
-                differ = np.bitwise_count(parity[i] ^ parity[j]).astype(np.int32)
                 order = np.lexsort((j, differ, i))
                 i, j, differ = i[order], j[order], differ[order]
                 begin = np.flatnonzero(np.diff(i, prepend=-1))
                 more = np.diff(np.append(begin, len(i))) > 1
                 i, j, differ = i[begin], j[begin], differ[begin]
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.int32())]
-                ends = [pa.nulls(len(i), pa.int64()), pa.array(differ), pa.nulls(len(i), pa.int32())]
+                ends = [pa.array(differ), pa.nulls(len(i), pa.int32())]
+                ends += [pa.nulls(len(i), pa.int64())] * MAP_WORDS
                 ends += [pa.array(set_id[j]), pa.array(more)]
                 yield pa.RecordBatch.from_arrays(
                     [*none, pa.array(set_id[i]), *ends], names=[*names, "other", "more"]
@@ -348,6 +386,7 @@ class LineIndex:
             )
 
         first = staged(compared(self.postings(), GROUP_ROWS), "candidates")
+        forget_shuffles(self.spark)
         hot = first.where("other IS NULL").drop("other", "more")
         dealt = dealt_in_blocks(hot, "word", "set_id", BLOCK_ROWS)
         pairs = first.where("other IS NOT NULL").select("set_id", "n", "other", "more")
@@ -396,6 +435,7 @@ class LineIndex:
         ends = pairs.select("set_id").unionByName(pairs.select(F.col("other").alias("set_id")))
         sets = staged(self.word_sets(BucketFilter(ends)), "sets")
         found = staged(self._verified(pairs, sets), "late")
+        forget_shuffles(self.spark)
         open_ = pairs.where("more").select("set_id").distinct().join(found, "set_id", "left_anti")
         open_ = staged(open_, "open")
         if open_.isEmpty():
@@ -407,7 +447,7 @@ class LineIndex:
         a, b = SIMILAR
 
         def firsts(postings: DataFrame) -> DataFrame:
-            return postings.groupBy("word", "set_id", "parity", "n", "at").agg(
+            return postings.groupBy("word", "set_id", "n", "at").agg(
                 F.min(F.struct("doc_id", "line")).alias("place")
             )
 
@@ -418,13 +458,11 @@ class LineIndex:
         n, m = F.col("x.n"), F.col("y.n")
         needed = F.ceil((n + m) * a / (a + b))
         rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
-        differ = F.bit_count(F.col("x.parity").bitwiseXOR(F.col("y.parity")))
         pairs = x.join(y, F.col("x.word") == F.col("y.word")).where(
             (F.col("y.place") < F.col("x.place"))
             & (F.col("x.set_id") != F.col("y.set_id"))
             & (F.least(n, m) * b >= F.greatest(n, m) * a)
             & (F.least("x.at", "y.at") + rest >= needed)
-            & (differ <= n + m - needed * 2)
         )
         pairs = staged(
             pairs.select("x.set_id", F.col("y.set_id").alias("other")).distinct(), "all-pairs"
