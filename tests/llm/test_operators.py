@@ -34,6 +34,39 @@ from jamscope.llm import (
 SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
+ODD_TEXTS = [
+    None,
+    "",
+    " \n\t\n ",
+    "One",
+    "one two three four five six",
+    "one two three four five six",
+    "é ü 日本語 😀 <|endoftext|> don't stop",
+    "a\nb\na\n\n b ",
+    "the cat sat on the mat and the dog sat on the log while the cat sat on the mat again today",
+    " ".join(f"w{i % 977}" for i in range(60_000)),
+]
+
+
+@pytest.fixture
+def odd_docs(spark):
+    """NULLs in every column, empty and long texts, repeated rows and ids, odd names beside."""
+    rows = [(i, t, "en", f"s{i % 3}", 0) for i, t in enumerate(ODD_TEXTS)]
+    rows += [(None, "null id text", None, None, None), (4, ODD_TEXTS[4], "en", "s1", 0)]
+    rows += [(5, "another text of the same id", None, "s1", None), (-7, None, None, None, None)]
+    rows += [rows[-1]]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    extra = {c: docs.doc_id for c in ("words", "size", "fp", "bucket", "start", "line", "id", "n")}
+    return docs.withColumns(extra)
+
+
+@pytest.fixture
+def no_docs(odd_docs):
+    return odd_docs.limit(0)
+
+
 
 @pytest.fixture(scope="module")
 def small(spark):
