@@ -6,7 +6,6 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,12 +36,31 @@ def study_of(spark: SparkSession, sf_dir: str) -> TripStudy:
     """The study of a folder; its staged tables serve all queries of a session."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _studies:
-        # No route of the smallest folder has 30 trips.
-        least = 10 if os.path.basename(sf_dir.rstrip("/")) == "sf0.001" else 30
-        _studies[key] = TripStudy.of_view(order_trips(spark, sf_dir), order_trip_config(least))
+        trips = order_trips(spark, sf_dir)
+        _studies[key] = TripStudy.of_view(
+            trips, order_trip_config(), other=doubled(marked(trips))
+        )
     return _studies[key]
 
 
+def marked(trips: DataFrame) -> DataFrame:
+    """The trips with NULL for the unknown rate code."""
+    rate = F.col(COLUMNS.ratecode)
+    return trips.withColumn(COLUMNS.ratecode, F.when(rate != 99, rate))
+
+
+def other_block(trips: DataFrame) -> DataFrame:
+    """The trips with their block of missing values in other columns and other rows."""
+    first = F.col("l_linenumber") == 1
+    filled = {
+        COLUMNS.passengers: F.coalesce(COLUMNS.passengers, F.lit(0)),
+        COLUMNS.ratecode: F.coalesce(COLUMNS.ratecode, F.lit(1)),
+        "store_flag": F.coalesce("store_flag", F.lit("O")),
+    }
+    emptied = {c: F.when(~first, F.col(c)) for c in (COLUMNS.tip, COLUMNS.total)}
+    return trips.withColumns(filled | emptied)
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, without negative zeros, for comparison between engines."""
     doubles = set(double_columns(df))
@@ -78,13 +96,11 @@ def arithmetic_split(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def entry(spark: SparkSession) -> DataFrame:
     """Trips, mean speed and congestion by hour, from raw trips to labels, at the smallest scale."""
     trips = order_trips(spark, "/root/testdata/sf0.001")
-    return TripStudy.of_view(trips, order_trip_config(min_route_trips=10)).hourly()
+    return TripStudy.of_view(trips, order_trip_config()).hourly()
 
 
-def _null_count_reconcile(s: TripStudy) -> DataFrame:
-    rate = F.col(COLUMNS.ratecode)
-    marked = s.raw.withColumn(COLUMNS.ratecode, F.when(rate != 99, rate))
-    return s.null_counts(marked)
+def _other_block(s: TripStudy) -> DataFrame:
+    return TripStudy(other_block(s.raw), s.config, s.staging).missing_block_by_vendor()
 
 
 def _speed_feature(s: TripStudy) -> DataFrame:
@@ -102,7 +118,7 @@ def _absolute_label(s: TripStudy) -> DataFrame:
 def _impute_median(s: TripStudy) -> DataFrame:
     train, test = arithmetic_split(s.trips)
     numeric = COLUMNS.numeric_features
-    fitted = features.fit_scalings(train, numeric, s.raw_rows, s.staging)
+    fitted = features.fit_scalings(train, numeric, s.staging)
     filled = features.impute_median(test, {n: x.median for n, x in fitted.items()})
     return filled.select(*KEY_COLUMNS, *numeric)
 
@@ -110,7 +126,7 @@ def _impute_median(s: TripStudy) -> DataFrame:
 def _standardize(s: TripStudy) -> DataFrame:
     train, test = arithmetic_split(s.trips)
     numeric = COLUMNS.numeric_features
-    fitted = features.fit_scalings(train, numeric, s.raw_rows, s.staging)
+    fitted = features.fit_scalings(train, numeric, s.staging)
     return features.standardize(test, fitted).select(*KEY_COLUMNS, *numeric)
 
 
@@ -126,11 +142,10 @@ def _feature_width(s: TripStudy) -> DataFrame:
         COLUMNS.numeric_features,
         COLUMNS.nominal_features,
         MODEL_MIN_ROWS,
-        rows=s.labelled_rows,
         staging=s.staging,
     )
-    vectors = preprocessor.fit(train).transform(s.labelled)
-    return vectors.agg(F.max(F.size(vector_to_array("features"))).alias("n_features"))
+    width = features.feature_width(preprocessor.fit(train).transform(s.labelled))
+    return s.raw.sparkSession.range(1).select(F.lit(width).alias("n_features"))
 
 
 def _supplied(s: TripStudy) -> DataFrame:
@@ -162,10 +177,35 @@ def _split_counts(s: TripStudy) -> DataFrame:
     return counted[0].unionByName(counted[1])
 
 
+def _sample_rows(s: TripStudy) -> DataFrame:
+    order = sampling.portable_order(KEY_COLUMNS, s.config.model.seed)
+    sample = sampling.sample_exact(s.labelled, 5000, s.labelled_rows, order=order)
+    return sample.select(*KEY_COLUMNS)
+
+
+def _split_rows(s: TripStudy) -> DataFrame:
+    order = sampling.portable_order(KEY_COLUMNS, s.config.model.seed)
+    train, test = sampling.stratified_split(
+        s.labelled, "jam_abs", s.config.model.test_fraction, order=order
+    )
+    named = [
+        part.select(*KEY_COLUMNS, "jam_abs", F.lit(name).alias("part"))
+        for name, part in (("train", train), ("test", test))
+    ]
+    return named[0].unionByName(named[1])
+
+
 def _model_predictions(s: TripStudy) -> DataFrame:
-    """Predictions of the forest after a round trip through storage, on the model sample."""
+    """Predictions for all labelled trips, of the forest after a round trip through storage."""
     path = forest.save_model(s.evaluate("jam_abs").model, f"{s.staging.path}/models/jam_abs")
-    return forest.predict(forest.load_model(path), s.sample.frame, "jam_abs")
+    return forest.predict(forest.load_model(path), s.labelled, "jam_abs", KEY_COLUMNS)
+
+
+def _model_coverage(s: TripStudy) -> DataFrame:
+    """Scored rows, and rows without a prediction, per label."""
+    return _model_predictions(s).groupBy("jam_abs").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("prediction").isNull()).alias("n_null")
+    )
 
 
 def _model_scores(s: TripStudy) -> DataFrame:
@@ -191,12 +231,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "speed_by_passenger_nulls_dropped": lambda s: s.speed_by_passengers(False),
         "agg_reconcile": lambda s: s.passenger_reconcile(),
         "agg_reconcile_summary": lambda s: s.passenger_reconcile_summary(),
-        "null_count_reconcile": _null_count_reconcile,
+        "null_count_reconcile": lambda s: s.null_counts(),
         "null_profile": lambda s: s.null_profile(),
         "sentinel_profile": lambda s: s.sentinels(),
         "missing_patterns": lambda s: s.missing_patterns(),
         "missing_block": lambda s: s.missing_block(),
         "missing_block_by_group": lambda s: s.missing_block_by_vendor(),
+        "missing_block_by_group_other": _other_block,
         "duplicate_count": lambda s: quality.duplicate_count(doubled(s.raw)),
         "dedup_rows": lambda s: printable_trips(quality.dedup_rows(doubled(s.raw))),
         "quantile_interpolation": lambda s: s.distance_quantiles(),
@@ -253,7 +294,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "sample_exact": _sample_exact,
         "split_counts": _split_counts,
+        "sample_rows": _sample_rows,
+        "split_rows": _split_rows,
         "model_predictions": _model_predictions,
+        "model_coverage": _model_coverage,
         "model_scores": _model_scores,
         "model_comparison": lambda s: s.model_comparison(),
     }

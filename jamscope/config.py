@@ -81,7 +81,7 @@ class ColumnMap:
 
 @dataclass(frozen=True)
 class CleaningRules:
-    """Bounds of the ordered cleaning rules."""
+    """Bounds of the ordered cleaning rules (fixed values of the study, with its column names)."""
 
     period_start: dt.datetime = dt.datetime(2026, 5, 1)
     period_end: dt.datetime = dt.datetime(2026, 6, 1)  # exclusive
@@ -105,7 +105,7 @@ class ModelSettings:
     min_category_rows: int = 50
     trees: int = 100
     min_leaf_rows: int = 5
-    max_depth: int = 15
+    max_depth: int = 30  # the most that the library allows; the leaf size ends growth before
     max_bins: int = 32
 
 

@@ -16,7 +16,6 @@ def speed_by_passengers(
     trips: DataFrame,
     columns: ColumnMap | None = None,
     keep_null_group: bool = True,
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
     """Trips, mean and median speed per passenger count, straight from raw trips.
@@ -37,7 +36,6 @@ def speed_by_passengers(
         speed_mph(F.col(c.distance), F.col("duration_min")),
         {"median_speed": 0.5},
         by=[c.passengers],
-        rows=rows,
         staging=staging,
     )
     return speeds.select(

@@ -30,6 +30,13 @@ class Rule:
     removes: Column | None
 
 
+def within_period(c: ColumnMap, r: CleaningRules) -> Column:
+    """The pickup lies in the observation period.  The bounds are wall-clock literals, which no
+    time zone, of the session or of the driver, moves."""
+    start, end = (F.expr(f"TIMESTAMP_NTZ '{t:%Y-%m-%d %H:%M:%S.%f}'") for t in (r.period_start, r.period_end))
+    return (F.col(c.pickup) >= start) & (F.col(c.pickup) < end)
+
+
 def cleaning_rules(
     columns: ColumnMap | None = None, rules: CleaningRules | None = None
 ) -> list[Rule]:
@@ -42,12 +49,8 @@ def cleaning_rules(
     missing = F.lit(False)
     for name in c.required:
         missing = missing | F.col(name).isNull()
-    pickup = F.col(c.pickup)
-    duration = duration_minutes(pickup, F.col(c.dropoff))
-    in_period = is_true(
-        (pickup >= F.lit(r.period_start).cast("timestamp_ntz"))
-        & (pickup < F.lit(r.period_end).cast("timestamp_ntz"))
-    )
+    duration = duration_minutes(F.col(c.pickup), F.col(c.dropoff))
+    in_period = is_true(within_period(c, r))
     speed = speed_mph(F.col(c.distance), duration)
     distance = F.col(c.distance)
     return [
@@ -76,12 +79,8 @@ def clean_trips(
     """
     c, r = columns or ColumnMap(), rules or CleaningRules()
     require_columns(trips, c.required)
-    pickup = F.col(c.pickup)
     # The raw range comes first on its own: in this form it reaches the Parquet scan.
-    kept = trips.where(
-        (pickup >= F.lit(r.period_start).cast("timestamp_ntz"))
-        & (pickup < F.lit(r.period_end).cast("timestamp_ntz"))
-    ).na.drop(how="any", subset=c.required)
+    kept = trips.where(within_period(c, r)).na.drop(how="any", subset=c.required)
     for rule in cleaning_rules(c, r):
         if rule.removes is not None:
             kept = kept.where(~rule.removes)

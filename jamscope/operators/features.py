@@ -28,7 +28,6 @@ def feature_table(df: DataFrame, features: Sequence[str], labels: Sequence[str])
 def numeric_statistics(
     train: DataFrame,
     numeric: Sequence[str],
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
     """Per numeric column: median, and mean and population deviation once NULLs hold the median.
@@ -41,7 +40,6 @@ def numeric_statistics(
         "value",
         {"median": 0.5},
         by=["variable"],
-        rows=None if rows is None else rows * len(numeric),
         staging=staging,
     ).select("variable", "median")
     measures = {
@@ -75,9 +73,7 @@ def numeric_statistics(
 
 def impute_median(df: DataFrame, medians: dict[str, float]) -> DataFrame:
     """Fill NULLs of numeric columns with given medians."""
-    return df.withColumns(
-        {n: F.coalesce(F.col(n).cast("double"), F.lit(m)) for n, m in medians.items()}
-    )
+    return df.withColumns({n: F.expr(_imputed_sql(n, m)) for n, m in medians.items()})
 
 
 def category_counts(train: DataFrame, nominal: Sequence[str]) -> DataFrame:
@@ -165,8 +161,7 @@ def fit_encodings(
 
 def mapped_code(name: str, encoding: Encoding) -> Column:
     """The slot name of a coded value: its code, or the common slot of rare and new codes."""
-    code = F.coalesce(F.col(name).cast("bigint"), F.lit(encoding.mode))
-    return F.when(code.isin(*encoding.codes), code.cast("string")).otherwise(F.lit(INFREQUENT))
+    return F.expr(_slot_sql(name, encoding))
 
 
 def infrequent_mapping(df: DataFrame, encodings: dict[str, Encoding]) -> DataFrame:
@@ -196,23 +191,16 @@ class Scaling:
 def fit_scalings(
     train: DataFrame,
     numeric: Sequence[str],
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> dict[str, Scaling]:
     """Scalings of the numeric columns; a constant column keeps deviation 1."""
-    table = numeric_statistics(train, numeric, rows, staging).collect()  # one row per feature
+    table = numeric_statistics(train, numeric, staging).collect()  # one row per feature
     return {r["variable"]: Scaling(r["median"], r["mean"], r["std"] or 1.0) for r in table}
 
 
 def standardize(df: DataFrame, scalings: dict[str, Scaling]) -> DataFrame:
     """Impute and scale numeric columns in place."""
-    return df.withColumns(
-        {
-            n: (F.coalesce(F.col(n).cast("double"), F.lit(s.median)) - F.lit(s.mean))
-            / F.lit(s.std)
-            for n, s in scalings.items()
-        }
-    )
+    return df.withColumns({n: F.expr(_scaled_sql(n, s)) for n, s in scalings.items()})
 
 
 class TripPreprocessor(Estimator):
@@ -228,19 +216,17 @@ class TripPreprocessor(Estimator):
         numeric: Sequence[str],
         nominal: Sequence[str],
         min_category_rows: int = 50,
-        rows: int | None = None,
         staging: StagingArea | None = None,
     ) -> None:
         super().__init__()
         self.numeric = list(numeric)
         self.nominal = list(nominal)
         self.min_category_rows = min_category_rows
-        self.rows = rows
         self.staging = staging
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         require_columns(dataset, [*self.numeric, *self.nominal])
-        scalings = fit_scalings(dataset, self.numeric, self.rows, self.staging)
+        scalings = fit_scalings(dataset, self.numeric, self.staging)
         encodings = fit_encodings(dataset, self.nominal, self.min_category_rows)
         scaled = [f"_num_{n}" for n in self.numeric]
         named = [f"_cat_{n}" for n in self.nominal]
@@ -275,15 +261,18 @@ class TripPreprocessor(Estimator):
         return PipelineModel([columns, *index, encode, assemble])
 
 
-def feature_width(encodings: dict[str, Encoding], numeric: Sequence[str]) -> int:
-    """Length of the feature vector."""
-    return len(numeric) + sum(len(e.slots) for e in encodings.values())
+def feature_width(vectors: DataFrame) -> int:
+    """Length of the feature vector, from the metadata of the ``features`` column."""
+    return vectors.schema["features"].metadata["ml_attr"]["num_attrs"]
+
+
+# The expressions of the fitted model; the functions above apply the same ones.
+def _imputed_sql(name: str, median: float) -> str:
+    return f"coalesce(CAST(`{name}` AS DOUBLE), {float(median)!r}D)"
 
 
 def _scaled_sql(name: str, s: Scaling) -> str:
-    return (
-        f"(coalesce(CAST(`{name}` AS DOUBLE), {s.median!r}D) - ({s.mean!r}D)) / ({s.std!r}D)"
-    )
+    return f"({_imputed_sql(name, s.median)} - ({s.mean!r}D)) / ({s.std!r}D)"
 
 
 def _slot_sql(name: str, e: Encoding) -> str:

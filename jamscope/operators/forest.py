@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import time
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -23,7 +25,8 @@ from jamscope.operators.sampling import sample_exact, stratified_split
 from jamscope.staging import Staged, StagingArea
 
 
-MIN_PARTITION_ROWS = 1_000
+#: Rows of a partition of the model sample.
+PARTITION_ROWS = 25_000
 ROW_HASHES = ["row_hash_1", "row_hash_2"]
 
 
@@ -42,13 +45,13 @@ class Evaluation:
     class_ratio: float
     report: DataFrame
     confusion: DataFrame
+    baseline: DataFrame
 
 
 def build_pipeline(
     label: str,
     columns: ColumnMap,
     settings: ModelSettings,
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> Pipeline:
     """Preprocessing and forest as one pipeline, so that all statistics come from training rows."""
@@ -58,7 +61,6 @@ def build_pipeline(
                 columns.numeric_features,
                 columns.nominal_features,
                 settings.min_category_rows,
-                rows,
                 staging,
             ),
             RandomForestClassifier(
@@ -96,11 +98,9 @@ def draw_sample(
         }
     )
     keyed = feature_table(keyed, [*columns.features, *ROW_HASHES], labels)
-    if settings.sample_size is not None:
-        # The forest reads the sample once per tree level: spread it over the cores.
-        cores = staging.spark.sparkContext.defaultParallelism
-        keyed = keyed.repartition(max(1, min(cores, n // MIN_PARTITION_ROWS)), ROW_HASHES[0])
-    return staging.stage(keyed, "model_sample")
+    # The forest reads the sample once per tree level: spread it evenly.
+    parts = max(1, math.ceil(n / PARTITION_ROWS))
+    return staging.stage(keyed.repartition(parts, ROW_HASHES[0]), "model_sample")
 
 
 def train_and_evaluate(
@@ -113,7 +113,7 @@ def train_and_evaluate(
     """Split the sample, fit the pipeline on one part and score it on the other."""
     frame = sample.frame
     train, test = stratified_split(frame, label, settings.test_fraction, settings.seed)
-    pipeline = build_pipeline(label, columns, settings, sample.rows, staging)
+    pipeline = build_pipeline(label, columns, settings, staging)
     started = time.perf_counter()
     model = pipeline.fit(train)
     fit_seconds = time.perf_counter() - started
@@ -122,7 +122,8 @@ def train_and_evaluate(
     # The forest walks each row through every tree: do it once for all the scores.
     predictions = staging.stage(scored, f"predictions_{label}").frame
     scores = classification_metrics(predictions, label, "prediction").first().asDict()
-    baseline = baseline_metrics(train, test, label).first().asDict()
+    majority = baseline_metrics(train, test, label)
+    baseline = majority.first().asDict()
     return Evaluation(
         label=label,
         model=model,
@@ -135,13 +136,19 @@ def train_and_evaluate(
         class_ratio=frame.agg(F.avg(label)).first()[0],
         report=classification_report(predictions, label, "prediction"),
         confusion=confusion_matrix(predictions, label, "prediction"),
+        baseline=majority,
     )
 
 
-def predict(model: PipelineModel, rows: DataFrame, label: str | None = None) -> DataFrame:
-    """Predicted class and probability of congestion for rows with the model's input columns."""
+def predict(
+    model: PipelineModel, rows: DataFrame, label: str | None = None, keys: Sequence[str] = ROW_HASHES
+) -> DataFrame:
+    """Predicted class and probability of congestion for rows with the model's input columns.
+
+    With a ``label``, only it and the ``keys`` stay beside the predictions.
+    """
     scored = model.transform(rows)
-    keep = [c for c in rows.columns if label is None or c in (label, *ROW_HASHES)]
+    keep = [c for c in rows.columns if label is None or c in (label, *keys)]
     return scored.select(
         *keep,
         F.col("prediction").cast("int").alias("prediction"),

@@ -28,7 +28,6 @@ def route_medians(
     trips: DataFrame,
     columns: ColumnMap | None = None,
     min_trips: int = 30,
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
     """Median speed and trips of every route with at least ``min_trips`` trips."""
@@ -38,7 +37,6 @@ def route_medians(
         "speed_mph",
         {"route_median_mph": 0.5},
         by=[c.pu_zone, c.do_zone],
-        rows=rows,
         staging=staging,
     )
     return medians.where(F.col("n") >= min_trips).select(
@@ -81,12 +79,11 @@ def build_labels(
     """
     c = columns or ColumnMap()
     trips = clean.frame
-    abs_threshold = scalar_quantile(trips, "speed_mph", quantile, clean.rows, staging)
-    routes = staging.stage(
-        route_medians(trips, c, min_route_trips, clean.rows, staging), "route_medians"
-    )
-    ratios = add_speed_ratio(trips, routes.frame, c)
-    rel_threshold = scalar_quantile(ratios, "speed_ratio", quantile, clean.rows, staging)
+    abs_threshold = scalar_quantile(trips, "speed_mph", quantile)
+    routes = staging.stage(route_medians(trips, c, min_route_trips, staging), "route_medians")
+    # Everything that reads labelled trips reads this copy; the labels are projections on it.
+    ratios = staging.stage(add_speed_ratio(trips, routes.frame, c), "ratios").frame
+    rel_threshold = scalar_quantile(ratios, "speed_ratio", quantile)
     labelled = add_threshold_label(ratios, "speed_mph", abs_threshold, "jam_abs")
     labelled = add_threshold_label(labelled, "speed_ratio", rel_threshold, "jam_rel")
     return LabelledTrips(labelled, routes, clean.rows, abs_threshold, rel_threshold)
@@ -111,7 +108,6 @@ def label_profile(
     labels: list[str],
     columns: ColumnMap | None = None,
     short_miles: float = 1.0,
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
     """What each label calls congested: medians, and the share of short trips."""
@@ -148,10 +144,8 @@ def label_profile(
             )
         ),
     )
-    # Four values per positive row and label, at most.
-    bound = None if rows is None else rows * 4 * len(labels)
     medians = quantile_table(
-        long, "value", {"median": 0.5}, by=["label", "measure"], rows=bound, staging=staging
+        long, "value", {"median": 0.5}, by=["label", "measure"], staging=staging
     )
     pick = F.when(F.col("measure") == "pct_short", F.col("mean")).otherwise(F.col("median"))
     return medians.groupBy("label").pivot("measure", [*measures, "pct_short"]).agg(F.first(pick))

@@ -10,9 +10,7 @@ from pyspark.sql import functions as F
 from jamscope.config import CleaningRules, ColumnMap
 from jamscope.functions import rows as sql
 from jamscope.functions.nulls import is_true
-from jamscope.operators import quantiles
-from jamscope.operators.quantiles import count_values, quantile_table, quantiles_of_counts
-from jamscope.staging import StagingArea
+from jamscope.operators.quantiles import quantile_table
 
 
 def _null_counts(df: DataFrame) -> DataFrame:
@@ -170,14 +168,32 @@ def missing_block(df: DataFrame, patterns: DataFrame | None = None) -> DataFrame
     )
 
 
-def missing_block_by_group(df: DataFrame, block_column: str, group: str) -> DataFrame:
+def block_base(columns: Sequence[str], patterns: DataFrame) -> str | None:
+    """The first column that holds a NULL, if other columns are NULL in the very same rows."""
+    base = patterns.agg(
+        F.min(F.when(F.instr("pattern", "1") > 0, F.instr("pattern", "1"))).alias("_base")
+    )
+    same = [
+        f"count_if(substr(pattern, {i + 1}, 1) <> substr(pattern, _base, 1)) = 0"
+        for i in range(len(columns))
+    ]
+    row = patterns.crossJoin(F.broadcast(base)).selectExpr(  # one row
+        "max(_base) AS base", f"array({', '.join(same)}) AS same"
+    ).first()
+    if row["base"] is None or sum(row["same"]) < 2:
+        return None
+    return columns[row["base"] - 1]
+
+
+def missing_block_by_group(df: DataFrame, block_column: str | None, group: str) -> DataFrame:
     """Rows of each group inside and outside the block where ``block_column`` is NULL.
 
-    ``presence`` tells groups found only inside or only outside.
+    ``presence`` tells groups found only inside or only outside.  Without a
+    block column there is no block, and no row.
     """
-    inside = F.col(block_column).isNull()
+    inside = F.lit(False) if block_column is None else F.col(block_column).isNull()
     return (
-        df.where(F.col(group).isNotNull())
+        df.where(F.col(group).isNotNull() & F.lit(block_column is not None))
         .groupBy(group)
         .agg(F.count_if(inside).alias("n_block"), F.count_if(~inside).alias("n_rest"))
         .withColumn(
@@ -231,23 +247,12 @@ def aggregate_reconcile_summary(
 
 
 def quantile_interpolation(
-    df: DataFrame,
-    column: str,
-    probs: Sequence[float] = (0.25, 0.5, 0.75),
-    rows: int | None = None,
-    staging: StagingArea | None = None,
+    df: DataFrame, column: str, probs: Sequence[float] = (0.25, 0.5, 0.75)
 ) -> DataFrame:
     """Quantiles with linear and nearest-rank interpolation, and whether the two differ."""
     named = {f"q{i}": p for i, p in enumerate(probs)}
-    if rows is not None and rows <= quantiles.IN_MEMORY_ROWS:
-        linear = quantile_table(df, column, named, rows=rows)
-        nearest = quantile_table(df, column, named, method="nearest", rows=rows)
-    else:
-        # The table is read once: both come from the staged value counts.
-        staging = staging or StagingArea(df.sparkSession)
-        counts = count_values(df, column, [], staging)
-        linear = quantiles_of_counts(counts, named, [], "linear", staging)
-        nearest = quantiles_of_counts(counts, named, [], "nearest", staging)
+    linear = quantile_table(df, column, named)
+    nearest = quantile_table(df, column, named, method="nearest")
     pairs = linear.select(*[F.col(k).alias(f"l_{k}") for k in named]).crossJoin(
         F.broadcast(nearest.select(*[F.col(k).alias(f"n_{k}") for k in named]))  # one row each
     )

@@ -1,15 +1,16 @@
 """Exact quantiles, global or per group, without a task that holds a whole group.
 
-The built-in ``percentile`` keeps every distinct value of a group in the memory
-of one task.  That is the right plan for tables of a known, modest size and is
-used for those (``rows`` at most :data:`IN_MEMORY_ROWS`).  Otherwise the values
-are counted first, ``groupBy(keys, value).count()``, which spreads even a
-single hot group over all tasks, and the counts are staged.  If few distinct
-values come out, ``percentile`` weighs them by their counts.  If not, the
-wanted ranks are cornered: counts per coarse bucket say which bucket holds a
-rank, that bucket alone is subdivided, again and again, until it holds few
-enough values to be put in order.  Every step is an ordinary aggregate and its
-size is measured, so the result is exact whatever the skew.
+Instead of bringing all values of a group together, the wanted ranks are
+narrowed down.  Counts per coarse bucket of the value, added up map-side, say
+which bucket holds a rank; that bucket alone is cut into equal parts and
+counted again; the values inside the part that holds the rank are counted last
+and put in order.  Each step is an ordinary aggregate over a scan of the one
+column, and what it shuffles depends on the number of buckets, not of rows.
+Input of any size takes the same steps, and the result is exact whatever the
+skew: a part with many distinct values is sorted by a window, which spills.
+
+The buckets that hold ranks are a few rows per group.  For a whole column they
+are broadcast; for groups they are staged, so that the planner knows their size.
 """
 
 from __future__ import annotations
@@ -19,12 +20,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jamscope.staging import Staged, StagingArea
+from jamscope.staging import StagingArea
 
-# Most distinct values, of all groups together, that a task may hold.
-IN_MEMORY_ROWS = 2_000_000
-# Groups a task aggregates side by side before it goes over to sorting (Spark's default).
-GROUPS_IN_MEMORY = 128
 # Coarse buckets per factor e of the value, and linear parts of one bucket.
 BUCKETS_PER_E = 64
 BUCKET_PARTS = 4096
@@ -37,58 +34,47 @@ def quantile_table(
     probs: Mapping[str, float],
     by: Sequence[str] = (),
     method: str = "linear",
-    rows: int | None = None,
     staging: StagingArea | None = None,
-    in_memory_rows: int | None = None,
 ) -> DataFrame:
     """Exact quantiles of a numeric column: one row per group, NULL keys kept.
 
     Columns: the ``by`` columns, ``n`` (non-NULL values), ``mean``, and one
     column per entry of ``probs`` (name -> probability).  ``method`` is
     ``"linear"`` (interpolate) or ``"nearest"`` (round half up to a rank).
-    ``rows`` is an upper bound of the input size if the caller knows one;
-    without it the counted values are staged in ``staging``.
     """
     if method not in ("linear", "nearest"):
         raise ValueError(f"unknown quantile method: {method}")
-    small = rows is not None and rows <= (in_memory_rows or IN_MEMORY_ROWS)
-    if small and method == "linear":
-        return _built_in(_known_values(df, value, by), probs, by)
-    if small:
-        counted = _value_counts(df, value, by)
-        return _nearest_of_counts(counted, probs, by)
-    staging = staging or StagingArea(df.sparkSession)
-    counts = count_values(df, value, by, staging)
-    return quantiles_of_counts(counts, probs, by, method, staging, in_memory_rows)
-
-
-def count_values(
-    df: DataFrame, value: str | Column, by: Sequence[str], staging: StagingArea
-) -> Staged:
-    """Stage how often each value occurs in each group, for :func:`quantiles_of_counts`."""
-    return staging.stage(_value_counts(df, value, by), "value_counts")
-
-
-def quantiles_of_counts(
-    counts: Staged,
-    probs: Mapping[str, float],
-    by: Sequence[str],
-    method: str,
-    staging: StagingArea,
-    in_memory_rows: int | None = None,
-) -> DataFrame:
-    """Quantiles from staged value counts; see :func:`quantile_table`."""
-    keys = _keys(by)
-    in_memory_rows = in_memory_rows or IN_MEMORY_ROWS
-    if counts.rows > in_memory_rows:
-        # Before it spills, an aggregation keeps GROUPS_IN_MEMORY groups in a task.
-        widest = counts.frame.groupBy(*keys).count().agg(F.max("count")).first()[0]
-        if widest * GROUPS_IN_MEMORY > in_memory_rows:
-            held = _corner(counts.frame, keys, probs, method, staging, in_memory_rows)
-            return _assemble(held, probs, by, method)
-    if method == "linear":
-        return _built_in(counts.frame, probs, by, weight="_c")
-    return _nearest_of_counts(counts.frame, probs, by)
+    keys, rank_keys = _keys(by), [*_keys(by), "slot"]
+    data = _known_values(df, value, by)
+    if not by:
+        data = data.withColumn("_all", F.lit(0))
+    data = data.withColumn("_b", _coarse_bucket(F.col("_x")))
+    carried = [*rank_keys, "_b", "rank", "_total", "_mean"]
+    state_columns = [*carried, "_below", "_low", "_high"]
+
+    def found(held: DataFrame) -> DataFrame:
+        state = held.select(*state_columns)
+        if not by:
+            return F.broadcast(state)  # two rows per quantile
+        return (staging or StagingArea(df.sparkSession)).stage(state, "rank_buckets").frame
+
+    bounds = (F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    coarse = data.groupBy(*keys, "_b").agg(*bounds, F.sum("_x").alias("_s"))
+    state = found(_holding_wanted_ranks(coarse, keys, "_b", probs, method))
+    part = _part_of(F.col("_x"), F.col("_low"), F.col("_high"))
+    parts = (
+        _values_inside(data, state, keys)
+        .withColumn("_part", part)
+        .groupBy(*carried, "_below", "_part")
+        .agg(*bounds)
+    )
+    state = found(_holding_own_rank(parts, rank_keys, "_part"))
+    values = (
+        _values_inside(data, state, keys)
+        .groupBy(*carried, "_below", "_x")
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    return _assemble(_holding_own_rank(values, rank_keys, "_x"), probs, by, method)
 
 
 def _keys(by: Sequence[str]) -> list[str]:
@@ -102,51 +88,12 @@ def _known_values(df: DataFrame, value: str | Column, by: Sequence[str]) -> Data
     )
 
 
-def _value_counts(df: DataFrame, value: str | Column, by: Sequence[str]) -> DataFrame:
-    data = _known_values(df, value, by)
-    if not by:
-        data = data.withColumn("_all", F.lit(0))
-    return data.groupBy(*_keys(by), "_x").agg(F.count(F.lit(1)).alias("_c"))
-
-
-def scalar_quantile(
-    df: DataFrame,
-    value: str | Column,
-    prob: float,
-    rows: int | None = None,
-    staging: StagingArea | None = None,
-) -> float | None:
+def scalar_quantile(df: DataFrame, value: str | Column, prob: float) -> float | None:
     """One exact linear quantile of a whole column, on the driver; None without values."""
-    table = quantile_table(df, value, {"q": prob}, rows=rows, staging=staging)
-    row = table.select("q").first()
+    row = quantile_table(df, value, {"q": prob}).select("q").first()
     return None if row is None or row["q"] is None else float(row["q"])
 
 
-def _built_in(
-    data: DataFrame, probs: Mapping[str, float], by: Sequence[str], weight: str | None = None
-) -> DataFrame:
-    p = [float(v) for v in probs.values()]
-    if weight is None:
-        n, mean, q = F.count("_x"), F.avg("_x"), F.percentile("_x", p)
-    else:
-        n = F.sum(weight)
-        mean = F.sum(F.col("_x") * F.col(weight)) / F.sum(weight)
-        q = F.percentile("_x", p, F.col(weight))
-    grouped = data.groupBy(*by).agg(n.alias("n"), mean.alias("mean"), q.alias("_q"))
-    return grouped.select(*by, "n", "mean", *[F.col("_q")[i].alias(k) for i, k in enumerate(probs)])
-
-
-def _nearest_of_counts(
-    counted: DataFrame, probs: Mapping[str, float], by: Sequence[str]
-) -> DataFrame:
-    keys = _keys(by)
-    counts = counted.select(
-        *keys, "_x", F.col("_c").alias("_n"), (F.col("_x") * F.col("_c")).alias("_s")
-    )
-    held = _holding_wanted_ranks(counts, keys, "_x", probs, "nearest")
-    return _assemble(held, probs, by, "nearest")
-
-
 def _rank_targets(n: Column, probs: Mapping[str, float], method: str) -> Column:
     """0-based ranks that the wanted quantiles are made of, as an array of (slot, rank)."""
     targets = []
@@ -237,68 +184,17 @@ def _holding_wanted_ranks(
     return ranked.select("*", F.inline(held)).drop("_s")
 
 
-def _corner(
-    counted: DataFrame,
-    keys: Sequence[str],
-    probs: Mapping[str, float],
-    method: str,
-    staging: StagingArea,
-    in_memory_rows: int,
-) -> DataFrame:
-    """Narrow each wanted rank down to a bucket of few values, then to the value itself.
-
-    The state is one staged row per group and rank: the bucket's bounds, the
-    number of values below it and of distinct values in it.  Being staged, its
-    size is known to the planner, which broadcasts it only if it is small.
-    """
-    counted = counted.withColumn("_b", _coarse_bucket(F.col("_x")))
-    rank_keys = [*keys, "slot"]
-    carried = [*rank_keys, "_b", "rank", "_total", "_mean"]
-    state_columns = [*carried, "_below", "_low", "_high", "_distinct"]
-
-    coarse = counted.groupBy(*keys, "_b").agg(
-        F.sum("_c").alias("_n"),
-        F.sum(F.col("_x") * F.col("_c")).alias("_s"),
-        F.count(F.lit(1)).alias("_distinct"),
-        F.min("_x").alias("_low"),
-        F.max("_x").alias("_high"),
-    )
-    held = _holding_wanted_ranks(coarse, keys, "_b", probs, method)
-    state = staging.stage(held.select(*state_columns), "rank_buckets").frame
-
-    while (state.agg(F.max("_distinct")).first()[0] or 0) > in_memory_rows:
-        inside = _values_inside(counted, state, keys)
-        parts = (
-            inside.withColumn("_part", _part_of(F.col("_x"), F.col("_low"), F.col("_high")))
-            .groupBy(*carried, "_below", "_part")
-            .agg(
-                F.sum("_n").alias("_n"),
-                F.count(F.lit(1)).alias("_distinct"),
-                F.min("_x").alias("_low"),
-                F.max("_x").alias("_high"),
-            )
-        )
-        held = _holding_own_rank(parts, rank_keys, "_part")
-        state = staging.stage(held.select(*state_columns), "rank_buckets").frame
-
-    return _holding_own_rank(_values_inside(counted, state, keys), rank_keys, "_x")
-
-
-def _values_inside(counted: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The counted values within the bucket of each wanted rank."""
+def _values_inside(data: DataFrame, state: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The values within the bucket of each wanted rank."""
     return (
-        counted.alias("v")
+        data.alias("v")
         .join(
             state.alias("s"),
             _same_keys("v", "s", [*keys, "_b"])
             & F.col("v._x").between(F.col("s._low"), F.col("s._high")),
             "inner",
         )
-        .select(
-            *[F.col(f"s.{c}").alias(c) for c in state.columns],
-            F.col("v._x").alias("_x"),
-            F.col("v._c").alias("_n"),
-        )
+        .select(*[F.col(f"s.{c}").alias(c) for c in state.columns], F.col("v._x").alias("_x"))
     )
 
 

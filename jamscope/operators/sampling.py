@@ -1,81 +1,99 @@
 """Samples and splits of exact size that depend on the rows alone.
 
-Every row is ordered by a seeded 128-bit hash of its columns; a sample of k
-rows is the k smallest hashes.  The k-th smallest is found without sorting the
-table: hashes are uniform, so a narrow range sure to hold it is known in
-advance, and only the hashes of that range are put in order.  The sample is
-then a plain filter, with no shuffle of rows.
+Every row has a place in a pseudorandom order: a seeded 60-bit hash, of all its
+columns unless the caller names another.  A sample of k rows is the k first.
+The k-th place is narrowed down without sorting: counts per leading bits of the
+hash, one aggregate with a fixed number of groups, say which range holds it,
+until the range has few rows.  The sample is then a filter, with no shuffle of
+rows.  Rows tied at the cut come in as far as they are needed.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SPAN = 2**64
-LOWEST = -(2**63)
+HASH_BITS = 60
+#: Bits of the hash that one round of counting looks at.
+ROUND_BITS = 15
+#: Hashes that are fetched to be put in order.
+FEW_ROWS = 1000
 
 
-def row_hashes(columns: Sequence[str], seed: int) -> tuple[Column, Column]:
-    """Two independent 64-bit hashes of a row."""
+def row_order(columns: Sequence[str], seed: int) -> Column:
+    """The place of a row: a 60-bit hash of its columns."""
     cols = [F.col(f"`{c}`") for c in columns]
-    return (
-        F.xxhash64(F.lit(seed), F.lit("first"), *cols),
-        F.xxhash64(F.lit(seed), F.lit("second"), *cols),
-    )
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 64 - HASH_BITS)
 
 
-def _kth_hash(df: DataFrame, columns: Sequence[str], seed: int, n: int, k: int) -> tuple[int, int]:
-    """The k-th smallest row hash of a table of n rows (1 <= k < n)."""
-    first, second = row_hashes(columns, seed)
-    hashed = df.select(first.alias("h1"), second.alias("h2"))
-    margin = 8 * math.sqrt(k) + 64
-    while True:
-        # The k-th of n uniform numbers is within a few sqrt(k)/n of k/n.
-        low = LOWEST + int(SPAN * max(0.0, (k - margin) / n))
-        high = min(2**63 - 1, LOWEST + int(SPAN * min(1.0, (k + margin) / n)))
-        within = F.col("h1") >= F.lit(low)
-        counts = (
-            hashed.where(F.col("h1") <= F.lit(high))
-            .groupBy(F.when(within, F.col("h1")).alias("h1"), F.when(within, F.col("h2")).alias("h2"))
-            .agg(F.count(F.lit(1)).alias("c"))
-        )
-        # Rows below the range collapse to a single one per task; about 2 * margin others come in.
-        below, seen = 0, 0
-        ordered = counts.orderBy(F.asc_nulls_first("h1"), "h2").toLocalIterator()
-        for row in ordered:
-            if row["h1"] is None:
-                below = row["c"]
-                seen = below
-                if below >= k:
-                    break
-                continue
-            seen += row["c"]
-            if seen >= k:
-                if seen > k:
-                    raise ValueError("identical rows: remove duplicates before sampling")
-                return row["h1"], row["h2"]
-        if margin > n:
-            raise ValueError(f"fewer than {k} rows to choose from")
-        margin *= 4
+def portable_order(columns: Sequence[str], seed: int) -> Column:
+    """A place that other engines can compute as well, from the text of some columns."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[F.col(f"`{c}`").cast("string") for c in columns])
+    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("bigint")
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The k-th smallest place, the rows before it, and the rows at it."""
 
+    place: int
+    before: int
+    tied: int
 
-def _up_to(columns: Sequence[str], seed: int, cut: tuple[int, int]) -> Column:
-    first, second = row_hashes(columns, seed)
-    return (first < cut[0]) | ((first == cut[0]) & (second <= cut[1]))
+
+def find_cut(df: DataFrame, order: Column, k: int) -> Cut:
+    """Where the first k rows of a table of at least k rows end (k > 0)."""
+    places = df.select(order.alias("o"))
+    before, low, shift = 0, 0, HASH_BITS
+    while True:
+        shift -= ROUND_BITS
+        bucket = F.shiftright("o", shift).alias("b")
+        counts = places.groupBy(bucket).agg(F.count(F.lit(1)).alias("n")).collect()
+        for row in sorted(counts, key=lambda r: r["b"]):
+            if before + row["n"] >= k:
+                break
+            before += row["n"]
+        else:
+            raise ValueError(f"fewer than {k} rows to choose from")
+        low, size = row["b"] << shift, row["n"]
+        places = places.where((F.col("o") >= low) & (F.col("o") < low + (1 << shift)))
+        if not shift:
+            return Cut(low, before, size)
+        if size <= FEW_ROWS:
+            found = sorted(r["o"] for r in places.collect())
+            place = found[k - before - 1]
+            return Cut(place, before + found.index(place), found.count(place))
+
+
+def _first(df: DataFrame, order: Column, cut: Cut, k: int) -> tuple[DataFrame, DataFrame]:
+    """The first k rows, and the others."""
+    needed = k - cut.before
+    if needed == cut.tied:
+        return df.where(order <= cut.place), df.where(order > cut.place)
+    # Tied rows in the order of their columns; equal ones are interchangeable.
+    tied = df.where(order == cut.place)
+    up = [F.asc(f"`{c}`") for c in df.columns]
+    down = [F.desc(f"`{c}`") for c in df.columns]
+    return (
+        df.where(order < cut.place).unionByName(tied.orderBy(*up).limit(needed)),
+        df.where(order > cut.place).unionByName(tied.orderBy(*down).limit(cut.tied - needed)),
+    )
 
 
-def sample_exact(df: DataFrame, n: int, rows: int, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` of the ``rows`` distinct rows, the same ones for the same seed."""
+def sample_exact(
+    df: DataFrame, n: int, rows: int, seed: int = 42, order: Column | None = None
+) -> DataFrame:
+    """Exactly ``min(n, rows)`` of the ``rows`` rows, the same ones for the same seed."""
     if n >= rows:
         return df
     if n <= 0:
         return df.limit(0)
-    cut = _kth_hash(df, df.columns, seed, rows, n)
-    return df.where(_up_to(df.columns, seed, cut))
+    order = row_order(df.columns, seed) if order is None else order
+    return _first(df, order, find_cut(df, order, n), n)[0]
 
 
 def allocate(class_rows: Mapping[int, int], total: int) -> dict[int, int]:
@@ -91,12 +109,15 @@ def allocate(class_rows: Mapping[int, int], total: int) -> dict[int, int]:
 
 
 def stratified_split(
-    df: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42
+    df: DataFrame,
+    label: str,
+    test_fraction: float = 0.2,
+    seed: int = 42,
+    order: Column | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(train, test): the test part has ``ceil(fraction * rows)`` rows, classes in proportion.
 
-    The table must hold distinct rows.  Each class contributes its rows of
-    smallest hash, so both parts are filters of the input.
+    Each class contributes its first rows; rows without a label are left out.
     """
     counts = {
         int(r[label]): int(r["n"])
@@ -106,15 +127,13 @@ def stratified_split(
     rows = sum(counts.values())
     n_test = math.ceil(test_fraction * rows)
     train_rows = allocate(counts, rows - n_test)
-    in_test = F.lit(False)
+    order = row_order(df.columns, seed) if order is None else order
+    train, test = df.limit(0), df.limit(0)
     for value, n in sorted(counts.items()):
         k = n - train_rows[value]
-        mine = F.col(label) == value
-        if k <= 0:
-            continue
-        if k < n:
-            cut = _kth_hash(df.where(mine), df.columns, seed, n, k)
-            mine = mine & _up_to(df.columns, seed, cut)
-        in_test = in_test | mine
-    labelled = df.where(F.col(label).isNotNull())
-    return labelled.where(~in_test), labelled.where(in_test)
+        mine = df.where(F.col(label) == value)
+        first, others = (mine.limit(0), mine) if k <= 0 else (mine, mine.limit(0))
+        if 0 < k < n:
+            first, others = _first(mine, order, find_cut(mine, order, k), k)
+        train, test = train.unionByName(others), test.unionByName(first)
+    return train, test

@@ -27,7 +27,6 @@ def _long(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> Data
 def describe_numeric(
     df: DataFrame,
     names: Sequence[str],
-    rows: int | None = None,
     staging: StagingArea | None = None,
 ) -> DataFrame:
     """Count, mean, sample deviation, extremes and exact quartiles, a row per column.
@@ -59,7 +58,6 @@ def describe_numeric(
         "value",
         {"p25": 0.25, "median": 0.5, "p75": 0.75},
         by=["variable"],
-        rows=None if rows is None else rows * len(names),
         staging=staging,
     ).drop("n", "mean")
     # One row per column of the table on either side.

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jamscope.config import CleaningRules, ColumnMap, StudyConfig
+from jamscope.sources.tables import read_table
 
 ORDER_TRIP_COLUMNS = ColumnMap(
     pickup="pickup_ts",
@@ -36,7 +37,7 @@ ORDER_TRIP_RULES = CleaningRules(
 )
 
 
-def order_trip_config(min_route_trips: int = 30) -> StudyConfig:
+def order_trip_config(min_route_trips: int = 10) -> StudyConfig:
     return StudyConfig(
         columns=ORDER_TRIP_COLUMNS,
         cleaning=ORDER_TRIP_RULES,
@@ -44,24 +45,16 @@ def order_trip_config(min_route_trips: int = 30) -> StudyConfig:
     )
 
 
-def order_trips(
-    spark: SparkSession, directory: str, small_table_rows: int = 10_000_000
-) -> DataFrame:
+def order_trips(spark: SparkSession, directory: str) -> DataFrame:
     """One trip per order line.  Orders, customers and suppliers are broadcast only if the planner
-    finds them small.
-
-    A small line table may be a single file, that is, a single task: such a one is spread over
-    the cores first.
-    """
+    finds them small."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
+        return read_table(spark, f"{directory.rstrip('/')}/{name}.parquet")
 
-    lines = table("lineitem")
-    if lines.count() < small_table_rows:  # from the file footers
-        lines = lines.repartition(spark.sparkContext.defaultParallelism)
     lines = (
-        lines.join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        table("lineitem")
+        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(table("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     )

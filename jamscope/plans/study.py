@@ -16,6 +16,7 @@ from jamscope.operators import (
     cleaning,
     forest,
     labels,
+    metrics,
     quality,
     stats,
 )
@@ -29,7 +30,8 @@ class TripStudy:
     What several results read is staged: the cleaned trips, the route medians,
     the model sample, and small tables that others are derived from.  Every
     result is a DataFrame over these (or over the raw scan) and runs when it is
-    used.  ``rows`` is an upper bound of the raw rows, if known.
+    used.  ``other`` is a second copy of the trips, from another source, to be
+    compared with the first.  ``close`` deletes what was staged.
     """
 
     def __init__(
@@ -37,21 +39,34 @@ class TripStudy:
         trips: DataFrame,
         config: StudyConfig | None = None,
         staging: StagingArea | None = None,
-        rows: int | None = None,
+        other: DataFrame | None = None,
     ) -> None:
         self.raw = trips
-        self.raw_rows = rows
+        self.other = other
         self.config = config or StudyConfig()
         self.staging = staging or StagingArea(trips.sparkSession)
 
     @classmethod
     def of_view(
-        cls, view: DataFrame, config: StudyConfig | None = None, staging: StagingArea | None = None
+        cls,
+        view: DataFrame,
+        config: StudyConfig | None = None,
+        staging: StagingArea | None = None,
+        other: DataFrame | None = None,
     ) -> TripStudy:
         """A study of trips that are themselves the result of a query, which runs only once."""
         staging = staging or StagingArea(view.sparkSession)
-        staged = staging.stage(view, "trips")
-        return cls(staged.frame, config, staging, staged.rows)
+        return cls(staging.stage(view, "trips").frame, config, staging, other)
+
+    def close(self) -> None:
+        """Delete the staged tables; results not yet computed are lost."""
+        self.staging.remove()
+
+    def __enter__(self) -> TripStudy:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     @property
     def trips(self) -> DataFrame:
@@ -92,7 +107,14 @@ class TripStudy:
     # Raw data -------------------------------------------------------------
 
     def shape(self) -> DataFrame:
-        return shape_reconcile(self.raw, self.raw)
+        """Rows and columns of both copies of the trips."""
+        return shape_reconcile(self.raw, self._second)
+
+    @property
+    def _second(self) -> DataFrame:
+        if self.other is None:
+            raise ValueError("the study has no other copy of its trips")
+        return self.other
 
     @cached_property
     def patterns(self) -> Staged:
@@ -102,9 +124,9 @@ class TripStudy:
     def null_profile(self) -> DataFrame:
         return quality.null_profile(self.trips, self.patterns.frame)
 
-    def null_counts(self, other: DataFrame) -> DataFrame:
-        """NULL counts compared with another copy of the trips."""
-        return quality.null_count_reconcile(self.raw, other)
+    def null_counts(self) -> DataFrame:
+        """NULL counts of both copies of the trips."""
+        return quality.null_count_reconcile(self.raw, self._second)
 
     def sentinels(self) -> DataFrame:
         return quality.sentinel_profile(self.raw, self.config.columns, self.config.cleaning)
@@ -116,20 +138,18 @@ class TripStudy:
         return quality.missing_block(self.trips, self.patterns.frame)
 
     def missing_block_by_vendor(self) -> DataFrame:
-        c = self.config.columns
-        return quality.missing_block_by_group(self.raw, c.passengers, c.vendor)
+        base = quality.block_base(self.trips.columns, self.patterns.frame)
+        return quality.missing_block_by_group(self.trips, base, self.config.columns.vendor)
 
     def duplicates(self) -> DataFrame:
         return quality.duplicate_count(self.raw)
 
     def distance_quantiles(self) -> DataFrame:
-        return quality.quantile_interpolation(
-            self.raw, self.config.columns.distance, rows=self.raw_rows, staging=self.staging
-        )
+        return quality.quantile_interpolation(self.raw, self.config.columns.distance)
 
     def speed_by_passengers(self, keep_null_group: bool = True) -> DataFrame:
         return aggregates.speed_by_passengers(
-            self.raw, self.config.columns, keep_null_group, self.raw_rows, self.staging
+            self.raw, self.config.columns, keep_null_group, self.staging
         )
 
     @cached_property
@@ -166,13 +186,12 @@ class TripStudy:
             self.label_names,
             self.config.columns,
             self.config.short_trip_miles,
-            self.clean.rows,
             self.staging,
         )
 
     def describe(self) -> DataFrame:
         return stats.describe_numeric(
-            self.labelled, self.config.columns.statistics, self.clean.rows, self.staging
+            self.labelled, self.config.columns.statistics, self.staging
         )
 
     @cached_property
@@ -281,16 +300,17 @@ class TripStudy:
         """All result tables by name."""
         self._stage_shared(parallel)
         results = {
-            "scan_shape": self.shape(),
             "quantile_interpolation": self.distance_quantiles(),
             "agg_reconcile": self.passenger_reconcile(),
-            "null_count_reconcile": self.null_counts(self.raw),
+            "agg_reconcile_summary": self.passenger_reconcile_summary(),
             "null_profile": self.null_profile(),
+            "missing_patterns": self.missing_patterns(),
             "missing_block": self.missing_block(),
             "missing_block_by_group": self.missing_block_by_vendor(),
             "sentinel_profile": self.sentinels(),
             "duplicate_count": self.duplicates(),
             "clean_audit": self.audit(),
+            "route_medians": self.labels.routes.frame,
             "label_meta": self.label_meta(),
             "label_profile": self.label_profile(),
             "describe_numeric": self.describe(),
@@ -303,11 +323,17 @@ class TripStudy:
             "distance_histogram": self.distance_histogram(),
             "ttest_summary": self.tests(),
         }
+        for name in self.label_names:
+            results[f"class_distribution_{name}"] = metrics.class_distribution(self.labelled, name)
+        if self.other is not None:
+            results["scan_shape"] = self.shape()
+            results["null_count_reconcile"] = self.null_counts()
         if with_models:
             results["model_comparison"] = self.model_comparison()
             for name, evaluation in self._evaluations.items():
                 results[f"classification_report_{name}"] = evaluation.report
                 results[f"confusion_matrix_{name}"] = evaluation.confusion
+                results[f"baseline_metrics_{name}"] = evaluation.baseline
         return results
 
     def run(
@@ -324,7 +350,7 @@ class TripStudy:
 
     def with_config(self, **changes) -> TripStudy:
         """A new study of the same trips with some settings changed."""
-        return TripStudy(self.raw, replace(self.config, **changes), self.staging, self.raw_rows)
+        return TripStudy(self.raw, replace(self.config, **changes), self.staging, self.other)
 
 
 COMPARISON_SCHEMA = (

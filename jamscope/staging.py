@@ -9,9 +9,8 @@ read from the Parquet footers, so size checks cost no further pass.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,22 +28,10 @@ class Staged:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables, as the session names it."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or where that is unset
+    the warehouse, which a session shares with its executors by definition."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set: name a folder that every executor can reach"
-        )
-    return _single_machine_root()
-
-
-@lru_cache(maxsize=1)
-def _single_machine_root() -> str:
-    """A temporary folder for local mode, where driver and executors share the machine."""
-    return tempfile.mkdtemp(prefix="jamscope-")
+    return root or f"{spark.conf.get('spark.sql.warehouse.dir')}/staging"
 
 
 class StagingArea:
@@ -59,3 +46,14 @@ class StagingArea:
         path = f"{self.path}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         return Staged(self.spark.read.schema(df.schema).parquet(path), path)
+
+    def remove(self) -> None:
+        """Delete all staged tables; frames that read them are of no use afterwards."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def __enter__(self) -> StagingArea:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.remove()

@@ -80,7 +80,7 @@ LABELLED = (
     + """,
 routes AS (
   SELECT pu_zone, do_zone, median(speed_mph) AS route_median_mph, count(*) AS route_trips
-  FROM clean GROUP BY pu_zone, do_zone HAVING count(*) >= 30
+  FROM clean GROUP BY pu_zone, do_zone HAVING count(*) >= 10
 ),
 ratios AS MATERIALIZED (
   SELECT c.*, r.route_median_mph, c.speed_mph/r.route_median_mph AS speed_ratio
@@ -98,6 +98,16 @@ labelled AS MATERIALIZED (
 )
 
 KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
+# A pseudorandom place of a trip, from the text of its keys.
+PLACE = f"CAST('0x' || substr(md5(concat_ws('|', '42', {KEYS})), 1, 15) AS BIGINT)"
+SPLIT_SIZES = """,
+sizes AS (SELECT jam_abs, count(*) AS n, sum(count(*)) OVER () AS total FROM labelled
+          GROUP BY jam_abs),
+shares AS (SELECT *, total - ceil(0.2::DOUBLE*total) AS n_train FROM sizes),
+floors AS (SELECT *, floor(n_train*n/total) AS f, n_train*n/total - floor(n_train*n/total) AS rest
+           FROM shares),
+train AS (SELECT *, f + CAST(row_number() OVER (ORDER BY rest DESC, jam_abs)
+            <= n_train - sum(f) OVER () AS INTEGER) AS k FROM floors)"""
 STAT_COLUMNS = [
     "trip_distance",
     "duration_min",
@@ -448,8 +458,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "scan_shape": _with(
             TRIPS,
-            """SELECT count(*) AS n_rows, 16 AS n_cols, count(*) AS n_rows_right,
-               16 AS n_cols_right, true AS shape_match FROM trips""",
+            """SELECT count(*) AS n_rows, 16 AS n_cols,
+               count(*) + count(*) FILTER (WHERE l_partkey % 50 = 0) AS n_rows_right,
+               16 AS n_cols_right, count(*) FILTER (WHERE l_partkey % 50 = 0) = 0 AS shape_match
+               FROM trips""",
         ),
         "time_features": _with(
             FEAT,
@@ -482,7 +494,7 @@ def oracle_sql() -> dict[str, str]:
             TRIPS
             + """,
 marked AS (SELECT * REPLACE (CASE WHEN ratecode_id <> 99 THEN ratecode_id END AS ratecode_id)
-           FROM trips)""",
+           FROM (SELECT * FROM trips UNION ALL SELECT * FROM trips WHERE l_partkey % 50 = 0))""",
             f"""SELECT a."column", n_null_left, n_null_right, n_null_left = n_null_right AS match,
               bool_and(n_null_left = n_null_right) OVER () AS all_match,
               (sum(n_null_left) OVER ())::BIGINT AS total_null_left
@@ -517,6 +529,14 @@ marked AS (SELECT * REPLACE (CASE WHEN ratecode_id <> 99 THEN ratecode_id END AS
                  count(*) FILTER (WHERE passenger_count IS NOT NULL) AS n_rest
                  FROM trips WHERE vendor_id IS NOT NULL GROUP BY vendor_id)""",
         ),
+        "missing_block_by_group_other": _with(
+            TRIPS,
+            """SELECT vendor_id, n_block, n_rest, CASE WHEN n_rest = 0 THEN 'block_only'
+                 WHEN n_block = 0 THEN 'rest_only' ELSE 'both' END AS presence
+               FROM (SELECT vendor_id, count(*) FILTER (WHERE l_linenumber = 1) AS n_block,
+                 count(*) FILTER (WHERE l_linenumber <> 1) AS n_rest
+                 FROM trips WHERE vendor_id IS NOT NULL GROUP BY vendor_id)""",
+        ),
         "duplicate_count": _with(
             DOUBLED,
             """SELECT count(*) AS n_rows,
@@ -656,16 +676,23 @@ high AS (SELECT hour, s FROM h ORDER BY s DESC, hour LIMIT 1)""",
             """SELECT count(*) AS n_rows, least(5000, count(*)) AS sample_rows,
                least(5000, count(*)) AS distinct_rows FROM labelled""",
         ),
+        "sample_rows": _with(
+            LABELLED, f"SELECT {KEYS} FROM labelled ORDER BY {PLACE}, {KEYS} LIMIT 5000"
+        ),
+        "split_rows": _with(
+            LABELLED + SPLIT_SIZES,
+            f"""SELECT {KEYS}, jam_abs, CASE WHEN row_number() OVER
+                 (PARTITION BY jam_abs ORDER BY {PLACE}, {KEYS}) <= n - k THEN 'test'
+                 ELSE 'train' END AS part
+               FROM labelled JOIN (SELECT jam_abs, n, k FROM train) USING (jam_abs)""",
+        ),
+        "model_coverage": _with(
+            LABELLED,
+            """SELECT jam_abs, count(*) AS n_rows, 0::BIGINT AS n_null
+               FROM labelled GROUP BY jam_abs""",
+        ),
         "split_counts": _with(
-            LABELLED
-            + """,
-sizes AS (SELECT jam_abs, count(*) AS n, sum(count(*)) OVER () AS total FROM labelled
-          GROUP BY jam_abs),
-shares AS (SELECT *, total - ceil(0.2::DOUBLE*total) AS n_train FROM sizes),
-floors AS (SELECT *, floor(n_train*n/total) AS f, n_train*n/total - floor(n_train*n/total) AS rest
-           FROM shares),
-train AS (SELECT *, f + CAST(row_number() OVER (ORDER BY rest DESC, jam_abs)
-            <= n_train - sum(f) OVER () AS INTEGER) AS k FROM floors)""",
+            LABELLED + SPLIT_SIZES,
             """SELECT 'train' AS part, jam_abs, k::BIGINT AS n FROM train
                UNION ALL SELECT 'test', jam_abs, (n - k)::BIGINT FROM train""",
         ),

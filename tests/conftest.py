@@ -29,4 +29,4 @@ def staging(spark):
 def small_study(spark, staging):
     """The order-derived trips at the smallest scale, where a route needs 10 trips."""
     view = order_trips(spark, f"{TESTDATA}/sf0.001")
-    return TripStudy.of_view(view, order_trip_config(min_route_trips=10), staging)
+    return TripStudy.of_view(view, order_trip_config(), staging)

@@ -32,10 +32,21 @@ def test_sample_does_not_depend_on_partitions(numbered):
     assert ids[0] != ids[2]
 
 
-def test_sample_refuses_identical_rows(spark):
-    df = spark.range(100).select(F.lit(1).alias("x"))
-    with pytest.raises(ValueError, match="identical rows"):
-        sampling.sample_exact(df, 10, 100)
+def test_identical_rows_come_in_as_far_as_needed(spark):
+    df = spark.range(100).select((F.col("id") % 2).alias("x"), F.lit(1).alias("label"))
+    assert sampling.sample_exact(df, 10, 100).count() == 10
+    train, test = sampling.stratified_split(df, "label", 0.33)
+    assert (train.count(), test.count()) == (67, 33)
+    both = [r["x"] for part in (train, test) for r in part.collect()]
+    assert sorted(both) == [0] * 50 + [1] * 50
+
+
+def test_tied_rows_are_split_without_loss(numbered):
+    tied = F.lit(7).cast("bigint")
+    train, test = sampling.stratified_split(numbered, "label", 0.2, order=tied)
+    assert test.count() == 4000
+    ids = {r["id"] for part in (train, test) for r in part.collect()}
+    assert len(ids) == 20_000
 
 
 @pytest.mark.parametrize("fraction", [0.2, 0.33])
@@ -59,7 +70,7 @@ def test_allocation_by_largest_remainder():
 def test_numeric_statistics_after_imputation(spark):
     rows = [(1.0, 5.0), (None, 5.0), (4.0, 5.0), (None, 5.0), (10.0, 5.0)]
     df = spark.createDataFrame(rows, "x double, k double")
-    fitted = features.fit_scalings(df, ["x", "k"], rows=5)
+    fitted = features.fit_scalings(df, ["x", "k"])
     filled = np.array([1, 4, 4, 4, 10.0])
     assert fitted["x"].median == 4.0
     assert fitted["x"].mean == pytest.approx(filled.mean())

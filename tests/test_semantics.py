@@ -217,7 +217,7 @@ def test_passenger_groups_keep_or_drop_null(spark, staging):
     kept = aggregates.speed_by_passengers(df, staging=staging).collect()
     assert [(r["passenger_count"], r["trips"]) for r in kept] == [(None, 1), (1, 2)]
     assert kept[1]["median_speed"] == 9.0
-    dropped = aggregates.speed_by_passengers(df, keep_null_group=False, rows=5).collect()
+    dropped = aggregates.speed_by_passengers(df, keep_null_group=False, staging=staging).collect()
     assert [(r["passenger_count"], r["trips"]) for r in dropped] == [(1, 2)]
 
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import subprocess
+import sys
+from dataclasses import replace
+
 import pytest
 from conftest import TESTDATA
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from jamscope.functions.trips import add_time_features
-from jamscope.operators import aggregates, quantiles
+from jamscope.operators import forest
+from jamscope.operators.quantiles import quantile_table
 from jamscope.plans.order_trips import order_trip_config, order_trips
 from jamscope.plans.study import TripStudy
 from jamscope.sources.tables import (
@@ -83,15 +90,18 @@ def test_period_reaches_the_scan(small_study):
 
 def test_speed_aggregate_reads_few_columns(small_study):
     c = small_study.config.columns
-    df = aggregates.speed_by_passengers(small_study.raw, c, rows=small_study.raw_rows)
-    plan = plan_of(df)
-    schema = plan[plan.index("ReadSchema") :].split("\n")[0]
-    assert "fare_amount" not in schema
+    scan = small_study.raw.where(F.col(c.distance) > 0)
+    plan = plan_of(
+        quantile_table(scan, F.col(c.distance) / F.col(c.passengers), {"m": 0.5})
+    )
+    schemas = [line for line in plan.split("\n") if "ReadSchema" in line]
+    assert schemas and all("fare_amount" not in line for line in schemas)
     assert "GreaterThan(trip_distance,0.0)" in plan
 
 
-def test_route_join_is_sized_by_the_planner(small_study):
-    assert "BroadcastHashJoin" in plan_of(small_study.labelled)
+def test_labelled_trips_are_staged_once(small_study):
+    plan = plan_of(small_study.labelled)
+    assert "Join" not in plan and "Exchange" not in plan
 
 
 @pytest.mark.parametrize(
@@ -115,34 +125,59 @@ def test_audit_and_labels(spark, scale, least, remaining, rows):
     assert study.labels.abs_threshold == pytest.approx(2.8)
 
 
-def test_large_tables_give_the_same_results(small_study, monkeypatch):
-    """The path for tables beyond a task's memory, forced on the whole study."""
-    names = [
-        "distance_quantiles",
-        "speed_by_passengers",
-        "label_meta",
-        "label_profile",
-        "describe",
-        "labelled",
-    ]
-
-    def results(study):
-        tables = {n: getattr(study, n) for n in names}
-        tables = {n: t() if callable(t) else t for n, t in tables.items()}
-        return {
-            n: sorted(
-                [
-                    tuple(f"{v:.9g}" if isinstance(v, float) else str(v) for v in row)
-                    for row in t.collect()
-                ]
-            )
-            for n, t in tables.items()
-        }
-
-    expected = results(small_study)
-    monkeypatch.setattr(quantiles, "IN_MEMORY_ROWS", 200)
-    forced = small_study.with_config(min_route_trips=10)
-    assert results(forced) == expected
+@pytest.mark.parametrize("zone", ["America/New_York", "UTC", "Asia/Tokyo"])
+def test_period_does_not_move_with_the_drivers_time_zone(zone):
+    """In a process of its own, as the zone of a driver is fixed when it starts."""
+    program = """
+import datetime as dt
+from check_oracle import session
+from jamscope.operators.cleaning import within_period
+from jamscope.config import CleaningRules, ColumnMap
+spark = session("1")
+times = ["2026-04-30 23:59:59", "2026-05-01 00:00:00", "2026-05-31 23:59:59", "2026-06-01 00:00:00"]
+df = spark.createDataFrame([(t,) for t in times], "t string")
+df = df.selectExpr("t", "to_timestamp_ntz(t) AS tpep_pickup_datetime")
+print("KEPT", [r.t for r in df.where(within_period(ColumnMap(), CleaningRules())).collect()])
+"""
+    done = subprocess.run(
+        [sys.executable, "-c", program],
+        env=os.environ | {"TZ": zone},
+        cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
+        capture_output=True,
+        text=True,
+        timeout=180,
+        check=True,
+    )
+    assert "KEPT ['2026-05-01 00:00:00', '2026-05-31 23:59:59']" in done.stdout
+
+
+def test_block_follows_the_data(small_study):
+    config, staging = small_study.config, small_study.staging
+    assert small_study.missing_block_by_vendor().count() > 0
+    full = small_study.raw.na.fill(0).na.fill("x")
+    none = TripStudy(full, config, staging)
+    assert not none.missing_block().first()["has_block"]
+    assert none.missing_block_by_vendor().count() == 0
+    one = TripStudy(full.withColumn("store_flag", F.lit(None).cast("string")), config, staging)
+    assert one.missing_block_by_vendor().count() == 0  # a single column is no block
+
+
+def test_two_copies_of_the_trips(small_study):
+    with pytest.raises(ValueError, match="other copy"):
+        small_study.shape()
+    with pytest.raises(ValueError, match="other copy"):
+        small_study.null_counts()
+    twice = TripStudy(small_study.raw, small_study.config, small_study.staging, small_study.raw)
+    assert twice.shape().first()["shape_match"]
+    assert twice.null_counts().first()["all_match"]
+
+
+def test_staged_tables_can_be_removed(spark, small_study):
+    with TripStudy(small_study.raw, small_study.config) as study:
+        path = study.clean.path
+        assert spark.read.parquet(path).count() == study.clean.rows
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
 
 
 def test_labels_without_reliable_routes(small_study):
@@ -152,11 +187,21 @@ def test_labels_without_reliable_routes(small_study):
 
 
 def test_whole_study(small_study, spark, tmp_path):
-    paths = small_study.run(str(tmp_path), with_models=False)
-    assert len(paths) == 21
+    model = replace(small_study.config.model, trees=5, max_depth=6, min_category_rows=20)
+    config = replace(small_study.config, model=model)
+    study = TripStudy(small_study.raw, config, small_study.staging, small_study.raw)
+    paths = study.run(str(tmp_path))
+    expected = {"scan_shape", "null_count_reconcile", "missing_patterns", "route_medians"}
+    expected |= {f"{kind}_{label}" for label in study.label_names for kind in (
+        "class_distribution", "classification_report", "confusion_matrix", "baseline_metrics", "model"
+    )}
+    assert expected | {"agg_reconcile_summary", "model_comparison"} <= set(paths)
     for name, path in paths.items():
         # no zone of the smallest scale has enough trips for the ranking
-        assert name == "zone_jam_topk" or spark.read.parquet(path).count() > 0, name
+        if name != "zone_jam_topk" and not name.startswith("model_jam"):
+            assert spark.read.parquet(path).count() > 0, name
+    again = forest.load_model(paths["model_jam_abs"])
+    assert forest.predict(again, study.labelled).count() == study.labelled_rows
 
 
 def test_time_features_of_a_plain_frame(small_study):
