@@ -105,7 +105,7 @@ class ModelSettings:
     min_category_rows: int = 50
     trees: int = 100
     min_leaf_rows: int = 5
-    max_depth: int = 30  # the most that the library allows; the leaf size ends growth before
+    max_depth: int = 15  # up to 30; each level is a pass over the sample
     max_bins: int = 32
 
 
