@@ -13,10 +13,12 @@ stays if it is the first of its word set and no similar set begins earlier.
    and a parity map of the set, of up to 256 bits.
 3. Postings meet by word in sorted streams.  Length filter, positional filter
    and the parity map (whose differing bits are a lower bound of the differing
-   words) leave few false candidates.  One similar set is enough to decide, so a
-   set sends on its likeliest candidate and a mark if there were more.
-4. Candidates are verified on their full word sets.  Marked sets whose candidate
-   does not hold are joined with all their candidates, so none is lost.
+   words) leave few false candidates.  A set sends on its likeliest candidates of
+   a word, and a mark if there were more.
+4. Candidates are verified on their full word sets.  One similar set is enough to
+   decide, so the likeliest is tried first, then the others where it fails.
+   Marked sets of which none holds are joined with all their candidates, so none
+   is lost.
 
 Groups beyond ``GROUP_ROWS`` postings are dealt out anew as pairs of blocks.
 Copies of a line in one batch give one posting, so frequent lines stay small.
@@ -60,6 +62,8 @@ FILTER_BITS = 22
 SEGMENTS = 64
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
+#: Candidates of a set that one word sends on; beyond these it is marked.
+CANDIDATES = 4
 #: Comparisons made at once.
 PIECE = 1 << 18
 #: 64-bit words of the widest parity maps.
@@ -152,16 +156,22 @@ def differing(nx, ny, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return total
 
 
-def may_match(nx, ny, px, py, differ) -> np.ndarray:
-    """Length, positional and parity filter for sets that share a word of their prefixes."""
+def sizes_match(nx, ny, px, py) -> np.ndarray:
+    """Length and positional filter for sets that share a word of their prefixes."""
     a, b = SIMILAR
-    least, most = np.minimum(nx, ny), np.maximum(nx, ny)
-    needed = -(-a * (nx + ny) // (a + b))
     bound = np.minimum(px, py) + np.minimum(nx - px, ny - py)
-    return (b * least >= a * most) & (bound >= needed) & (differ <= nx + ny - 2 * needed)
+    return (b * np.minimum(nx, ny) >= a * np.maximum(nx, ny)) & (bound >= needed(nx, ny))
 
 
-COUNTED = "doc_id long, line int, set_id long, segment int, content binary"
+def needed(nx, ny):
+    """Words that similar sets of these sizes have in common at least."""
+    a, b = SIMILAR
+    return -(-a * (nx + ny) // (a + b))
+
+
+COUNTED = (
+    "set_id long, places array<struct<doc_id: long, line: int>>, segment int, content binary"
+)
 MAPS = ("p0", "p1", "p2", "p3")
 POSTING = (
     "word long, doc_id long, line int, set_id long, n int, at int, "
@@ -170,24 +180,33 @@ POSTING = (
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All lines with words; and at last the word counts of the task, in segments."""
+    """The word sets of lines with all their places, for pieces of texts; and at last the word
+    counts of the task, in segments."""
     counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    names = [f.split()[0] for f in COUNTED.split(", ")]
+    names, place = ["set_id", "places", "segment", "content"], [("doc_id", pa.int64()), ("line", pa.int32())]
     for batch in small_batches(batches, "text"):
         for ids, sets in _line_sets(batch, None):
             bucket = (sets.all_words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
             counts += np.bincount(bucket, minlength=len(counts)).astype(np.uint32)
-            n = len(sets.ids)
+            order = np.argsort(sets.ids, kind="stable")
+            own, start = np.unique(sets.ids[order], return_index=True)
+            places = pa.StructArray.from_arrays(
+                [
+                    pa.array(ids[sets.text][order], pa.int64()),
+                    pa.array(sets.line[order].astype(np.int32)),
+                ],
+                names=["doc_id", "line"],
+            )
+            offsets = pa.array(np.append(start, len(order)).astype(np.int32))
             columns = [
-                pa.array(ids[sets.text], pa.int64()),
-                pa.array(sets.line.astype(np.int32)),
-                pa.array(sets.ids),
-                pa.nulls(n, pa.int32()),
-                pa.nulls(n, pa.binary()),
+                pa.array(own, pa.int64()),
+                pa.ListArray.from_arrays(offsets, places),
+                pa.nulls(len(own), pa.int32()),
+                pa.nulls(len(own), pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
     parts = [c.tobytes() for c in counts.reshape(SEGMENTS, -1)]
-    none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+    none = [pa.nulls(SEGMENTS, t) for t in (pa.int64(), pa.list_(pa.struct(place)))]
     columns = [*none, pa.array(range(SEGMENTS), pa.int32()), pa.array(parts, pa.binary())]
     yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -218,8 +237,8 @@ def _posted(ids: np.ndarray, sets: LineSets) -> pa.RecordBatch:
 
 
 def _compared(limit: int | None):
-    """For a stream of postings sorted by word and place: of each set the likeliest earlier set
-    that passes the filters, with ``n`` for the differing bits of the parity maps; rows of
+    """For a stream of postings sorted by word and place: of each set the likeliest earlier sets
+    that pass the filters, with ``n`` for the differing bits of the parity maps; rows of
     groups beyond ``limit`` as they are."""
     names = [f.split()[0] for f in POSTING.split(", ")]
 
@@ -244,15 +263,19 @@ def _compared(limit: int | None):
             j = start[i] + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
             good = (set_id[i] != set_id[j]) & ((doc[i] != doc[j]) | (line[i] != line[j]))
             i, j = i[good], j[good]
+            good = sizes_match(n[i], n[j], at[i], at[j])
+            i, j = i[good], j[good]
             differ = differing(n[i], n[j], parity[:, i], parity[:, j])
-            good = may_match(n[i], n[j], at[i], at[j], differ)
+            good = differ <= n[i] + n[j] - 2 * needed(n[i], n[j])
             i, j, differ = i[good], j[good], differ[good].astype(np.int32)
             if len(i):
                 order = np.lexsort((j, differ, i))
                 i, j, differ = i[order], j[order], differ[order]
                 begin = np.flatnonzero(np.diff(i, prepend=-1))
-                more = np.diff(np.append(begin, len(i))) > 1
-                i, j, differ = i[begin], j[begin], differ[begin]
+                count = np.diff(np.append(begin, len(i)))
+                kept = np.arange(len(i)) - np.repeat(begin, count) < CANDIDATES
+                more = np.repeat(count > CANDIDATES, count)[kept]
+                i, j, differ = i[kept], j[kept], differ[kept]
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.int32())]
                 ends = [pa.array(differ), pa.nulls(len(i), pa.int32())]
                 ends += [pa.nulls(len(i), pa.int64())] * MAP_WORDS
@@ -356,7 +379,7 @@ class LineIndex:
         self.spark = docs.sparkSession
         self.parts = scattered(docs)
         found = staged(self.docs.mapInArrow(_counted, COUNTED), "lines")
-        self.lines = found.where("segment IS NULL").select("doc_id", "line", "set_id")
+        self.lines = found.where("segment IS NULL").select("set_id", "places")
         counts = found.where("segment IS NOT NULL").select("segment", "content")
         self.rarity = rarities(_summed(counts, np.add, np.uint32))
 
@@ -376,8 +399,8 @@ class LineIndex:
         return self.docs.mapInArrow(post, POSTING)
 
     def candidates(self) -> DataFrame:
-        """Of each set that has any, an earlier ``other`` that may be similar, the likeliest one,
-        and whether there are ``more``."""
+        """``set_id`` with earlier sets ``other`` that may be similar, the differing bits ``n``, and
+        whether a word had ``more`` of them."""
 
         def compared(postings: DataFrame, limit: int | None) -> DataFrame:
             rows = postings.repartition(self.parts, "word")
@@ -391,11 +414,8 @@ class LineIndex:
         dealt = dealt_in_blocks(hot, "word", "set_id", BLOCK_ROWS)
         pairs = first.where("other IS NOT NULL").select("set_id", "n", "other", "more")
         again = compared(dealt, None).select("set_id", "n", "other", "more")
-        best = pairs.unionByName(again).groupBy("set_id").agg(
-            F.min(F.struct("n", "other")).alias("best"),
-            (F.max("more") | (F.min("other") != F.max("other"))).alias("more"),
-        )
-        return best.select("set_id", F.col("best.other").alias("other"), "more")
+        both = pairs.unionByName(again).groupBy("set_id", "other")
+        return both.agg(F.min("n").alias("n"), F.max("more").alias("more"))
 
     def word_sets(self, wanted: BucketFilter) -> DataFrame:
         """``set_id`` and ``words`` of the sets that pass a filter."""
@@ -434,16 +454,18 @@ class LineIndex:
         pairs = staged(self.candidates(), "pairs")
         ends = pairs.select("set_id").unionByName(pairs.select(F.col("other").alias("set_id")))
         sets = staged(self.word_sets(BucketFilter(ends)), "sets")
-        found = staged(self._verified(pairs, sets), "late")
+        best = pairs.groupBy("set_id").agg(F.min_by("other", F.struct("n", "other")).alias("other"))
+        late = staged(self._verified(best, sets), "late")
         forget_shuffles(self.spark)
-        open_ = pairs.where("more").select("set_id").distinct().join(found, "set_id", "left_anti")
+        rest = pairs.join(best, ["set_id", "other"], "left_anti").join(late, "set_id", "left_anti")
+        late = late.unionByName(staged(self._verified(rest.select("set_id", "other"), sets), "late"))
+        open_ = pairs.where("more").select("set_id").distinct().join(late, "set_id", "left_anti")
         open_ = staged(open_, "open")
-        if open_.isEmpty():
-            return found
-        return found.unionByName(self._thorough(open_))
+        forget_shuffles(self.spark)
+        return late if open_.isEmpty() else late.unionByName(self._thorough(open_))
 
     def _thorough(self, open_: DataFrame) -> DataFrame:
-        """Late ones among sets whose likeliest candidate was false: all candidates are tried."""
+        """Late ones among sets whose sent candidates were all false: all candidates are tried."""
         a, b = SIMILAR
 
         def firsts(postings: DataFrame) -> DataFrame:
@@ -456,13 +478,13 @@ class LineIndex:
         theirs = firsts(self.postings("word", BucketFilter(own.select("word"))))
         x, y = own.alias("x"), theirs.alias("y")
         n, m = F.col("x.n"), F.col("y.n")
-        needed = F.ceil((n + m) * a / (a + b))
+        least = F.ceil((n + m) * a / (a + b))
         rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
         pairs = x.join(y, F.col("x.word") == F.col("y.word")).where(
             (F.col("y.place") < F.col("x.place"))
             & (F.col("x.set_id") != F.col("y.set_id"))
             & (F.least(n, m) * b >= F.greatest(n, m) * a)
-            & (F.least("x.at", "y.at") + rest >= needed)
+            & (F.least("x.at", "y.at") + rest >= least)
         )
         pairs = staged(
             pairs.select("x.set_id", F.col("y.set_id").alias("other")).distinct(), "all-pairs"
@@ -472,15 +494,16 @@ class LineIndex:
 
     def removed(self) -> DataFrame:
         """``doc_id`` (NULL as the last id) and ``line`` of every line that goes."""
-        place = F.struct("doc_id", "line")
-        firsts = self.lines.groupBy("set_id").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+        firsts = self.lines.groupBy("set_id").agg(
+            F.min(F.array_min("places")).alias("first"), F.sum(F.size("places")).alias("n")
+        )
         late = self.late_sets().withColumn("late", F.lit(True))
         marked = firsts.join(late, "set_id", "left").where("n > 1 OR late")
-        return (
-            self.lines.join(marked, "set_id")
-            .where(F.coalesce("late", F.lit(False)) | (place > F.col("first")))
-            .select("doc_id", "line")
-        )
+        is_late = F.coalesce("late", F.lit(False))
+        gone = F.filter("places", lambda p: is_late | (p > F.col("first")))
+        # A frequent line has many places: they are dealt out before they become rows.
+        found = self.lines.join(marked, "set_id").select(gone.alias("gone")).repartition(self.parts)
+        return found.select(F.inline("gone"))
 
 
 def _id(column: str = "doc_id"):
