@@ -16,7 +16,7 @@ from jamscope.functions.trips import (
     duration_minutes,
     speed_mph,
 )
-from jamscope.operators.quality import touches_zone
+from jamscope.operators.quality import COPIES, count_copies, touches_zone
 from jamscope.sources.tables import require_columns
 
 DUPLICATES = "duplicate rows"
@@ -70,31 +70,42 @@ def cleaning_rules(
 
 
 def clean_trips(
-    trips: DataFrame, columns: ColumnMap | None = None, rules: CleaningRules | None = None
+    trips: DataFrame,
+    columns: ColumnMap | None = None,
+    rules: CleaningRules | None = None,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Raw trips that pass every rule, one copy each, with time features and ``speed_mph``.
 
     Copies of a row share the fate of the row, so the row-wise rules go first
     and only survivors, without derived columns, are shuffled to find duplicates.
+    Given the distinct rows (see :func:`count_copies`), nothing is shuffled.
     """
     c, r = columns or ColumnMap(), rules or CleaningRules()
     require_columns(trips, c.required)
     # The raw range comes first on its own: in this form it reaches the Parquet scan.
-    kept = trips.where(within_period(c, r)).na.drop(how="any", subset=c.required)
+    rows = trips if copies is None else copies.drop(COPIES)
+    kept = rows.where(within_period(c, r)).na.drop(how="any", subset=c.required)
     for rule in cleaning_rules(c, r):
         if rule.removes is not None:
             kept = kept.where(~rule.removes)
-    return add_speed(add_time_features(kept.dropDuplicates(), c), c)
+    if copies is None:
+        kept = kept.dropDuplicates()
+    return add_speed(add_time_features(kept, c), c)
 
 
 def clean_audit(
-    trips: DataFrame, columns: ColumnMap | None = None, rules: CleaningRules | None = None
+    trips: DataFrame,
+    columns: ColumnMap | None = None,
+    rules: CleaningRules | None = None,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """Raw rows removed and left after each rule (step 0 is the start), in one pass.
 
     Each row is labelled with the first rule that removes it.  The only wide
     shuffle brings copies of a row together; rows without a required value end
     before the duplicate rule, so all of them collapse to one row per task first.
+    Given the distinct rows (see :func:`count_copies`), there is no such shuffle.
     """
     c = columns or ColumnMap()
     require_columns(trips, c.required)
@@ -107,16 +118,14 @@ def clean_audit(
     verdict = F.when(dropped, F.lit(1))
     for i, rule in enumerate(later, start=3):
         verdict = verdict.when(rule.removes, F.lit(i))
-    copies = (
-        trips.select(
-            verdict.otherwise(F.lit(0)).alias("_rule"),
-            *[F.when(~dropped, F.col(n)).alias(n) for n in trips.columns],
-        )
-        .groupBy("_rule", *trips.columns)
-        .agg(F.count(F.lit(1)).alias("_m"))
-    )
-    per_rule = copies.groupBy("_rule").agg(
-        F.sum("_m").alias("_rows"), F.count(F.lit(1)).alias("_distinct")
+    verdict = verdict.otherwise(F.lit(0)).alias("_rule")
+    if copies is None:
+        known = [F.when(~dropped, F.col(n)).alias(n) for n in trips.columns]
+        labelled = count_copies(trips.select(verdict, *known))
+    else:
+        labelled = copies.select(verdict, COPIES)
+    per_rule = labelled.groupBy("_rule").agg(
+        F.sum(COPIES).alias("_rows"), F.count(F.lit(1)).alias("_distinct")
     )
     # One row per rule from here on.
     totals = per_rule.selectExpr(

@@ -205,12 +205,20 @@ def missing_block_by_group(df: DataFrame, block_column: str | None, group: str)
     )
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows that repeat an earlier row in every column (NULL equals NULL)."""
-    copies = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_m"))
+COPIES = "n_copies"
+
+
+def count_copies(df: DataFrame) -> DataFrame:
+    """The distinct rows (NULL equals NULL) with the number of their copies."""
+    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+
+
+def duplicate_count(df: DataFrame, copies: DataFrame | None = None) -> DataFrame:
+    """Rows that repeat an earlier row in every column; ``copies`` if they are counted already."""
+    copies = count_copies(df) if copies is None else copies
     return copies.agg(
-        F.coalesce(F.sum("_m"), F.lit(0)).alias("n_rows"),
-        F.coalesce(F.sum(F.col("_m") - 1), F.lit(0)).alias("n_duplicates"),
+        F.coalesce(F.sum(COPIES), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum(F.col(COPIES) - 1), F.lit(0)).alias("n_duplicates"),
     )
 
 

@@ -73,11 +73,18 @@ class TripStudy:
         """Raw trips with the time features."""
         return add_time_features(self.raw, self.config.columns)
 
+    @cached_property
+    def copies(self) -> Staged:
+        """The distinct raw trips and their copies: the one shuffle of whole rows."""
+        return self.staging.stage(quality.count_copies(self.raw), "copies")
+
     @cached_property
     def clean(self) -> Staged:
-        return self.staging.stage(
-            cleaning.clean_trips(self.raw, self.config.columns, self.config.cleaning), "clean"
+        config = self.config
+        trips = cleaning.clean_trips(
+            self.raw, config.columns, config.cleaning, self.copies.frame
         )
+        return self.staging.stage(trips, "clean")
 
     @cached_property
     def labels(self) -> labels.LabelledTrips:
@@ -142,7 +149,7 @@ class TripStudy:
         return quality.missing_block_by_group(self.trips, base, self.config.columns.vendor)
 
     def duplicates(self) -> DataFrame:
-        return quality.duplicate_count(self.raw)
+        return quality.duplicate_count(self.raw, self.copies.frame)
 
     def distance_quantiles(self) -> DataFrame:
         return quality.quantile_interpolation(self.raw, self.config.columns.distance)
@@ -173,7 +180,9 @@ class TripStudy:
         )
 
     def audit(self) -> DataFrame:
-        return cleaning.clean_audit(self.raw, self.config.columns, self.config.cleaning)
+        return cleaning.clean_audit(
+            self.raw, self.config.columns, self.config.cleaning, self.copies.frame
+        )
 
     # Labelled data ----------------------------------------------------------
 

@@ -13,7 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from jamscope.functions.trips import add_time_features
-from jamscope.operators import forest
+from jamscope.operators import cleaning, forest, quality
 from jamscope.operators.quantiles import quantile_table
 from jamscope.plans.order_trips import order_trip_config, order_trips
 from jamscope.plans.study import TripStudy
@@ -151,6 +151,17 @@ print("KEPT", [r.t for r in df.where(within_period(ColumnMap(), CleaningRules())
     assert "KEPT ['2026-05-01 00:00:00', '2026-05-31 23:59:59']" in done.stdout
 
 
+def test_counted_copies_give_the_same_results(small_study):
+    """From the staged copies as from the raw trips, with some trips twice."""
+    twice = small_study.raw.unionByName(small_study.raw.where("l_partkey % 7 = 0"))
+    study = TripStudy(twice, small_study.config, small_study.staging)
+    c, rules = study.config.columns, study.config.cleaning
+    assert study.duplicates().collect() == quality.duplicate_count(twice).collect()
+    direct = cleaning.clean_audit(twice, c, rules)
+    assert sorted(study.audit().collect()) == sorted(direct.collect())
+    assert study.clean.rows == cleaning.clean_trips(twice, c, rules).count()
+
+
 def test_block_follows_the_data(small_study):
     config, staging = small_study.config, small_study.staging
     assert small_study.missing_block_by_vendor().count() > 0
