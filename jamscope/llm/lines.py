@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jamscope.llm.common import (
@@ -63,7 +63,7 @@ SEGMENTS = 64
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
 #: Candidates of a set that one word sends on; beyond these it is marked.
-CANDIDATES = 4
+CANDIDATES = 16
 #: Comparisons made at once.
 PIECE = 1 << 18
 #: 64-bit words of the widest parity maps.
@@ -371,6 +371,18 @@ def _line_sets(batch: pa.RecordBatch, rarity: np.ndarray | None) -> Iterator[tup
         yield ids[low:high], LineSets(texts[low:high], rarity)
 
 
+def _differing_bits(n: Column, m: Column) -> Column:
+    """What :func:`differing` counts, for joined postings ``x`` and ``y`` of sizes n and m."""
+    d = [F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}")) for p in MAPS]
+    halves = d[0].bitwiseXOR(d[2]), d[1].bitwiseXOR(d[3])
+    width = F.least(*[F.when(k <= 48, 1).when(k <= 96, 2).otherwise(MAP_WORDS) for k in (n, m)])
+    return (
+        F.when(width == 1, F.bit_count(halves[0].bitwiseXOR(halves[1])))
+        .when(width == 2, F.bit_count(halves[0]) + F.bit_count(halves[1]))
+        .otherwise(sum((F.bit_count(x) for x in d[1:]), F.bit_count(d[0])))
+    )
+
+
 class LineIndex:
     """The lines of ``doc_id, text`` and which of them go; made in a few jobs."""
 
@@ -469,7 +481,7 @@ class LineIndex:
         a, b = SIMILAR
 
         def firsts(postings: DataFrame) -> DataFrame:
-            return postings.groupBy("word", "set_id", "n", "at").agg(
+            return postings.groupBy("word", "set_id", "n", "at", *MAPS).agg(
                 F.min(F.struct("doc_id", "line")).alias("place")
             )
 
@@ -485,6 +497,7 @@ class LineIndex:
             & (F.col("x.set_id") != F.col("y.set_id"))
             & (F.least(n, m) * b >= F.greatest(n, m) * a)
             & (F.least("x.at", "y.at") + rest >= least)
+            & (_differing_bits(n, m) <= n + m - least * 2)
         )
         pairs = staged(
             pairs.select("x.set_id", F.col("y.set_id").alias("other")).distinct(), "all-pairs"
