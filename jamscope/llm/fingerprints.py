@@ -121,10 +121,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     keyed = texts.select("h", F.explode("b").alias("key"))
     ends = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
     pairs = keyed.join(ends, "key").select("h", F.explode(F.array("x", "y")).alias("other"))
-    pairs = staged(
-        pairs.where("h != other").select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")).distinct(),
-        "pairs",
-    )
+    ordered = F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")
+    pairs = staged(pairs.where("h != other").select(*ordered).distinct(), "pairs")
     wanted = BucketFilter(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -232,7 +230,8 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     copy = F.struct(
         F.get(F.array(*map(F.lit, before)), F.col("place")).alias("place"), F.lit(True).alias("more")
     )
-    rows = placed(texts).withColumn("to", F.explode(F.when(first, F.array(own, copy)).otherwise(F.array(own))))
+    targets = F.when(first, F.array(own, copy)).otherwise(F.array(own))
+    rows = placed(texts).withColumn("to", F.explode(targets))
     return (
         rows.select("doc_id", "text", "order", "to.place", "to.more")
         .repartition(parts, "place")

@@ -183,7 +183,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word sets of lines with all their places, for pieces of texts; and at last the word
     counts of the task, in segments."""
     counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
-    names, place = ["set_id", "places", "segment", "content"], [("doc_id", pa.int64()), ("line", pa.int32())]
+    names = ["set_id", "places", "segment", "content"]
+    place = [("doc_id", pa.int64()), ("line", pa.int32())]
     for batch in small_batches(batches, "text"):
         for ids, sets in _line_sets(batch, None):
             bucket = (sets.all_words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
@@ -459,7 +460,8 @@ class LineIndex:
         theirs = sets.select(F.col("set_id").alias("other"), F.col("words").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         similar = common * b >= (F.size("x") + F.size("y") - common) * a
-        return pairs.join(mine, "set_id").join(theirs, "other").where(similar).select("set_id").distinct()
+        both = pairs.join(mine, "set_id").join(theirs, "other")
+        return both.where(similar).select("set_id").distinct()
 
     def late_sets(self) -> DataFrame:
         """``set_id`` of the sets before whose first line a similar one stands."""
@@ -470,7 +472,8 @@ class LineIndex:
         late = staged(self._verified(best, sets), "late")
         forget_shuffles(self.spark)
         rest = pairs.join(best, ["set_id", "other"], "left_anti").join(late, "set_id", "left_anti")
-        late = late.unionByName(staged(self._verified(rest.select("set_id", "other"), sets), "late"))
+        others = self._verified(rest.select("set_id", "other"), sets)
+        late = late.unionByName(staged(others, "late"))
         open_ = pairs.where("more").select("set_id").distinct().join(late, "set_id", "left_anti")
         open_ = staged(open_, "open")
         forget_shuffles(self.spark)
@@ -531,9 +534,8 @@ def _by_document(index: LineIndex) -> DataFrame:
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Lines and removed lines (numbered from 0) of every document."""
-    rows = docs.select(
-        "doc_id", _id().alias("__id"), F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines")
-    )
+    parts = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = docs.select("doc_id", _id().alias("__id"), F.size(parts).alias("n_lines"))
     gone = F.coalesce("removed", F.array().cast("array<int>"))
     # A row of a repeated id has only its own lines.
     own = F.filter(gone, lambda i: i < F.col("n_lines"))

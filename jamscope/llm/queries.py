@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jamscope.llm import bpe, fingerprints, language, lines, mixing, quality, simhash, token_counts, toxicity, urls
+from jamscope.llm import (
+    bpe,
+    fingerprints,
+    language,
+    lines,
+    mixing,
+    quality,
+    simhash,
+    token_counts,
+    toxicity,
+    urls,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +31,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprints.fingerprint_report(docs)
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +74,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_fingerprints, op3_lines, op4_token_counts, op5_urls, op6_toxicity, op7_bpe, op8_language, op9_simhash, op10_mixing)
+    found = (
+        op1_quality_rules,
+        op2_fingerprints,
+        op3_lines,
+        op4_token_counts,
+        op5_urls,
+        op6_toxicity,
+        op7_bpe,
+        op8_language,
+        op9_simhash,
+        op10_mixing,
+    )
     return {f.__name__: f for f in found}
 
 
