@@ -33,7 +33,9 @@ class Rule:
 def within_period(c: ColumnMap, r: CleaningRules) -> Column:
     """The pickup lies in the observation period.  The bounds are wall-clock literals, which no
     time zone, of the session or of the driver, moves."""
-    start, end = (F.expr(f"TIMESTAMP_NTZ '{t:%Y-%m-%d %H:%M:%S.%f}'") for t in (r.period_start, r.period_end))
+    start, end = (
+        F.expr(f"TIMESTAMP_NTZ '{t:%Y-%m-%d %H:%M:%S.%f}'") for t in (r.period_start, r.period_end)
+    )
     return (F.col(c.pickup) >= start) & (F.col(c.pickup) < end)
 
 
