@@ -30,16 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import held_out, small_batches, text_bytes
+from jamscope.llm import simhash
+from jamscope.llm.common import held_out, small_batches, staged, text_bytes
 
 #: Labelled documents that are learned from, on average.
 SAMPLE_DOCUMENTS = 20_000
 #: Words that labels can add to the lexicon.
-MOST_LEARNED = 500
-#: A learned word stands in so many toxic texts at least, and in this share of them, so that
-#: the words of one much-copied text do not join.
-MIN_SUPPORT = 8
-MIN_SHARE = 0.1
+MOST_LEARNED = 5_000
+#: A learned word stands in so many toxic texts at least; near-copies count as one text
+#: together, so that the words of one much-copied text do not join.
+MIN_SUPPORT = 5
 MIN_LOG_ODDS = 2.5
 #: Log odds of a listed word that the sample does not have.
 PRIOR_WEIGHT = 3.0
@@ -101,6 +101,8 @@ INNER_STAND_INS = {"!": "i", "|": "i"}
 
 _BLANK = 32
 _DROPPED = 255
+#: What a text without near-copies adds to the support of its words.
+_WHOLE = 1 << 20
 
 
 @lru_cache(maxsize=1)
@@ -247,38 +249,61 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int = 3
     total = known.count()
     # About ``rows`` rows of two numbers: small enough for every executor.
     chosen = F.broadcast(known.sample(fraction=min(1.0, rows / total) if total else 1.0, seed=seed))
-    return docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
+    return docs.select("doc_id", "text").join(chosen, "doc_id").select("doc_id", "text", "toxic")
+
+
+def weighed(sample: DataFrame) -> DataFrame:
+    """Distinct texts of ``doc_id, text, toxic`` with ``toxic`` and ``share``.
+
+    Copies of one text say no more than the text; near-copies of one label, by
+    SimHash groups, share ``_WHOLE`` between them.
+    """
+    hashed = sample.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    marks = hashed.groupBy("text_hash").agg(F.max("toxic").alias("toxic"))
+    roots = simhash.groups(sample.select("doc_id", "text")).select("text_hash", "root").distinct()
+    known = staged(marks.join(roots, "text_hash"), "copies")
+    label = (F.col("toxic") > 0).alias("label")
+    sizes = known.groupBy("root", label).agg(F.count(F.lit(1)).alias("n"))
+    marked = known.withColumn("label", label).join(sizes, ["root", "label"])
+    shares = marked.select(
+        "text_hash", "toxic", F.ceil(_WHOLE / F.col("n")).cast("long").alias("share")
+    )
+    # About ``SAMPLE_DOCUMENTS`` rows of three numbers.
+    texts = hashed.select("text", "text_hash").dropDuplicates(["text_hash"])
+    return texts.join(F.broadcast(shares), "text_hash").select("text", "toxic", "share")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> ToxicityModel:
-    sample = labelled_sample(docs, labels, rows)
-    # Copies of one text say no more than the text.
-    distinct = sample.groupBy("text").agg(F.max("toxic").alias("toxic"))
+    sample = staged(labelled_sample(docs, labels, rows), "labelled")
+    distinct = weighed(sample)
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, list[int]] = {"": [0, 0]}
+        counts: dict[str, list[int]] = {"": [0, 0, 0]}
         for batch in small_batches(batches, "text"):
-            toxic = batch.column("toxic").to_pylist()
-            for text, label in zip(text_bytes(batch.column("text")), toxic, strict=True):
+            toxic, share = (batch.column(c).to_pylist() for c in ("toxic", "share"))
+            for text, label, part in zip(text_bytes(batch.column("text")), toxic, share, strict=True):
                 found = {""}
                 for piece in folded_pieces(text):
                     found.update(piece.split())
                 for word in found:
                     if len(word) < 3 and word:
                         continue
-                    counts.setdefault(word, [0, 0])[int(label > 0)] += 1
+                    count = counts.setdefault(word, [0, 0, 0])
+                    count[int(label > 0)] += 1
+                    count[2] += part if label > 0 else 0
         yield pa.RecordBatch.from_pydict(
             {
                 "word": list(counts),
                 "clean": [c[0] for c in counts.values()],
                 "toxic": [c[1] for c in counts.values()],
+                "support": [c[2] for c in counts.values()],
             }
         )
 
     counted = (
-        distinct.mapInArrow(words, "word string, clean long, toxic long")
+        distinct.mapInArrow(words, "word string, clean long, toxic long, support long")
         .groupBy("word")
-        .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        .agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "support")])
     )
     totals = counted.where("word = ''").first()
     clean, toxic = (totals["clean"], totals["toxic"]) if totals else (0, 0)
@@ -286,9 +311,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_DOCUMENTS) -> T
     listed = {folded(w).strip() for w in INSULTS}
     listed |= {w + "s" for w in listed}
     scored = counted.where("word != ''").withColumn("odds", odds)
-    support = max(MIN_SUPPORT, MIN_SHARE * toxic)
-    strong = (F.col("toxic") >= support) & (F.col("odds") >= MIN_LOG_ODDS)
-    best = scored.where(strong).orderBy(F.desc("toxic"), "word").limit(MOST_LEARNED).collect()
+    supported = F.col("support") >= MIN_SUPPORT * _WHOLE  # shares are rounded up
+    strong = supported & (F.col("odds") >= MIN_LOG_ODDS)
+    best = scored.where(strong).orderBy(F.desc("support"), "word").limit(MOST_LEARNED).collect()
     weights = {w: PRIOR_WEIGHT for w in listed}
     for row in scored.where(F.col("word").isin(sorted(listed))).collect():
         seen = row["clean"] + row["toxic"]

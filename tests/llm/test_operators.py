@@ -346,6 +346,27 @@ def test_toxicity_on_held_out_documents(spark):
     assert right > 0.94 and wrongly < 0.01 and caught > 0.5
 
 
+def test_toxic_words_of_a_small_language(spark):
+    """Words in five texts of 100 toxic ones join; words of five near-copies of one text do not."""
+    rng = random.Random(9)
+
+    def text(*extra):
+        words = [f"plain{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(200)]
+        return " ".join([*words, *extra])
+
+    rows = [(text("idiot"), 1) for _ in range(95)] + [(text("grobian"), 1) for _ in range(5)]
+    copied = text("onceonly")
+    rows += [(f"{copied} {w}", 1) for w in ("one", "two", "three", "four", "five", "six")]
+    rows += [(text(), 0) for _ in range(400)]
+    ids = [i for i in range(10_000) if not is_held_out(i)][: len(rows)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in zip(ids, rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in zip(ids, rows)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels)
+    assert "grobian" in model.weights and "onceoniy" not in model.weights
+    total, words = model.measure(text("GRÖBIAN").encode())
+    assert model.probability(np.array([total]), np.array([words]))[0] >= toxicity.THRESHOLD
+
+
 @pytest.mark.parametrize(
     ("text", "hit"),
     [
