@@ -1,8 +1,10 @@
 """URL filters: path rules, then a classifier over the words inside host names.
 
 Host names run words together (``bestcasinobonus``).  A unigram model counts
-words over all distinct hosts and paths; Viterbi cuts each name into the words
-of the most likely product.  Multinomial naive Bayes then scores the segmented
+words where they stand apart, in paths and in labels with several words; whole
+labels are then cut by it, and their parts count as well.  A whole label never
+speaks for itself being a word, so names are cut alike in tables of any size.
+Viterbi cuts each name into the words of the most likely product.  Multinomial naive Bayes then scores the segmented
 host and path words of a URL as wanted or not.
 
 The classifier learns from a bounded sample of labelled URLs.  ``weak_labels``
@@ -27,6 +29,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jamscope.llm.common import staged
+
 #: The rules (text, verdict); the text is a host and the start of a path.
 RULES = (
     ("org/", "allow"),
@@ -44,6 +48,10 @@ UNWANTED = (
 #: Words of the unigram model: this many of the most frequent ones, and those above.
 VOCABULARY = 50_000
 LONGEST_WORD = 24
+#: An unknown part of a cut name has so many letters at least.
+UNKNOWN_PART = 4
+#: How often whole labels are cut to count their parts.
+ROUNDS = 2
 #: URLs that are learned from, on average.
 SAMPLE_URLS = 20_000
 #: Distinct tokens a classifier holds, the most frequent ones.
@@ -74,9 +82,14 @@ def longest_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...])
 
 @dataclass
 class Segmenter:
-    """Words with their counts; ``split`` finds the most likely words of a name."""
+    """Words with their counts; ``split`` finds the most likely words of a name.
+
+    ``labels`` are words known only from a whole label: they can be parts of other names,
+    but a name that is one of them is cut as if it was unknown.
+    """
 
     counts: dict[str, int]
+    labels: frozenset[str] = frozenset()
     _known: dict[str, list[str]] = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
@@ -85,14 +98,19 @@ class Segmenter:
         self._total = math.log(total)
 
     def __getstate__(self) -> dict:
-        return {"counts": self.counts}
+        return {"counts": self.counts, "labels": self.labels}
 
     def __setstate__(self, state: dict) -> None:
-        self.__init__(state["counts"])
+        self.__init__(state["counts"], state["labels"])
+
+    def _cost(self, word: str, whole: bool) -> float:
+        """Log probability; an unknown word loses a factor of ten with each letter.
 
-    def _cost(self, word: str) -> float:
-        """Log probability; an unknown word loses a factor of ten with each letter."""
-        known = self._log.get(word)
+        Single letters and short unknown words are no parts of a longer name.
+        """
+        known = None if whole and word in self.labels else self._log.get(word)
+        if not whole and len(word) < (2 if known is not None else UNKNOWN_PART):
+            return -math.inf
         return known if known is not None else -self._total - len(word) * math.log(10)
 
     def split(self, name: str) -> list[str]:
@@ -106,7 +124,7 @@ class Segmenter:
         best, cut = [0.0], [0]
         for end in range(1, len(name) + 1):
             score, start = max(
-                (best[s] + self._cost(name[s:end]), s)
+                (best[s] + self._cost(name[s:end], end - s == len(name)), s)
                 for s in range(max(0, end - LONGEST_WORD), end)
             )
             best.append(score)
@@ -115,7 +133,9 @@ class Segmenter:
         while end:
             words.append(name[cut[end] : end])
             end = cut[end]
-        return words[::-1]
+        # A name that is unknown for the most part stays whole.
+        known = sum(len(w) for w in words if w in self._log)
+        return words[::-1] if 2 * known >= len(name) and best[-1] > -math.inf else [name][: len(name)]
 
     def host_words(self, host: str) -> list[str]:
         return [w for name in re.findall(LETTERS, host) for w in self.split(name)]
@@ -129,22 +149,52 @@ class Segmenter:
 
 
 def learn_segmenter(hosts: DataFrame, vocabulary: int = VOCABULARY) -> Segmenter:
-    """Counts over all distinct hosts and paths of ``host, path``.
+    """Counts over the paths and labels of ``host, path``.
 
-    Distinct ones, so that a busy host does not make its whole name a word.
+    A path word counts once a host, unless it is a label of that host; the words of a label
+    with several count once a label.  Each other label is cut, and adds one to its parts.
     """
-    names = hosts.select("host").distinct().select(F.col("host").alias("name"))
-    names = names.unionByName(
-        hosts.select(F.lower("path").alias("name")).distinct()
+    runs = F.regexp_extract_all("label", F.lit(LETTERS), F.lit(0))
+    parts_of = F.split("host", r"\.")
+    labels = hosts.select(F.explode(parts_of).alias("label")).distinct().select(runs.alias("runs"))
+    in_path = F.explode(F.regexp_extract_all(F.lower("path"), F.lit(LETTERS), F.lit(0)))
+    apart = (
+        hosts.select("host", parts_of.alias("labels"), in_path.alias("w"))
+        .where(~F.array_contains("labels", F.col("w")))
+        .select("host", "w")
+        .distinct()
+        .select("w")
+        .unionByName(labels.where(F.size("runs") > 1).select(F.explode(F.array_distinct("runs")).alias("w")))
+        .where(F.length("w") <= LONGEST_WORD)
     )
-    words = names.select(F.explode(F.regexp_extract_all("name", F.lit(LETTERS), F.lit(0))).alias("w"))
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(vocabulary).collect()
-    counts = {r["w"]: r["count"] for r in top if len(r["w"]) <= LONGEST_WORD}
-    # Listed words are words, however rare they are.
-    floor = max(2, sum(counts.values()) // 10_000)
-    for word in UNWANTED:
-        counts[word] = max(counts.get(word, 0), floor)
-    return Segmenter(counts)
+    apart = staged(apart.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "words")
+    whole = staged(labels.where(F.size("runs") == 1).select(F.col("runs")[0].alias("w")).distinct(), "labels")
+
+    def model(votes: DataFrame) -> Segmenter:
+        """From rows of ``w``, ``n`` and how many of these come from elsewhere, ``others``."""
+        words = votes.groupBy("w").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
+        top = words.orderBy(F.desc("n"), "w").limit(vocabulary).collect()
+        counts = {r["w"]: r["n"] for r in top}
+        # Listed words are words, however rare they are.
+        floor = max(2, sum(counts.values()) // 10_000)
+        for word in UNWANTED:
+            counts[word] = max(counts.get(word, 0), floor)
+        return Segmenter(counts, frozenset(r["w"] for r in top if not r["others"]) - set(UNWANTED))
+
+    def cut_by(segmenter: Segmenter):
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = [(w, 1, int(w != name)) for name in batch["w"] for w in segmenter.split(name)]
+                yield pd.DataFrame(rows, columns=["w", "n", "others"])
+
+        return cut
+
+    given = apart.select("w", "n", F.col("n").alias("others"))
+    segmenter = model(given)
+    for _ in range(ROUNDS):
+        cut = whole.mapInPandas(cut_by(segmenter), "w string, n long, others long")
+        segmenter = model(given.unionByName(cut.where(F.length("w") <= LONGEST_WORD)))
+    return segmenter
 
 
 def weak_labels(segmenter: Segmenter):

@@ -328,6 +328,26 @@ def test_segmentation_and_classifier(spark):
     assert segmenter.split("") == []
 
 
+@pytest.mark.parametrize("vocabulary", [urls.VOCABULARY, 45])
+def test_concatenated_hosts(spark, monkeypatch, vocabulary):
+    """Names of joined words are cut, whether or not the vocabulary has room for the names."""
+    learn = urls.learn_segmenter
+    monkeypatch.setattr(urls, "learn_segmenter", lambda hosts: learn(hosts, vocabulary))
+    joined = ["freebets", "cheappills", "adstrack", "bestcasinobonus", "casinospam"]
+    calm = ["roads", "windows", "gardening", "theres", "riverside", "essays", "mads", "library"]
+    urls_ = [f"http://{h}/en/top/best-page{i}.html" for h in ("www.weather.com", "blog.news.net") for i in range(9)]
+    urls_ += [f"http://{w}{name}.com/en/page.html" for name in joined + calm for w in ("", "www.", "m.")]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    report = urls.url_report(pages, rules=()).collect()
+    for r in report:
+        assert (r.verdict == "block") == any(name in r.host for name in joined), r
+    hosts = pages.select(urls.host_of(F.col("url")).alias("host"), urls.path_of(F.col("url")).alias("path"))
+    segmenter = urls.learn_segmenter(hosts)
+    cut = [["free", "bets"], ["cheap", "pills"], ["ads", "track"], ["best", "casino", "bonus"], ["casino", "spam"]]
+    assert [segmenter.split(name) for name in joined] == cut
+    assert [segmenter.split(name) for name in calm] == [[name] for name in calm]
+
+
 def is_held_out(doc_id):
     return zlib.crc32(str(doc_id).encode()) % 4 == 2
 
