@@ -7,12 +7,14 @@ value stays.  Signatures estimate the Jaccard similarity of the shingle sets:
 the share of equal places.
 
 ``near_duplicates`` puts similar documents into classes: equal texts fall into
-one class first; signature bands are hashed, and in a band's group every text is
-a candidate with the first and the last of the group, so a group of n gives at
-most 2n candidates; the Jaccard similarity of the shingle sets of candidates is
-verified; connected components give the classes.  A similar pair that no chain
-of such candidates connects is not found; with 32 bands of four rows, a pair at
-similarity 0.8 shares a band all but surely, and most share several.
+one class first; signature bands are hashed, and all texts of a band's group are
+candidates of each other, held back only if their signatures agree in far fewer
+places than similar texts do.  Large groups are dealt out as pairs of blocks.
+A forest of the candidates is verified by the Jaccard similarity of the shingle
+sets; where that leaves several classes among texts that candidates connect, all
+pairs of these classes are verified, again in blocks.  Connected components give
+the classes.  With 32 bands of four rows, a pair at similarity 0.8 shares a band
+and passes the signatures but for a chance of about one in ten millions.
 
 Defined results: NULL counts as empty; texts without words have the fingerprint
 of the empty set, which is like itself (1) and unlike others (0); equal texts
@@ -22,6 +24,7 @@ have equal fingerprints; repeated rows are rows of their own.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +36,13 @@ from pyspark.sql import functions as F
 from jamscope.llm.common import (
     WordBuffer,
     chunks,
+    dealt_in_blocks,
     mixed,
     scattered,
     shingle_spans,
     signed,
     small_batches,
+    sorted_groups,
     staged,
     text_bytes,
 )
@@ -51,6 +56,9 @@ SIMILARITY = 0.8
 SEED = 42
 #: Shingles hashed at once by all permutations; fits a core's cache.
 PIECE = 1 << 13
+#: Larger groups are dealt out as pairs of blocks of so many rows.
+GROUP_ROWS = 1024
+BLOCK_ROWS = 512
 
 _random = np.random.default_rng(SEED)
 _FACTORS = _random.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,27 +112,125 @@ def _band_keys(found: np.ndarray) -> np.ndarray:
     return keys + np.arange(bands.shape[1], dtype=np.uint64)
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id`` and ``class_id``, the smallest id of its class, of every row."""
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("h", F.xxhash64("text"))
+def least_places(similarity: float) -> int:
+    """Places in which signatures of similar texts agree, six deviations below the mean."""
+    spread = math.sqrt(PERMUTATIONS * similarity * (1 - similarity))
+    return max(0, math.floor(PERMUTATIONS * similarity - 6 * spread))
+
+
+def spanning(classes: np.ndarray, similar) -> tuple[list[int], list[int]]:
+    """Links between classes such that similar items are connected; merges ``classes``.
+
+    ``similar(i, others)`` compares an item with others; it is asked for every pair that
+    is not in one class yet.
+    """
+    a, b = [], []
+    for i in range(len(classes) - 1):
+        others = i + 1 + np.flatnonzero(classes[i + 1 :] != classes[i])
+        hit = others[similar(i, others)] if len(others) else others
+        if len(hit):
+            hit = hit[np.unique(classes[hit], return_index=True)[1]]
+            a += [i] * len(hit)
+            b += hit.tolist()
+            classes[np.isin(classes, classes[hit])] = classes[i]
+    return a, b
+
+
+def _like_signatures(similarity: float):
+    """Links within a group of texts with signatures: the likeliest first, then all candidates."""
+
+    def links(h: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found = np.frombuffer(b"".join(found), np.uint32).reshape(len(h), PERMUTATIONS)
+        classes = np.arange(len(h))
+        a, b = [], []
+        for least in (math.ceil(PERMUTATIONS * similarity), least_places(similarity)):
+            x, y = spanning(
+                classes, lambda i, others: (found[others] == found[i]).sum(axis=1) >= least
+            )
+            a += x
+            b += y
+        return h[a], h[b]
+
+    return links
+
+
+def _like_sets(similarity: float):
+    """Links within a group of texts of known classes, by the Jaccard similarity of their sets."""
+
+    def links(h: np.ndarray, known: np.ndarray, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(x) // 8 for x in sets])
+        values, place = np.unique(np.frombuffer(b"".join(sets), np.int64), return_inverse=True)
+        begin = np.concatenate([[0], np.cumsum(size)])
+        own = np.zeros(len(values), dtype=bool)
+
+        def similar(i: int, others: np.ndarray) -> np.ndarray:
+            low, high = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
+            alike = low >= similarity * high
+            own[place[begin[i] : begin[i + 1]]] = True
+            for k in np.flatnonzero(alike):
+                j = others[k]
+                common = np.count_nonzero(own[place[begin[j] : begin[j + 1]]])
+                alike[k] = common >= similarity * (size[i] + size[j] - common)
+            own[place[begin[i] : begin[i + 1]]] = False
+            return alike
+
+        a, b = spanning(np.unique(known, return_inverse=True)[1], similar)
+        return h[a], h[b]
+
+    return links
+
+
+def _links_in_groups(rows: DataFrame, links, name: str) -> DataFrame:
+    """``a, b``: what ``links`` finds among the rows (``key``, ``h``, others) of each key."""
+    parts = scattered(rows)
+    others = [c for c in rows.columns if c != "key"]
+    types = dict(rows.dtypes)
+    fields = "a long, b long, key long, " + ", ".join(f"{c} {types[c]}" for c in others)
+    arrow = {"bigint": pa.int64(), "binary": pa.binary()}
+
+    def batch(a, b, key=None, rest=()) -> pa.RecordBatch:
+        n = len(a) if key is None else len(key)
+        values = [pa.nulls(n, pa.int64())] * 2 if key is not None else [pa.array(a), pa.array(b)]
+        values.append(pa.nulls(n, pa.int64()) if key is None else pa.array(key))
+        values += [
+            pa.nulls(n, arrow[types[c]]) if key is None else pa.array(x, arrow[types[c]])
+            for c, x in zip(others, rest or others, strict=True)
+        ]
+        return pa.RecordBatch.from_arrays(values, names=["a", "b", "key", *others])
+
+    def compared(limit: int | None):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for hot, (key, *columns) in sorted_groups(batches, ["key", *others], limit):
+                if hot:
+                    yield batch(None, None, key, columns)
+                    continue
+                cuts = [0, *(np.flatnonzero(np.diff(key)) + 1).tolist(), len(key)]
+                found = [
+                    links(*(c[low:high] for c in columns))
+                    for low, high in zip(cuts, cuts[1:])
+                    if high - low > 1
+                ]
+                if found:
+                    yield batch(*(np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)))
+
+        return run
+
+    def sorted_(frame: DataFrame) -> DataFrame:
+        return frame.select("key", *others).repartition(parts, "key").sortWithinPartitions("key")
+
+    first = staged(sorted_(rows).mapInArrow(compared(GROUP_ROWS), fields), name)
+    hot = first.where("b IS NULL").select("key", *others)
+    dealt = sorted_(dealt_in_blocks(hot, "key", "h", BLOCK_ROWS))
+    again = dealt.mapInArrow(compared(None), fields)
+    return first.where("b IS NOT NULL").select("a", "b").unionByName(again.select("a", "b"))
 
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
-            keys = _band_keys(signatures(text_bytes(batch.column("text"))))
-            arrays = [batch.column("doc_id"), batch.column("h")]
-            arrays.append(pa.array(list(signed(keys)), pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "bands"])
-
-    marked = staged(rows.mapInArrow(banded, "doc_id long, h long, bands array<long>"), "bands")
-    texts = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("bands").alias("b"))
-    keyed = texts.select("h", F.explode("b").alias("key"))
-    ends = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
-    pairs = keyed.join(ends, "key").select("h", F.explode(F.array("x", "y")).alias("other"))
-    ordered = F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b")
-    pairs = staged(pairs.where("h != other").select(*ordered).distinct(), "pairs")
-    wanted = BucketFilter(pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``h`` and the shingle set ``s`` (64-bit values) of rows ``h, text``, once for each ``h``.
+
+    Sets of all ``h`` in the one column of ``wanted``, and of a few others.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(BucketFilter(wanted))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
@@ -138,12 +244,66 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
                 }
             )
 
-    full = rows.mapInArrow(sets, "h long, s array<long>").dropDuplicates(["h"])
+    return rows.select("h", "text").mapInArrow(sets, "h long, s array<long>").dropDuplicates(["h"])
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id`` and ``class_id``, the smallest id of its class, of every row."""
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+
+    def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            found = signatures(text_bytes(batch.column("text")))
+            arrays = [batch.column("doc_id"), batch.column("h")]
+            arrays.append(pa.array([x.tobytes() for x in found], pa.binary()))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "signature"])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = b"".join(batch.column("signature").to_pylist())
+            keys = _band_keys(np.frombuffer(found, np.uint32).reshape(-1, PERMUTATIONS))
+            arrays = [batch.column("h"), pa.array(list(signed(keys)), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "bands"])
+
+    marked = staged(
+        rows.mapInArrow(signed_rows, "doc_id long, h long, signature binary"), "signatures"
+    )
+    texts = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
+    bands = texts.select("h", "signature").mapInArrow(banded, "h long, bands array<long>")
+    keyed = bands.select("h", F.explode("bands").alias("key"))
+    common = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
+    shared = keyed.join(common.select("key"), "key").join(texts.select("h", "signature"), "h")
+    found = _links_in_groups(shared.select("key", "h", "signature"), _like_signatures(similarity), "likely")
+    ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    pairs = staged(found.select(*ordered).distinct(), "pairs")
+
+    # A forest of the candidates.
+    full = shingle_sets(rows, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
     x = full.select(F.col("h").alias("a"), F.col("s").alias("x"))
     y = full.select(F.col("h").alias("b"), F.col("s").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    similar = common >= similarity * (F.size("x") + F.size("y") - common)
-    links = pairs.join(x, "a").join(y, "b").where(similar).select("a", "b")
+    both = F.size(F.array_intersect("x", "y"))
+    similar = both >= similarity * (F.size("x") + F.size("y") - both)
+    links = staged(pairs.join(x, "a").join(y, "b").where(similar).select("a", "b"), "verified")
+
+    # All pairs of classes among texts that candidates connect.
+    connected = components(pairs).select(F.col("node").alias("h"), F.col("root").alias("key"))
+    connected = connected.unionByName(connected.select(F.col("key").alias("h"), "key").distinct())
+    roots = components(links).select(F.col("node").alias("h"), F.col("root").alias("known"))
+    members = connected.join(roots, "h", "left").withColumn("known", F.coalesce("known", "h"))
+    several = members.groupBy("key").agg(F.min("known").alias("x"), F.max("known").alias("y"))
+    members = staged(members.join(several.where("x != y").select("key"), "key"), "open")
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [x.values.to_numpy().tobytes() for x in batch.column("s")]
+            arrays = [batch.column("h"), pa.array(sets, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "s"])
+
+    full = shingle_sets(rows, members.select("h")).mapInArrow(packed, "h long, s binary")
+    open_ = members.join(full, "h").select("key", "h", "known", "s")
+    links = links.unionByName(_links_in_groups(open_, _like_sets(similarity), "classes"))
+
     roots = components(links).withColumnRenamed("node", "h")
     rooted = texts.select("h", "least").join(roots, "h", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "h"))

@@ -175,6 +175,47 @@ def test_near_duplicate_classes(spark):
     assert {r.class_id for r in found if r.doc_id in (500, 501)} == {500}
 
 
+@pytest.mark.parametrize("limits", [(1024, 512), (16, 8)])
+def test_near_duplicates_against_all_pairs(spark, monkeypatch, limits):
+    """Families with much boilerplate, in which some pairs are similar and most are not."""
+    monkeypatch.setattr(fingerprints, "GROUP_ROWS", limits[0], raising=False)
+    monkeypatch.setattr(fingerprints, "BLOCK_ROWS", limits[1], raising=False)
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    texts = [words(60) for _ in range(30)]
+    shared = words(240)
+    for _ in range(150):  # 150 pairs; about 0.79 between pairs, 0.81 within
+        tail = words(32)
+        texts += [shared + tail, shared + tail[:5] + words(27)]
+    chain = words(100)
+    for k in range(12):  # each like the next, not like the others
+        texts.append(chain[k * 6 :] + [f"c{k}x{i}" for i in range(3)])
+    base = words(90)
+    texts += [base[:-1] + [f"copy{k}"] for k in range(50)]
+    texts = [" ".join(t) for t in texts]
+    order = rng.sample(range(len(texts)), len(texts))
+    docs = spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")
+    sets = [
+        set(fingerprints.shingle_hashes(fingerprints.WordBuffer([texts[k].encode()]))[0].tolist()) for k in order
+    ]
+    links = [
+        (i, j)
+        for i in range(len(sets))
+        for j in range(i)
+        if (c := len(sets[i] & sets[j])) >= 0.8 * (len(sets[i]) + len(sets[j]) - c)
+    ]
+    root = list(range(len(sets)))
+    for i, j in links:
+        low, high = sorted((root[i], root[j]))
+        root = [low if r == high else r for r in root]
+    found = {r.doc_id: r.class_id for r in fingerprints.near_duplicates(docs).collect()}
+    assert [found[i] for i in range(len(sets))] == root
+    assert 150 < len(set(root)) < len(sets) - 150
+
+
 def similar_lines(rows):
     """Removed lines by comparing all pairs."""
     places = []
