@@ -57,6 +57,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_staged(df: DataFrame) -> None:
+    """Delete the staged table that ``df`` reads; nothing may read it afterwards."""
+    spark = df.sparkSession
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of jobs whose results are staged.
 

@@ -37,6 +37,8 @@ from jamscope.llm.common import (
     WordBuffer,
     chunks,
     dealt_in_blocks,
+    forget_shuffles,
+    forget_staged,
     mixed,
     scattered,
     shingle_spans,
@@ -249,6 +251,12 @@ def shingle_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id`` and ``class_id``, the smallest id of its class, of every row."""
+    marked, classes = _classes(docs, similarity)
+    return marked.join(classes, "h").select("doc_id", "class_id")
+
+
+def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, h`` of every row and ``h, class_id`` of every text; ``h`` is its hash."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
 
@@ -308,9 +316,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     rooted = texts.select("h", "least").join(roots, "h", "left")
     rooted = rooted.withColumn("root", F.coalesce("root", "h"))
     least = rooted.groupBy("root").agg(F.min("least").alias("class_id"))
-    return marked.select("doc_id", "h").join(
-        rooted.join(least, "root").select("h", "class_id"), "h"
-    ).select("doc_id", "class_id")
+    return marked.select("doc_id", "h"), rooted.join(least, "root").select("h", "class_id")
 
 
 def printed(signature: np.ndarray) -> str:
@@ -344,14 +350,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def in_descending_order(docs: DataFrame) -> DataFrame:
+def in_descending_order(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """``doc_id`` and ``text`` in partitions of sorted ranges of descending ids.
 
     A range (``place``) ends with the first document of the next one (``more``),
     the last range with the first of all, so each document has its follower
     beside it.  Range bounds are quantiles of the ids; the driver sees one row
     per range, and texts move once.  Rows of one id follow each other by the
-    hash of their text; NULL ids are the last range.
+    hash of their text; NULL ids are the last range.  ``classes`` has one row of
+    ``doc_id, h, class_id`` for each id and text hash; it comes before the rows
+    with that id and text, without a text.
     """
     parts = scattered(docs)
     ranges = 4 * parts  # so that partitions, which get ranges by hash, are even
@@ -392,8 +400,18 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     )
     targets = F.when(first, F.array(own, copy)).otherwise(F.array(own))
     rows = placed(texts).withColumn("to", F.explode(targets))
+    marks = placed(classes).select(
+        "doc_id",
+        F.lit(None).cast("string").alias("text"),
+        F.col("h").alias("order"),
+        "place",
+        F.lit(False).alias("more"),
+        "class_id",
+    )
+    none = F.lit(None).cast("long").alias("class_id")
     return (
-        rows.select("doc_id", "text", "order", "to.place", "to.more")
+        rows.select("doc_id", "text", "order", "to.place", "to.more", none)
+        .unionByName(marks)
         .repartition(parts, "place")
         .sortWithinPartitions("place", "more", F.desc_nulls_last("doc_id"), "order", "text")
     )
@@ -401,21 +419,29 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
 
 REPORT = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, "
-    "edited_fingerprint string, near_edited double, near_next double"
+    "edited_fingerprint string, near_edited double, near_next double, class_id long"
 )
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, with their likeness."""
+    """Fingerprints of every text and of its edited text, with their likeness, and its class."""
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row before: place, id, text and signature
+        last = None  # the row before: place, id, text, signature and class
+        known = None  # the class of the following texts
         for batch in small_batches(batches, "text"):
-            rows = [batch.column(c).to_pylist() for c in ("place", "more", "doc_id")]
+            marks = batch.column("text").is_null().to_pylist()
+            found = []
+            for mark, own in zip(marks, batch.column("class_id").to_pylist(), strict=True):
+                known = own if mark else known
+                found.append(known)
+            found = [c for c, mark in zip(found, marks, strict=True) if not mark]
+            batch = batch.filter(batch.column("text").is_valid())
+            rows = [batch.column(c).to_pylist() for c in ("place", "more", "doc_id")] + [found]
             texts = text_bytes(batch.column("text"))
             for low, high in chunks(texts):
                 found = list(signatures(texts[low:high]))
-                held = [(p, m, i, t.decode("utf-8", "replace"), s) for p, m, i, t, s in zip(
+                held = [(p, m, i, t.decode("utf-8", "replace"), s, h) for p, m, i, h, t, s in zip(
                     *(r[low:high] for r in rows), texts[low:high], found, strict=True
                 )]
                 pairs = [
@@ -438,8 +464,13 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
                             pa.float64(),
                         ),
                         pa.array([likeness(a[4], b[4]) for a, b in pairs], pa.float64()),
+                        pa.array([a[5] for a, _ in pairs], pa.int64()),
                     ],
                     names=[f.split()[0] for f in REPORT.split(", ")],
                 )
 
-    return in_descending_order(docs.select("doc_id", "text")).mapInArrow(report, REPORT)
+    marked, classes = _classes(docs, SIMILARITY)
+    classes = staged(marked.distinct().join(classes, "h").select("doc_id", "h", "class_id"), "classes")
+    forget_staged(marked)
+    forget_shuffles(docs.sparkSession)
+    return in_descending_order(docs.select("doc_id", "text"), classes).mapInArrow(report, REPORT)

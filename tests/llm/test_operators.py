@@ -155,6 +155,14 @@ def test_fingerprints_of_odd_rows(odd_docs, no_docs):
     assert fingerprints.fingerprint_report(no_docs).count() == 0
 
 
+def test_report_has_classes(small, odd_docs):
+    for docs in (small, odd_docs):
+        found = fingerprints.fingerprint_report(docs).collect()
+        classes = fingerprints.near_duplicates(docs.select("doc_id", "text")).collect()
+        assert Counter((r.doc_id, r.class_id) for r in found) == Counter((r.doc_id, r.class_id) for r in classes)
+        assert len({r.class_id for r in found}) < len(found)
+
+
 def test_near_duplicate_classes(spark):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(12)]
