@@ -75,6 +75,19 @@ def forget_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names like the stems that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    found = []
+    for stem in stems:
+        name = f"_{stem}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 def scattered(df: DataFrame) -> int:
     """Shuffle partitions of the session."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
