@@ -34,6 +34,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from jamscope.llm.common import fresh_names, small_batches, text_bytes
 
@@ -179,6 +180,7 @@ class _Chain:
         place = np.unique(place[ranks[place] == rank])
         if not len(place):
             return []
+        every = place
         place = place[_alternating(following[place][:-1] == place[1:])]
         second = following[place]
         beyond, before = following[second], previous[place]
@@ -194,7 +196,8 @@ class _Chain:
         if lower.any():
             piece = np.searchsorted(self.ends, place, side="right")
             apart = np.isin(piece, piece[lower])
-            rest = place[apart].tolist()
+            others = np.searchsorted(self.ends, every, side="right")
+            rest = every[np.isin(others, piece[lower])].tolist()
             kept = (place, second, beyond, before, joined, left, right)
             place, second, beyond, before, joined, left, right = (x[~apart] for x in kept)
         # Of two merges side by side the left one begins the pair.
@@ -388,10 +391,8 @@ def _added(docs: DataFrame, column: str, keep: list[str], added: dict[str, str],
                 kept = [batch.column(i).slice(low, high - low) for i in range(len(keep))]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=[*keep, *added])
 
-    schema = rows.drop(source).schema
-    for name, kind in added.items():
-        schema = schema.add(name, kind)
-    return rows.mapInArrow(run, schema)
+    new = StructType.fromDDL(", ".join(f"{name} {kind}" for name, kind in added.items()))
+    return rows.mapInArrow(run, StructType([*rows.drop(source).schema, *new]))
 
 
 def _kept(docs: DataFrame, keep: list[str] | None, added: str) -> list[str]:

@@ -111,7 +111,8 @@ def test_resampling_of_empty_tables(small, odd):
     assert resampling.resampling_report(none, none).collect() == []
     assert resampling.resampled(none, none).collect() == []
     found = resampling.resampling_report(small, none.select("text"))
-    assert found.where("rank IS NOT NULL").count() == small.count() // 10  # all have 20 words
+    able = found.where("n_features >= 20").count()
+    assert found.where("rank IS NOT NULL").count() == able // 10 > 0
 
 
 def test_radix_ranks(spark, monkeypatch):
