@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from jamscope.operators import quantiles
 from jamscope.operators.quantiles import quantile_table, scalar_quantile
 
 PROBS = {"low": 0.0, "q25": 0.25, "third": 1 / 3, "mid": 0.5, "high": 1.0}
@@ -93,7 +94,35 @@ def test_no_values(spark):
     assert scalar_quantile(df, "x", 0.5) is None
 
 
-def test_no_exchange_of_single_values(frame, staging):
-    """Before the last step only counts per bucket are shuffled."""
-    plan = quantile_table(frame, "x", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("Aggregate") >= 4 and "percentile" not in plan
+def test_no_exchange_of_single_values(frame):
+    """Sketches and counts are added up before they are shuffled; only brackets' values are counted."""
+    data = quantiles.known_values(frame, "x", ["g"])
+    sketched = quantiles.sketches(data, ["g"])
+    state = quantiles.brackets(sketched, ["g"], {"m": 0.5}, "linear", 1)
+    plan = quantiles.counted(data, state, ["g"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_kll_sketch_agg_double" in plan and "partial_count" in plan
+    inside = quantiles.counted(data, state, ["g"]).where("_x IS NOT NULL").agg(F.sum("_n")).first()[0]
+    assert 0 < inside < frame.count() / 2
+
+
+def test_brackets_are_narrowed_until_they_can_be_counted(frame, skewed, staging, monkeypatch):
+    monkeypatch.setattr(quantiles, "COUNTED_ROWS", 20)
+    test_groups(frame, skewed, staging, "linear")
+    test_whole_column(frame, skewed)
+
+
+def test_ranks_that_a_sketch_misses_are_found(frame, skewed, staging, monkeypatch):
+    """A coarse sketch with a margin that is too small misses ranks; the result stays exact."""
+    monkeypatch.setattr(quantiles, "SKETCH_K", 8)
+    monkeypatch.setattr(quantiles, "MARGIN", 0)
+    test_groups(frame, skewed, staging, "nearest")
+    test_whole_column(frame, skewed)
+
+
+def test_heavy_ties_between_ranks(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "COUNTED_ROWS", 10)
+    for low in (1, 499, 500, 501, 999):
+        df = spark.range(1000).select(F.when(F.col("id") < low, 1.0).otherwise(2.0).alias("x"))
+        row = quantile_table(df, "x", {"m": 0.5, "q": 0.75}).first()
+        values = np.array([1.0] * low + [2.0] * (1000 - low))
+        assert (row["m"], row["q"]) == (np.quantile(values, 0.5), np.quantile(values, 0.75))
