@@ -132,8 +132,15 @@ def _standardize(s: TripStudy) -> DataFrame:
 
 def _infrequent_mapping(s: TripStudy) -> DataFrame:
     train, test = arithmetic_split(s.trips)
-    encodings = features.fit_encodings(train, COLUMNS.nominal_features, MIN_ROWS)
-    return features.infrequent_mapping(test, encodings)
+    return features.infrequent_mapping(test, train, COLUMNS.nominal_features, MIN_ROWS)
+
+
+def _encoded_features(s: TripStudy) -> DataFrame:
+    train, test = arithmetic_split(s.trips)
+    numeric, nominal = COLUMNS.numeric_features, COLUMNS.nominal_features
+    return features.encoded_features(
+        test, train, KEY_COLUMNS, numeric, nominal, MIN_ROWS, s.staging
+    )
 
 
 def _feature_width(s: TripStudy) -> DataFrame:
@@ -241,6 +248,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "duplicate_count": lambda s: quality.duplicate_count(doubled(s.raw)),
         "dedup_rows": lambda s: printable_trips(quality.dedup_rows(doubled(s.raw))),
         "quantile_interpolation": lambda s: s.distance_quantiles(),
+        "quantile_reconcile": lambda s: s.quantile_reconcile(COLUMNS.total),
         "clean_audit": lambda s: s.audit(),
         "clean_audit_duplicates": lambda s: clean_audit(
             doubled(s.raw), COLUMNS, s.config.cleaning
@@ -279,6 +287,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             arithmetic_split(s.trips)[0], nominal, MIN_ROWS
         ),
         "infrequent_mapping": _infrequent_mapping,
+        "encoded_features": _encoded_features,
         "feature_width": _feature_width,
         "baseline_metrics": lambda s: metrics.baseline_metrics(
             *arithmetic_split(s.labelled), "jam_abs"

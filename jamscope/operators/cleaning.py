@@ -16,7 +16,7 @@ from jamscope.functions.trips import (
     duration_minutes,
     speed_mph,
 )
-from jamscope.operators.quality import COPIES, count_copies, touches_zone
+from jamscope.operators.quality import COPIES, count_copies, dedup_rows, touches_zone
 from jamscope.sources.tables import require_columns
 
 DUPLICATES = "duplicate rows"
@@ -80,7 +80,7 @@ def clean_trips(
     """Raw trips that pass every rule, one copy each, with time features and ``speed_mph``.
 
     Copies of a row share the fate of the row, so the row-wise rules go first
-    and only survivors, without derived columns, are shuffled to find duplicates.
+    and duplicates are looked for among survivors, without derived columns.
     Given the distinct rows (see :func:`count_copies`), nothing is shuffled.
     """
     c, r = columns or ColumnMap(), rules or CleaningRules()
@@ -92,7 +92,7 @@ def clean_trips(
         if rule.removes is not None:
             kept = kept.where(~rule.removes)
     if copies is None:
-        kept = kept.dropDuplicates()
+        kept = dedup_rows(kept)
     return add_speed(add_time_features(kept, c), c)
 
 
@@ -104,9 +104,9 @@ def clean_audit(
 ) -> DataFrame:
     """Raw rows removed and left after each rule (step 0 is the start), in one pass.
 
-    Each row is labelled with the first rule that removes it.  The only wide
-    shuffle brings copies of a row together; rows without a required value end
-    before the duplicate rule, so all of them collapse to one row per task first.
+    Each row is labelled with the first rule that removes it.  Only rows whose
+    digest repeats are shuffled whole, to bring copies together; rows without a
+    required value end before the duplicate rule, so they collapse to a few.
     Given the distinct rows (see :func:`count_copies`), there is no such shuffle.
     """
     c = columns or ColumnMap()

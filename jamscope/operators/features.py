@@ -159,24 +159,73 @@ def fit_encodings(
     return found
 
 
-def mapped_code(name: str, encoding: Encoding) -> Column:
-    """The slot name of a coded value: its code, or the common slot of rare and new codes."""
-    return F.expr(_slot_sql(name, encoding))
+def _slots(
+    df: DataFrame, train: DataFrame, nominal: Sequence[str], min_rows: int, keep: Sequence[str] = ()
+) -> DataFrame:
+    """``keep``, ``feature`` and ``slot`` of every coded value; NULL for a value without a slot.
+
+    The codes of the training rows are a table that is joined by (feature, code): however many
+    there are, they are neither collected nor written into the plan.
+    """
+    counts = category_counts(train, nominal).withColumn("_frequent", F.col("n") >= min_rows)
+    per_feature = counts.groupBy("feature").agg(
+        F.max("mode").alias("_mode"), F.bool_or(~F.col("_frequent")).alias("_has_rare")
+    )
+    entries = [[sql.text(n), f"CAST({sql.name(n)} AS BIGINT)"] for n in nominal]
+    long = df.selectExpr(*map(sql.name, keep), sql.stack(["feature", "code"], entries))
+    frequent = counts.where("_frequent").select("feature", "code", F.lit(True).alias("_known"))
+    filled = long.join(F.broadcast(per_feature), "feature").withColumn(  # one row per feature
+        "code", F.coalesce("code", "_mode")
+    )
+    slot = F.when(F.col("_known"), F.col("code").cast("string")).when(
+        F.col("_has_rare"), F.lit(INFREQUENT)
+    )
+    return filled.join(frequent, ["feature", "code"], "left").select(
+        *keep, "feature", slot.alias("slot")
+    )
 
 
-def infrequent_mapping(df: DataFrame, encodings: dict[str, Encoding]) -> DataFrame:
+def infrequent_mapping(
+    df: DataFrame, train: DataFrame, nominal: Sequence[str], min_rows: int = 50
+) -> DataFrame:
     """Rows per slot of each coded column; NULL stands for values that get no slot at all."""
-    entries = []
-    for name, encoding in encodings.items():
-        slot = mapped_code(name, encoding)
-        if not encoding.has_infrequent:
-            slot = F.when(slot != INFREQUENT, slot)
-        entries.append(F.struct(F.lit(name).alias("feature"), slot.alias("slot")))
-    return (
-        df.select(F.inline(F.array(*entries)))
-        .groupBy("feature", "slot")
-        .agg(F.count(F.lit(1)).alias("n"))
+    slots = _slots(df, train, nominal, min_rows)
+    return slots.groupBy("feature", "slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+def encoded_features(
+    df: DataFrame,
+    train: DataFrame,
+    keys: Sequence[str],
+    numeric: Sequence[str],
+    nominal: Sequence[str],
+    min_rows: int = 50,
+    staging: StagingArea | None = None,
+) -> DataFrame:
+    """The non-zero elements of the one-hot feature vectors of ``df``, fitted on ``train``.
+
+    Long form: the ``keys`` of a row, ``slot`` and ``value``.  A numeric column is a slot of its
+    name with the imputed and scaled value (a zero is listed too); a coded one has the slot
+    ``<column>=<code>`` or ``<column>=infrequent`` with value 1, or none.
+    """
+    require_columns(df, [*keys, *numeric, *nominal])
+    fitted = numeric_statistics(train, numeric, staging).select(
+        "variable", "median", "mean", F.expr("coalesce(nullif(std, 0D), 1D)").alias("std")
     )
+    scaled = (
+        _long(df, numeric, keys)
+        .join(F.broadcast(fitted), "variable")  # one row per feature
+        .select(
+            *keys,
+            F.col("variable").alias("slot"),
+            ((F.coalesce("value", "median") - F.col("mean")) / F.col("std")).alias("value"),
+        )
+    )
+    coded = _slots(df, train, nominal, min_rows, keys).where("slot IS NOT NULL")
+    coded = coded.select(
+        *keys, F.concat_ws("=", "feature", "slot").alias("slot"), F.lit(1.0).alias("value")
+    )
+    return scaled.unionByName(coded)
 
 
 @dataclass(frozen=True)
@@ -206,9 +255,11 @@ def standardize(df: DataFrame, scalings: dict[str, Scaling]) -> DataFrame:
 class TripPreprocessor(Estimator):
     """Fits the scalings and encodings; the fitted model is made of built-in stages only.
 
-    The model adds ``features``: scaled numeric columns, then a 0/1 slot per
-    frequent code and one for the rare codes of each coded column.  A new code
-    goes to the rare slot, or leaves all slots 0 if there is none.
+    The model adds ``features``.  One-hot: scaled numeric columns, then a 0/1 slot
+    per frequent code and one for the rare codes of each coded column.  Indexed: the
+    scaled columns, then one nominal attribute per coded column, for trees, which
+    split the set of its slots at once.  A new code goes to the rare slot, or, if
+    there is none, leaves all slots 0 (one-hot) or has an index of its own.
     """
 
     def __init__(
@@ -217,12 +268,14 @@ class TripPreprocessor(Estimator):
         nominal: Sequence[str],
         min_category_rows: int = 50,
         staging: StagingArea | None = None,
+        one_hot: bool = True,
     ) -> None:
         super().__init__()
         self.numeric = list(numeric)
         self.nominal = list(nominal)
         self.min_category_rows = min_category_rows
         self.staging = staging
+        self.one_hot = one_hot
 
     def _fit(self, dataset: DataFrame) -> PipelineModel:
         require_columns(dataset, [*self.numeric, *self.nominal])
@@ -252,6 +305,9 @@ class TripPreprocessor(Estimator):
             StringIndexerModel.from_labels(encodings[n].slots, src, out, handleInvalid="keep")
             for n, src, out in zip(self.nominal, named, indexed, strict=True)
         ]
+        if not self.one_hot:
+            assemble = VectorAssembler(inputCols=[*scaled, *indexed], outputCol="features")
+            return PipelineModel([columns, *index, assemble])
         lookup = PipelineModel([columns, *index])
         # Slot numbers come from column metadata; no rows are read to fit this stage.
         encode = OneHotEncoder(inputCols=indexed, outputCols=coded, dropLast=True).fit(
@@ -261,6 +317,11 @@ class TripPreprocessor(Estimator):
         return PipelineModel([columns, *index, encode, assemble])
 
 
+def slot_counts(fitted: PipelineModel) -> list[int]:
+    """Slots of each coded column of a fitted preprocessor."""
+    return [len(s.labels) for s in fitted.stages if isinstance(s, StringIndexerModel)]
+
+
 def feature_width(vectors: DataFrame) -> int:
     """Length of the feature vector, from the metadata of the ``features`` column."""
     return vectors.schema["features"].metadata["ml_attr"]["num_attrs"]

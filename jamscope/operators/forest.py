@@ -5,16 +5,17 @@ from __future__ import annotations
 import math
 import time
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jamscope.config import ColumnMap, ModelSettings
-from jamscope.operators.features import TripPreprocessor, feature_table
+from jamscope.operators.features import TripPreprocessor, feature_table, slot_counts
 from jamscope.operators.metrics import (
     baseline_metrics,
     classification_metrics,
@@ -48,34 +49,45 @@ class Evaluation:
     baseline: DataFrame
 
 
-def build_pipeline(
-    label: str,
-    columns: ColumnMap,
-    settings: ModelSettings,
-    staging: StagingArea | None = None,
-) -> Pipeline:
-    """Preprocessing and forest as one pipeline, so that all statistics come from training rows."""
-    return Pipeline(
-        stages=[
-            TripPreprocessor(
-                columns.numeric_features,
-                columns.nominal_features,
-                settings.min_category_rows,
-                staging,
-            ),
-            RandomForestClassifier(
-                featuresCol="features",
-                labelCol=label,
-                numTrees=settings.trees,
-                minInstancesPerNode=settings.min_leaf_rows,
-                maxDepth=settings.max_depth,
-                maxBins=settings.max_bins,
-                seed=settings.seed,
-                maxMemoryInMB=1024,
-                cacheNodeIds=True,
-            ),
-        ]
-    )
+class TripForest(Estimator):
+    """Preprocessing and forest fitted together, so that all statistics come from training rows.
+
+    Coded columns are nominal attributes of the trees: a split sorts the slots of a
+    column by their share of congestion and cuts that order, so a level looks at one
+    feature per column instead of one per slot.  A histogram needs a bin per slot.
+    """
+
+    def __init__(
+        self,
+        label: str,
+        columns: ColumnMap,
+        settings: ModelSettings,
+        staging: StagingArea | None = None,
+    ) -> None:
+        super().__init__()
+        self.label, self.columns, self.settings, self.staging = label, columns, settings, staging
+
+    def _fit(self, dataset: DataFrame) -> PipelineModel:
+        settings = self.settings
+        prepared = TripPreprocessor(
+            self.columns.numeric_features,
+            self.columns.nominal_features,
+            settings.min_category_rows,
+            self.staging,
+            one_hot=False,
+        ).fit(dataset)
+        forest = RandomForestClassifier(
+            featuresCol="features",
+            labelCol=self.label,
+            numTrees=settings.trees,
+            minInstancesPerNode=settings.min_leaf_rows,
+            maxDepth=settings.max_depth,
+            maxBins=max([settings.max_bins, *(n + 1 for n in slot_counts(prepared))]),
+            seed=settings.seed,
+            maxMemoryInMB=settings.histogram_mb,
+            cacheNodeIds=True,
+        )
+        return PipelineModel([*prepared.stages, forest.fit(prepared.transform(dataset))])
 
 
 def draw_sample(
@@ -103,6 +115,23 @@ def draw_sample(
     return staging.stage(keyed.repartition(parts, ROW_HASHES[0]), "model_sample")
 
 
+def evaluate_all(
+    sample: Staged,
+    labels: Sequence[str],
+    columns: ColumnMap,
+    settings: ModelSettings,
+    staging: StagingArea,
+) -> dict[str, Evaluation]:
+    """The evaluations of several labels, fitted side by side: while one forest waits for the
+    driver between two levels, the others have the executors."""
+    with ThreadPoolExecutor(max_workers=max(1, len(labels))) as pool:
+        found = {
+            label: pool.submit(train_and_evaluate, sample, label, columns, settings, staging)
+            for label in labels
+        }
+        return {label: result.result() for label, result in found.items()}
+
+
 def train_and_evaluate(
     sample: Staged,
     label: str,
@@ -113,9 +142,8 @@ def train_and_evaluate(
     """Split the sample, fit the pipeline on one part and score it on the other."""
     frame = sample.frame
     train, test = stratified_split(frame, label, settings.test_fraction, settings.seed)
-    pipeline = build_pipeline(label, columns, settings, staging)
     started = time.perf_counter()
-    model = pipeline.fit(train)
+    model = TripForest(label, columns, settings, staging).fit(train)
     fit_seconds = time.perf_counter() - started
 
     scored = predict(model, test, label)
@@ -131,7 +159,7 @@ def train_and_evaluate(
         scores=scores,
         baseline_scores=baseline,
         fit_seconds=fit_seconds,
-        n_features=model.stages[-1].numFeatures,
+        n_features=len(columns.numeric_features) + sum(slot_counts(model)),
         n_rows=sample.rows,
         class_ratio=frame.agg(F.avg(label)).first()[0],
         report=classification_report(predictions, label, "prediction"),

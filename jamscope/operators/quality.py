@@ -11,6 +11,7 @@ from jamscope.config import CleaningRules, ColumnMap
 from jamscope.functions import rows as sql
 from jamscope.functions.nulls import is_true
 from jamscope.operators.quantiles import quantile_table
+from jamscope.staging import StagingArea
 
 
 def _null_counts(df: DataFrame) -> DataFrame:
@@ -206,11 +207,43 @@ def missing_block_by_group(df: DataFrame, block_column: str | None, group: str)
 
 
 COPIES = "n_copies"
+_DIGEST = ["_digest_1", "_digest_2"]
 
 
-def count_copies(df: DataFrame) -> DataFrame:
-    """The distinct rows (NULL equals NULL) with the number of their copies."""
-    return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias(COPIES))
+def _repeated_digests(df: DataFrame, staging: StagingArea | None) -> tuple[DataFrame, DataFrame]:
+    """``df`` with a 128-bit digest of each row, and the digests that several rows have.
+
+    Only digests are shuffled, counted map-side.  Equal rows have equal digests;
+    the converse is not taken for granted anywhere.
+    """
+    columns = [F.col(sql.name(c)) for c in df.columns]
+    # A NULL leaves a hash as it is: the second one also sees which columns are NULL.
+    nulls = [c.isNull() for c in columns]
+    marked = df.withColumns(
+        {
+            _DIGEST[0]: F.xxhash64(F.lit(1), *columns),
+            _DIGEST[1]: F.xxhash64(F.lit(2), *nulls, *columns),
+        }
+    )
+    several = marked.groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    several = several.select(*_DIGEST, F.lit(True).alias("_again"))
+    staging = staging or StagingArea(df.sparkSession)
+    return marked, staging.stage(several, "repeated_digests").frame
+
+
+def count_copies(df: DataFrame, staging: StagingArea | None = None) -> DataFrame:
+    """The distinct rows (NULL equals NULL) with the number of their copies.
+
+    Rows whose digest is their own pass as they are; the others are grouped by
+    all columns.  The staged digests have a known size: where they are few, the
+    planner broadcasts them, and no row without a copy is shuffled.
+    """
+    marked, several = _repeated_digests(df, staging)
+    columns = [F.col(sql.name(c)) for c in df.columns]
+    flagged = marked.join(several, _DIGEST, "left")
+    alone = flagged.where("_again IS NULL").select(*columns, F.lit(1).cast("bigint").alias(COPIES))
+    again = flagged.where("_again").select(*columns)
+    return alone.unionByName(again.groupBy(*columns).agg(F.count(F.lit(1)).alias(COPIES)))
 
 
 def duplicate_count(df: DataFrame, copies: DataFrame | None = None) -> DataFrame:
@@ -222,9 +255,9 @@ def duplicate_count(df: DataFrame, copies: DataFrame | None = None) -> DataFrame
     )
 
 
-def dedup_rows(df: DataFrame) -> DataFrame:
-    """One copy of every distinct row; copies are merged before the shuffle."""
-    return df.dropDuplicates()
+def dedup_rows(df: DataFrame, staging: StagingArea | None = None) -> DataFrame:
+    """One copy of every distinct row."""
+    return count_copies(df, staging).drop(COPIES)
 
 
 def aggregate_reconcile(
@@ -259,12 +292,53 @@ def quantile_interpolation(
 ) -> DataFrame:
     """Quantiles with linear and nearest-rank interpolation, and whether the two differ."""
     named = {f"q{i}": p for i, p in enumerate(probs)}
-    linear = quantile_table(df, column, named)
-    nearest = quantile_table(df, column, named, method="nearest")
-    pairs = linear.select(*[F.col(k).alias(f"l_{k}") for k in named]).crossJoin(
-        F.broadcast(nearest.select(*[F.col(k).alias(f"n_{k}") for k in named]))  # one row each
+    entries = [[f"{float(p)!r}D", k, f"{k}_nearest"] for k, p in named.items()]
+    return (
+        quantile_table(df, column, named, method="both")
+        .selectExpr(sql.stack(["prob", "linear", "nearest"], entries))
+        .withColumn("differs", F.col("linear") != F.col("nearest"))
     )
-    entries = [[f"{float(p)!r}D", f"l_{k}", f"n_{k}"] for k, p in named.items()]
-    return pairs.selectExpr(sql.stack(["prob", "linear", "nearest"], entries)).withColumn(
-        "differs", F.col("linear") != F.col("nearest")
+
+
+def quantile_reconcile(
+    left: DataFrame,
+    right: DataFrame,
+    column: str,
+    probs: Sequence[float] = (0.25, 0.5, 0.75),
+    staging: StagingArea | None = None,
+) -> DataFrame:
+    """Quantiles of a column in two tables, under both interpolation rules.
+
+    Both tables are ranked in the same two scans, told apart by a tag.
+    ``sides_differ`` compares the linear quantiles of the tables, ``rules_differ``
+    the linear one of the left with the nearest-rank one of the right, which is
+    what two libraries with different defaults would report.  A table without
+    values has NULLs, which differ from any value.
+    """
+    named = {f"q{i}": p for i, p in enumerate(probs)}
+    sides = [
+        df.select(F.lit(side).alias("side"), F.col(sql.name(column)).cast("double").alias("value"))
+        for side, df in (("left", left), ("right", right))
+    ]
+    found = quantile_table(
+        sides[0].unionByName(sides[1]), "value", named, ["side"], "both", staging
+    )
+    entries = [[f"{float(p)!r}D", k, f"{k}_nearest"] for k, p in named.items()]
+    long = found.selectExpr("side", sql.stack(["prob", "linear", "nearest"], entries))
+    wanted = left.sparkSession.createDataFrame([(float(p),) for p in probs], "prob double")
+    of_side = [
+        F.max(F.when(F.col("side") == side, F.col(rule))).alias(f"{rule}_{side}")
+        for side in ("left", "right")
+        for rule in ("linear", "nearest")
+    ]
+    return (
+        wanted.join(long, "prob", "left")
+        .groupBy("prob")
+        .agg(*of_side)
+        .withColumns(
+            {
+                "sides_differ": ~F.col("linear_left").eqNullSafe(F.col("linear_right")),
+                "rules_differ": ~F.col("linear_left").eqNullSafe(F.col("nearest_right")),
+            }
+        )
     )

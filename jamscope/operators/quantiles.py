@@ -46,10 +46,11 @@ def quantile_table(
 
     Columns: the ``by`` columns, ``n`` (non-NULL values), ``mean``, and one
     column per entry of ``probs`` (name -> probability).  ``method`` is
-    ``"linear"`` (interpolate) or ``"nearest"`` (round half up to a rank).
+    ``"linear"`` (interpolate) or ``"nearest"`` (round half up to a rank), or
+    ``"both"``, which adds a column ``<name>_nearest`` to each linear one.
     The scans run here; the result reads a row per group.
     """
-    if method not in ("linear", "nearest"):
+    if method not in ("linear", "nearest", "both"):
         raise ValueError(f"unknown quantile method: {method}")
     staging = staging or StagingArea(df.sparkSession)
     keys, data = _keys(by), known_values(df, value, by)
@@ -232,6 +233,9 @@ def _assemble(
         pos = (F.col("n") - F.lit(1)) * F.lit(float(p))
         between = low * (F.ceil(pos) - pos) + high * (pos - F.floor(pos))
         outputs.append(F.when(low == high, low).otherwise(between).alias(name))
+        if method == "both":
+            rounded_up = F.floor(pos + F.lit(0.5)) > F.floor(pos)
+            outputs.append(F.when(rounded_up, high).otherwise(low).alias(f"{name}_nearest"))
     return found.select(*by, "n", "mean", *outputs)
 
 

@@ -76,7 +76,7 @@ class TripStudy:
     @cached_property
     def copies(self) -> Staged:
         """The distinct raw trips and their copies: the one shuffle of whole rows."""
-        return self.staging.stage(quality.count_copies(self.raw), "copies")
+        return self.staging.stage(quality.count_copies(self.raw, self.staging), "copies")
 
     @cached_property
     def clean(self) -> Staged:
@@ -154,18 +154,30 @@ class TripStudy:
     def distance_quantiles(self) -> DataFrame:
         return quality.quantile_interpolation(self.raw, self.config.columns.distance)
 
-    def speed_by_passengers(self, keep_null_group: bool = True) -> DataFrame:
-        return aggregates.speed_by_passengers(
-            self.raw, self.config.columns, keep_null_group, self.staging
+    def quantile_reconcile(self, column: str | None = None) -> DataFrame:
+        """Quantiles of a column (trip distance) in both copies of the trips."""
+        return quality.quantile_reconcile(
+            self.raw, self._second, column or self.config.columns.distance, staging=self.staging
+        ).orderBy("prob")
+
+    @cached_property
+    def _passenger_speeds(self) -> Staged:
+        speeds = aggregates.speed_by_passengers(
+            self.raw, self.config.columns, True, self.staging
         )
+        return self.staging.stage(speeds, "passengers")
+
+    def speed_by_passengers(self, keep_null_group: bool = True) -> DataFrame:
+        key = F.col(self.config.columns.passengers)
+        groups = self._passenger_speeds.frame
+        if not keep_null_group:
+            groups = groups.where(key.isNotNull())
+        return groups.orderBy(key.asc_nulls_first())
 
     @cached_property
     def _passenger_sides(self) -> tuple[DataFrame, DataFrame]:
         """The passenger aggregate without and with its NULL group, for comparison."""
-        return tuple(
-            self.staging.stage(self.speed_by_passengers(keep), "passengers").frame
-            for keep in (False, True)
-        )
+        return self.speed_by_passengers(False), self.speed_by_passengers(True)
 
     def passenger_reconcile(self) -> DataFrame:
         return quality.aggregate_reconcile(
@@ -273,12 +285,9 @@ class TripStudy:
 
     @cached_property
     def _evaluations(self) -> dict[str, forest.Evaluation]:
-        return {
-            name: forest.train_and_evaluate(
-                self.sample, name, self.config.columns, self.config.model, self.staging
-            )
-            for name in self.label_names
-        }
+        return forest.evaluate_all(
+            self.sample, self.label_names, self.config.columns, self.config.model, self.staging
+        )
 
     def model_comparison(self) -> DataFrame:
         """One row per label: scores, baseline, gain and fit time."""
@@ -337,6 +346,7 @@ class TripStudy:
         if self.other is not None:
             results["scan_shape"] = self.shape()
             results["null_count_reconcile"] = self.null_counts()
+            results["quantile_reconcile"] = self.quantile_reconcile()
         if with_models:
             results["model_comparison"] = self.model_comparison()
             for name, evaluation in self._evaluations.items():

@@ -354,6 +354,43 @@ def _mapped() -> str:
     GROUP BY feature, slot"""
 
 
+def _encoded() -> str:
+    """Every numeric value scaled, every code with its slot, in long form."""
+    scaled = _union(
+        [f"SELECT {KEYS}, '{c}' AS slot, {r(_scaled(c))} AS value FROM test" for c in NUMERIC]
+    )
+    coded = _union(
+        [
+            f"SELECT {KEYS}, '{c}' AS feature, coalesce({c}::BIGINT, m.mode) AS code "
+            f"FROM test, (SELECT mode FROM modes WHERE feature = '{c}') m"
+            for c in NOMINAL
+        ]
+    )
+    return f"""SELECT * FROM ({scaled}) UNION ALL
+      SELECT {KEYS}, t.feature || '=' || CASE WHEN f.frequent THEN t.code::VARCHAR
+        ELSE 'infrequent' END AS slot, 1.0::DOUBLE AS value
+      FROM ({coded}) t LEFT JOIN frequencies f ON f.feature = t.feature AND f.code = t.code
+      WHERE f.frequent OR EXISTS (
+        SELECT 1 FROM frequencies g WHERE g.feature = t.feature AND NOT g.frequent)"""
+
+
+def _both_sides(column: str) -> str:
+    def side(table: str, q: float) -> str:
+        return f"""(SELECT quantile_cont({column}, {q}) FROM {table}) AS linear_{table},
+          (SELECT x FROM (SELECT {column} AS x, row_number() OVER (ORDER BY {column}) - 1 AS i,
+             count(*) OVER () AS n FROM {table}) WHERE i = floor((n-1)*{q}::DOUBLE + 0.5))
+             AS nearest_{table}"""
+
+    parts = [
+        f"SELECT {q}::DOUBLE AS prob, {side('trips', q)}, {side('doubled', q)}"
+        for q in (0.25, 0.5, 0.75)
+    ]
+    return f"""SELECT prob, {r('linear_trips')} AS linear_left, {r('nearest_trips')} AS nearest_left,
+      {r('linear_doubled')} AS linear_right, {r('nearest_doubled')} AS nearest_right,
+      linear_trips <> linear_doubled AS sides_differ,
+      linear_trips <> nearest_doubled AS rules_differ FROM ({_union(parts)})"""
+
+
 def _confusion(table: str, prediction: str) -> str:
     return f"""cells AS (
       SELECT l.label, p.prediction, (SELECT count(*) FROM {table} d
@@ -551,6 +588,7 @@ marked AS (SELECT * REPLACE (CASE WHEN ratecode_id <> 99 THEN ratecode_id END AS
             f"""SELECT prob, {r('linear')} AS linear, {r('nearest')} AS nearest,
               linear <> nearest AS differs FROM ({_quantiles()})""",
         ),
+        "quantile_reconcile": _with(DOUBLED, _both_sides("total_amount")),
         "clean_audit": _audit("SELECT * FROM feat", FEAT),
         "clean_audit_duplicates": _audit("SELECT * FROM doubled", DOUBLED),
         "clean_trips": _with(
@@ -647,6 +685,7 @@ high AS (SELECT hour, s FROM h ORDER BY s DESC, hour LIMIT 1)""",
             _frequencies(FIT_SPLIT, MIN_ROWS), "SELECT feature, code, n, frequent FROM frequencies"
         ),
         "infrequent_mapping": _with(_frequencies(FIT_SPLIT, MIN_ROWS), _mapped()),
+        "encoded_features": _with(_frequencies(FIT_SPLIT, MIN_ROWS), _encoded()),
         "feature_width": _with(
             _frequencies(LABEL_SPLIT, MODEL_MIN_ROWS),
             f"""SELECT ({len(NUMERIC)} + count(*) FILTER (WHERE frequent)

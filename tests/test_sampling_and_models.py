@@ -101,7 +101,8 @@ def test_rare_and_new_codes(coded):
     encodings = features.fit_encodings(train, ["a", "b"], 2)
     assert encodings["a"] == features.Encoding(1, (1, 2), True)
     assert encodings["b"] == features.Encoding(5, (5, 6), False)
-    found = {(r["feature"], r["slot"], r["n"]) for r in features.infrequent_mapping(test, encodings).collect()}
+    mapping = features.infrequent_mapping(test, train, ["a", "b"], 2)
+    found = {(r["feature"], r["slot"], r["n"]) for r in mapping.collect()}
     assert found == {
         ("a", "1", 2),
         ("a", "infrequent", 2),
@@ -127,6 +128,46 @@ def test_feature_vectors(coded, staging):
     assert vectors[2][0] == pytest.approx((np.median(x) - x.mean()) / x.std())
 
 
+def test_encoded_features_are_the_elements_of_the_vectors(coded, staging):
+    train, test = coded
+    keyed = test.withColumn("id", F.monotonically_increasing_id())
+    model = features.TripPreprocessor(["x"], ["a", "b"], 2, staging=staging).fit(train)
+    vectors = {r["id"]: r["features"].toArray() for r in model.transform(keyed).collect()}
+    place = {s: i for i, s in enumerate(["x", "a=1", "a=2", "a=infrequent", "b=5", "b=6"])}
+    found = {i: np.zeros(len(place)) for i in vectors}
+    long = features.encoded_features(keyed, train, ["id"], ["x"], ["a", "b"], 2, staging)
+    for r in long.collect():
+        found[r["id"]][place[r["slot"]]] = r["value"]
+    for i, vector in vectors.items():
+        assert found[i] == pytest.approx(vector)
+
+
+def test_codes_are_no_literals_of_the_plan(coded, staging):
+    train, test = coded
+    plans = [
+        features.infrequent_mapping(test, train, ["a", "b"], 2),
+        features.encoded_features(test, train, ["x"], ["x"], ["a", "b"], 2, staging),
+    ]
+    for df in plans:
+        assert " IN (" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_coded_columns_are_nominal_attributes(coded, staging):
+    train, test = coded
+    fitted = features.TripPreprocessor(["x"], ["a", "b"], 2, staging, one_hot=False).fit(train)
+    assert features.slot_counts(fitted) == [3, 2]
+    rows = fitted.transform(test)
+    attributes = rows.schema["features"].metadata["ml_attr"]["attrs"]
+    assert [len(x["vals"]) for x in attributes["nominal"]] == [4, 3]
+    # x, then the slots of a (1, 2, rare) and b (5, 6, any other)
+    assert [list(r["features"].toArray()[1:]) for r in rows.collect()] == [
+        [0, 0],
+        [2, 1],
+        [2, 2],
+        [0, 0],
+    ]
+
+
 def test_undefined_scores(spark):
     df = spark.createDataFrame([(0, 0), (0, 0), (1, 0)], "label int, prediction int")
     scores = metrics.classification_metrics(df, "label", "prediction").first()

@@ -202,6 +202,46 @@ def test_duplicates_treat_nulls_and_zeros_alike(spark):
     assert quality.dedup_rows(df).count() == 3
 
 
+def test_copies_are_told_by_whole_rows(spark, staging):
+    """NULLs in different columns, signs of zero and NaN; copies of one row in many partitions."""
+    nan = float("nan")
+    rows = [(None, 1.0), (1, None), (1, None), (None, None), (1, 1.0), (2, 0.0), (2, -0.0)]
+    rows += [(3, nan)] * 3 + [(7, 7.0)] * 500
+    df = spark.createDataFrame(rows, "a int, b double").repartition(5)
+    found = {(r["a"], str(r["b"]).lstrip("-")): r[quality.COPIES] for r in quality.count_copies(df, staging).collect()}
+    assert found == {
+        (None, "1.0"): 1, (1, "None"): 2, (None, "None"): 1, (1, "1.0"): 1,
+        (2, "0.0"): 2, (3, "nan"): 3, (7, "7.0"): 500,
+    }
+
+
+def test_rows_without_copies_are_not_shuffled(spark, staging):
+    df = spark.range(1000).select("id", F.col("id").cast("string").alias("text"))
+    counted = quality.count_copies(df, staging)
+    assert counted.where(F.col(quality.COPIES) != 1).count() == 0 and counted.count() == 1000
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_colliding_digests_do_not_merge_rows(spark, staging, monkeypatch):
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *columns: F.lit(5).cast("bigint"))
+    df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (3, None)], "a int, b string")
+    found = {r["a"]: r[quality.COPIES] for r in quality.count_copies(df, staging).collect()}
+    assert found == {1: 2, 2: 1, 3: 1}
+
+
+def test_quantiles_of_two_tables(spark, staging):
+    left = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10)], "x double")
+    right = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 10.0, 10.0, None)], "x double")
+    rows = {r["prob"]: r for r in quality.quantile_reconcile(left, right, "x", staging=staging).collect()}
+    assert tuple(rows[0.5])[1:] == (2.5, 3.0, 3.0, 3.0, True, True)
+    assert tuple(rows[0.25])[1:] == (1.75, 2.0, 2.0, 2.0, True, True)
+    same = quality.quantile_reconcile(left, left, "x", [0.0], staging).first()
+    assert tuple(same) == (0.0, 1.0, 1.0, 1.0, 1.0, False, False)
+    none = quality.quantile_reconcile(left, left.limit(0), "x", [0.5], staging).first()
+    assert tuple(none) == (0.5, 2.5, 3.0, None, None, True, True)
+
+
 def test_reconcile_matches_null_keys(spark):
     a = spark.createDataFrame([(1, 5), (None, 2)], "k int, n int")
     b = spark.createDataFrame([(None, 3), (2, 4)], "k int, n int")
