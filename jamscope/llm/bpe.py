@@ -137,9 +137,9 @@ class Bpe:
         inside, final = self._symbols
         symbol = inside[data]
         symbol[ends - 1] = final[data[ends - 1]]
-        following = np.arange(1, len(data) + 1)
+        following = np.arange(1, len(data) + 1, dtype=np.int32)
         following[ends - 1] = -1
-        previous = np.arange(-1, len(data) - 1)
+        previous = np.arange(-1, len(data) - 1, dtype=np.int32)
         previous[ends - lengths] = -1
         left, right, merged = self._ranks[:3]
         index: dict[int, list[np.ndarray]] = {}
@@ -261,6 +261,7 @@ def _mapped(docs: DataFrame, column: str, keep: list[str], added: list[tuple[str
             for low, high, arrays in work(batch):
                 kept = [batch.column(c).slice(low, high - low) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)
+                del arrays
 
     fields = [f"`{c}` {t}" for c, t in docs.select(*keep).dtypes] + [f"{n} {t}" for n, t in added]
     return rows.mapInArrow(run, ", ".join(fields))

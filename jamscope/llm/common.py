@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -110,10 +111,22 @@ def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         yield start, len(texts)
 
 
+def give_back() -> None:
+    """Return memory that libraries keep for later to the system: Python workers stay alive for
+    a while after their task, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES
 ) -> Iterator[pa.RecordBatch]:
-    """The batches in slices with about ``limit`` bytes of text; a longer text is alone."""
+    """The batches in slices with about ``limit`` bytes of text; a longer text is alone.
+
+    Memory is given back at the end.
+    """
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = total = 0
@@ -124,6 +137,8 @@ def small_batches(
             total += n
         if batch.num_rows > start:
             yield batch.slice(start)
+        del batch
+    give_back()
 
 
 _SPACE = np.zeros(256, dtype=bool)

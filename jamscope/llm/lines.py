@@ -24,10 +24,10 @@ Groups beyond ``GROUP_ROWS`` postings are dealt out anew as pairs of blocks.
 Copies of a line in one batch give one posting, so frequent lines stay small.
 
 Defined results: NULL counts as empty; lines without words always stay; NULL ids
-come last; rows of one id count as one document whose lines of equal number
-stand in the same place, so repeated rows lose or keep the same lines; a text
-whose lines all go becomes empty.  Words and sets are told apart by 64-bit
-hashes.
+come last; lines of equal number in rows of one id stand in the same place, so none
+of them is earlier and repeated rows lose or keep the same lines; rows of one id with
+different texts each lose lines of their own only; a text whose lines all go becomes
+empty.  Words, sets and the texts of one id are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -45,6 +45,7 @@ from jamscope.llm.common import (
     chunks,
     dealt_in_blocks,
     forget_shuffles,
+    fresh_names,
     mixed,
     scattered,
     signed,
@@ -170,7 +171,8 @@ def needed(nx, ny):
 
 
 COUNTED = (
-    "set_id long, places array<struct<doc_id: long, line: int>>, segment int, content binary"
+    "set_id long, places array<struct<doc_id: long, line: int, text_id: long>>, segment int, "
+    "content binary"
 )
 MAPS = ("p0", "p1", "p2", "p3")
 POSTING = (
@@ -184,9 +186,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts of the task, in segments."""
     counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
     names = ["set_id", "places", "segment", "content"]
-    place = [("doc_id", pa.int64()), ("line", pa.int32())]
+    place = [("doc_id", pa.int64()), ("line", pa.int32()), ("text_id", pa.int64())]
     for batch in small_batches(batches, "text"):
+        text_ids, low = batch.column("text_id").to_numpy(), 0
         for ids, sets in _line_sets(batch, None):
+            own_texts, low = text_ids[low : low + len(ids)], low + len(ids)
             bucket = (sets.all_words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
             counts += np.bincount(bucket, minlength=len(counts)).astype(np.uint32)
             order = np.argsort(sets.ids, kind="stable")
@@ -195,8 +199,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     pa.array(ids[sets.text][order], pa.int64()),
                     pa.array(sets.line[order].astype(np.int32)),
+                    pa.array(own_texts[sets.text][order], pa.int64()),
                 ],
-                names=["doc_id", "line"],
+                names=["doc_id", "line", "text_id"],
             )
             offsets = pa.array(np.append(start, len(order)).astype(np.int32))
             columns = [
@@ -391,7 +396,8 @@ class LineIndex:
         self.docs = docs.select("doc_id", "text")
         self.spark = docs.sparkSession
         self.parts = scattered(docs)
-        found = staged(self.docs.mapInArrow(_counted, COUNTED), "lines")
+        named = self.docs.withColumn("text_id", _text_id())
+        found = staged(named.mapInArrow(_counted, COUNTED), "lines")
         self.lines = found.where("segment IS NULL").select("set_id", "places")
         counts = found.where("segment IS NOT NULL").select("segment", "content")
         self.rarity = rarities(_summed(counts, np.add, np.uint32))
@@ -509,37 +515,48 @@ class LineIndex:
         return self._verified(pairs, staged(self.word_sets(BucketFilter(ends)), "sets"))
 
     def removed(self) -> DataFrame:
-        """``doc_id`` (NULL as the last id) and ``line`` of every line that goes."""
+        """``doc_id`` (NULL as the last id), ``line`` and ``text_id`` of every line that goes."""
+
+        def where(place: Column) -> Column:
+            return F.struct(place["doc_id"].alias("doc_id"), place["line"].alias("line"))
+
         firsts = self.lines.groupBy("set_id").agg(
-            F.min(F.array_min("places")).alias("first"), F.sum(F.size("places")).alias("n")
+            F.min(where(F.array_min("places"))).alias("first"),
+            F.sum(F.size("places")).alias("n"),
         )
         late = self.late_sets().withColumn("late", F.lit(True))
         marked = firsts.join(late, "set_id", "left").where("n > 1 OR late")
         is_late = F.coalesce("late", F.lit(False))
-        gone = F.filter("places", lambda p: is_late | (p > F.col("first")))
+        gone = F.filter("places", lambda p: is_late | (where(p) > F.col("first")))
         # A frequent line has many places: they are dealt out before they become rows.
         found = self.lines.join(marked, "set_id").select(gone.alias("gone")).repartition(self.parts)
         return found.select(F.inline("gone"))
 
 
-def _id(column: str = "doc_id"):
-    return F.coalesce(F.col(column), F.lit(LAST_ID))
+def _id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(f"`{column}`"), F.lit(LAST_ID))
+
 
+def _text_id(column: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(f"`{column}`"), F.lit("")))
 
-def _by_document(index: LineIndex) -> DataFrame:
-    """``__id`` and the sorted ``removed`` lines of documents that lose any."""
-    lines = F.array_sort(F.collect_set("line")).alias("removed")
-    return index.removed().groupBy(F.col("doc_id").alias("__id")).agg(lines)
+
+def _by_document(index: LineIndex, doc_id: str, text_id: str, removed: str) -> DataFrame:
+    """Ids, text hashes and the sorted removed lines of documents that lose any."""
+    lines = F.array_sort(F.collect_set("line")).alias(removed)
+    keys = F.col("doc_id").alias(doc_id), F.col("text_id").alias(text_id)
+    return index.removed().groupBy(*keys).agg(lines)
 
 
 def line_report(docs: DataFrame) -> DataFrame:
     """Lines and removed lines (numbered from 0) of every document."""
     parts = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = docs.select("doc_id", _id().alias("__id"), F.size(parts).alias("n_lines"))
+    rows = docs.select(
+        "doc_id", _id().alias("_id"), _text_id().alias("_text"), F.size(parts).alias("n_lines")
+    )
     gone = F.coalesce("removed", F.array().cast("array<int>"))
-    # A row of a repeated id has only its own lines.
-    own = F.filter(gone, lambda i: i < F.col("n_lines"))
-    joined = rows.join(_by_document(LineIndex(docs)), "__id", "left").withColumn("removed", own)
+    found = _by_document(LineIndex(docs), "_id", "_text", "removed")
+    joined = rows.join(found, ["_id", "_text"], "left").withColumn("removed", gone)
     return joined.select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
@@ -548,8 +565,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Only texts of documents that may lose a line are moved to meet their lines.
     """
-    removed = staged(_by_document(LineIndex(docs)), "removed")
-    shared = docs.sparkSession.sparkContext.broadcast(BucketFilter(removed.select("__id")))
+    doc_id, text_id, gone, may = fresh_names(docs, "id", "text_id", "removed", "may")
+    removed = staged(_by_document(LineIndex(docs), doc_id, text_id, gone), "removed")
+    shared = docs.sparkSession.sparkContext.broadcast(BucketFilter(removed.select(text_id)))
     may_lose = F.pandas_udf(lambda i: pd.Series(shared.value(i.to_numpy())), "boolean")
 
     def without(text: pd.Series, gone: pd.Series) -> pd.Series:
@@ -560,16 +578,17 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out.append("\n".join(x for i, x in enumerate(parts) if i not in drop) if drop else body)
         return pd.Series(out)
 
-    marked = docs.withColumn("__id", _id()).withColumn("__may", may_lose("__id"))
+    marked = docs.withColumns({doc_id: _id(), text_id: _text_id()})
+    marked = marked.withColumn(may, may_lose(text_id))
     columns = docs.columns
-    joined = marked.where("__may").join(removed, "__id", "left")
+    joined = marked.where(F.col(may)).join(removed, [doc_id, text_id], "left")
     changed = joined.withColumn(
         "text",
-        F.when(F.col("removed").isNull(), F.col("text")).otherwise(
-            F.pandas_udf(without, "string")(F.coalesce("text", F.lit("")), "removed")
+        F.when(F.col(gone).isNull(), F.col("text")).otherwise(
+            F.pandas_udf(without, "string")(F.coalesce("text", F.lit("")), gone)
         ),
     )
     if "n_chars" in columns:
-        counted = F.when(F.col("removed").isNull(), F.col("n_chars"))
+        counted = F.when(F.col(gone).isNull(), F.col("n_chars"))
         changed = changed.withColumn("n_chars", counted.otherwise(F.length("text").cast("long")))
-    return marked.where("NOT __may").select(*columns).unionByName(changed.select(*columns))
+    return marked.where(~F.col(may)).select(*columns).unionByName(changed.select(*columns))

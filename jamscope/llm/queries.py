@@ -158,11 +158,13 @@ FROM judged
 
 OP3_SQL = r"""
 WITH raw AS (
-  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+  SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts
+  FROM documents),
 lines AS (
-  SELECT doc_id, line, list_sort(list_distinct(words)) AS words FROM (
-    SELECT doc_id, i - 1 AS line, regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+') AS words
-    FROM (SELECT doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM raw))
+  SELECT r, doc_id, line, list_sort(list_distinct(words)) AS words FROM (
+    SELECT r, doc_id, i - 1 AS line,
+      regexp_extract_all(parts[i], '[^\x20\x09-\x0D]+') AS words
+    FROM (SELECT r, doc_id, parts, unnest(generate_series(1, len(parts))) AS i FROM raw))
   WHERE len(words) > 0),
 sets AS (
   SELECT row_number() OVER () AS s, words, len(words) AS n, first FROM (
@@ -175,13 +177,13 @@ pairs AS (
   GROUP BY a.s, b.s),
 late AS (SELECT DISTINCT s FROM pairs WHERE 5 * c >= 4 * (n + m - c)),
 gone AS (
-  SELECT doc_id, list_sort(list_distinct(list(line::INTEGER))) AS removed
+  SELECT r, list_sort(list_distinct(list(line::INTEGER))) AS removed
   FROM lines JOIN sets USING (words)
-  WHERE (doc_id, line) > first OR s IN (SELECT s FROM late) GROUP BY doc_id)
+  WHERE (doc_id, line) > first OR s IN (SELECT s FROM late) GROUP BY r)
 SELECT doc_id, len(parts)::INTEGER AS n_lines,
   len(coalesce(removed, []::INTEGER[]))::INTEGER AS n_removed,
   coalesce(array_to_string(removed, ','), '') AS removed
-FROM raw LEFT JOIN gone USING (doc_id)
+FROM raw LEFT JOIN gone USING (r)
 """
 
 #: A-Z lowered, as the operators do it.

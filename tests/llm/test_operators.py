@@ -225,23 +225,27 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, limits):
 
 
 def similar_lines(rows):
-    """Removed lines by comparing all pairs."""
+    """Per row the removed lines, by comparing all pairs."""
     places = []
-    for r in rows:
+    for row, r in enumerate(rows):
         for i, x in enumerate((r.text or "").split("\n")):
             if WORD.search(x):
                 key = (r.doc_id is None, r.doc_id or 0, i)
-                places.append((key, frozenset(WORD.findall(x))))
+                places.append((row, key, frozenset(WORD.findall(x))))
     first = {}
-    for key, words in places:
+    for _, key, words in places:
         first[words] = min(key, first.get(words, key))
-    gone = set()
+    late = set()
     for words, key in first.items():
         for other, earlier in first.items():
             if earlier < key and 5 * len(words & other) >= 4 * len(words | other):
-                gone.add(words)
+                late.add(words)
                 break
-    return {(key, words) for key, words in places if key > first[words] or words in gone}
+    gone = [[] for _ in rows]
+    for row, key, words in places:
+        if key > first[words] or words in late:
+            gone[row].append(key[-1])
+    return gone
 
 
 @pytest.mark.parametrize("sizes", [(8192, 4096), (3, 2)])
@@ -257,26 +261,33 @@ def test_lines_against_all_pairs(spark, small, odd_docs, monkeypatch, sizes):
     tight = spark.createDataFrame(made, "doc_id long, text string")
     for docs in (small, odd_docs, tight):
         rows = docs.select("doc_id", "text").collect()
-        gone = {(k[0], k[1], k[2]) for k, _ in similar_lines(rows)}
-        report = lines.line_report(docs.select("doc_id", "text"))
-        found = report.collect()
-        assert len(found) == len(rows)
-        for r in found:
-            for i in r.removed:
-                assert (r.doc_id is None, r.doc_id or 0, i) in gone
-            assert r.n_removed == len(r.removed)
-        assert {(r.doc_id is None, r.doc_id or 0, i) for r in found for i in r.removed} == gone
+        gone = similar_lines(rows)
+        found = lines.line_report(docs.select("doc_id", "text")).collect()
+        assert all(r.n_removed == len(r.removed) for r in found)
+        assert sorted([(r.doc_id, r.removed) for r in found], key=repr) == sorted(
+            [(r.doc_id, g) for r, g in zip(rows, gone)], key=repr
+        )
         kept = lines.deduplicated(docs)
         assert kept.columns == docs.columns
         expected = []
-        for r in rows:
-            key = (r.doc_id is None, r.doc_id or 0)
-            parts = (r.text or "").split("\n")
-            left = [x for i, x in enumerate(parts) if (*key, i) not in gone]
-            expected.append((r.doc_id, r.text if len(left) == len(parts) else "\n".join(left)))
+        for r, g in zip(rows, gone):
+            left = [x for i, x in enumerate((r.text or "").split("\n")) if i not in g]
+            expected.append((r.doc_id, "\n".join(left) if g else r.text))
         assert collected(kept, "doc_id", "text") == sorted(expected, key=repr)
 
 
+def test_rows_of_one_id_lose_lines_of_their_own_only(spark):
+    rows = [(1, "a b c"), (7, "a b c"), (7, "quite unlike"), (None, "x y\na b c"), (None, "p q\nr s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    extra = {c: F.lit(c) for c in ("removed", "_removed", "__id", "_id", "text_id", "_text_id", "may")}
+    kept = lines.deduplicated(docs.withColumns(extra))
+    expected = [(1, "a b c"), (7, ""), (7, "quite unlike"), (None, "x y"), (None, "p q\nr s")]
+    assert collected(kept, "doc_id", "text") == sorted(expected, key=repr)
+    assert all(r[c] == c for r in kept.collect() for c in extra)
+    found = {(r.doc_id, tuple(r.removed)) for r in lines.line_report(docs).collect()}
+    assert found == {(1, ()), (7, (0,)), (7, ()), (None, (1,)), (None, ())}
+
+
 def test_lines_without_rows(no_docs):
     assert lines.line_report(no_docs).count() == 0
     assert lines.deduplicated(no_docs).count() == 0
