@@ -9,8 +9,8 @@ stays if it is the first of its word set and no similar set begins earlier.
    lines with the hash of their word set.
 2. A second pass orders the words of each distinct set by rarity, after that
    table; any order gives a right result, a good one few candidates.  The first
-   words (prefix filter) become postings with the set's size, the word's place
-   and a parity map of the set, of up to 256 bits.
+   words (prefix filter), but for those that are in one line only, become postings
+   with the set's size, the word's place and a parity map of the set, of up to 256 bits.
 3. Postings meet by word in sorted streams.  Length filter, positional filter
    and the parity map (whose differing bits are a lower bound of the differing
    words) leave few false candidates.  A set sends on its likeliest candidates of
@@ -58,8 +58,10 @@ from jamscope.llm.common import (
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Buckets of the word counts and of the filters, as powers of two.
-COUNT_BITS = 20
+COUNT_BITS = 22
 FILTER_BITS = 22
+#: The step of :func:`rarities` up to which a bucket has counted one word at most.
+LONE = 6
 SEGMENTS = 64
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
@@ -217,8 +219,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def _posted(ids: np.ndarray, sets: LineSets) -> pa.RecordBatch:
-    """Postings of the prefix words of the distinct sets that another set can be similar to."""
+def _posted(ids: np.ndarray, sets: LineSets, rarity: np.ndarray) -> pa.RecordBatch:
+    """Postings of the prefix words of the distinct sets that another set can be similar to.
+
+    A word whose bucket has counted one word is in no other line: it is not posted.
+    """
     a, b = SIMILAR
     doc, able = ids[sets.text], sets.size * b >= a * (sets.size + 1)
     order = np.lexsort((sets.line, doc, sets.ids))
@@ -229,6 +234,9 @@ def _posted(ids: np.ndarray, sets: LineSets) -> pa.RecordBatch:
     many = prefix_sizes(sets.size[chosen])
     row = np.repeat(chosen, many)
     at = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+    bucket = sets.words[sets.begin[row] + at] >> np.uint64(64 - COUNT_BITS)
+    shared = rarity[bucket.astype(np.int64)] > LONE
+    row, at = row[shared], at[shared]
     return pa.RecordBatch.from_pydict(
         {
             "word": pa.array(signed(sets.words[sets.begin[row] + at])),
@@ -410,7 +418,7 @@ class LineIndex:
             rarity, wanted = shared.value
             for batch in small_batches(batches, "text"):
                 for ids, sets in _line_sets(batch, rarity):
-                    found = _posted(ids, sets)
+                    found = _posted(ids, sets, rarity)
                     if wanted is not None:
                         found = found.filter(pa.array(wanted(np.asarray(found.column(column)))))
                     yield found
