@@ -194,7 +194,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _line_sets(batch, None):
             own_texts, low = text_ids[low : low + len(ids)], low + len(ids)
             bucket = (sets.all_words >> np.uint64(64 - COUNT_BITS)).astype(np.int64)
-            counts += np.bincount(bucket, minlength=len(counts)).astype(np.uint32)
+            np.add.at(counts, bucket, np.uint32(1))
             order = np.argsort(sets.ids, kind="stable")
             own, start = np.unique(sets.ids[order], return_index=True)
             places = pa.StructArray.from_arrays(
