@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from jamscope.llm.common import small_batches, text_bytes
 
 #: Bytes of text whose distinct words are merged together.
-CHUNK = 1 << 22
+CHUNK = 1 << 21
 
 
 def byte_letters() -> list[str]:
