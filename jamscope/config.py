@@ -107,7 +107,7 @@ class ModelSettings:
     min_leaf_rows: int = 5
     max_depth: int = 15  # up to 30; each level is a pass over the sample
     max_bins: int = 32  # of numeric columns; a coded column gets a bin per slot
-    histogram_mb: int = 512  # per task, for the histograms of the nodes of one pass
+    histogram_mb: int = 256  # per task, for the histograms of the nodes of one pass
 
 
 @dataclass(frozen=True)
