@@ -39,6 +39,7 @@ from jamscope.llm.common import (
     dealt_in_blocks,
     forget_shuffles,
     forget_staged,
+    fresh_names,
     mixed,
     scattered,
     shingle_spans,
@@ -139,10 +140,14 @@ def spanning(classes: np.ndarray, similar) -> tuple[list[int], list[int]]:
 
 
 def _like_signatures(similarity: float):
-    """Links within a group of texts with signatures: the likeliest first, then all candidates."""
+    """Links within a group of texts with sketches: the likeliest first, then all candidates.
+
+    A sketch is the last byte of each place of a signature, so places that agree agree in it,
+    and one in 256 of the others: some candidates more, none less.
+    """
 
     def links(h: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found = np.frombuffer(b"".join(found), np.uint32).reshape(len(h), PERMUTATIONS)
+        found = np.frombuffer(b"".join(found), np.uint8).reshape(len(h), PERMUTATIONS)
         classes = np.arange(len(h))
         a, b = [], []
         for least in (math.ceil(PERMUTATIONS * similarity), least_places(similarity)):
@@ -263,28 +268,29 @@ def _classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
     def signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = signatures(text_bytes(batch.column("text")))
+            sketches = (found & np.uint32(255)).astype(np.uint8)
             arrays = [batch.column("doc_id"), batch.column("h")]
-            arrays.append(pa.array([x.tobytes() for x in found], pa.binary()))
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "signature"])
-
-    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = b"".join(batch.column("signature").to_pylist())
-            keys = _band_keys(np.frombuffer(found, np.uint32).reshape(-1, PERMUTATIONS))
-            arrays = [batch.column("h"), pa.array(list(signed(keys)), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["h", "bands"])
+            arrays.append(pa.array([x.tobytes() for x in sketches], pa.binary()))
+            arrays.append(pa.array(list(signed(_band_keys(found))), pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "h", "sketch", "bands"])
 
     marked = staged(
-        rows.mapInArrow(signed_rows, "doc_id long, h long, signature binary"), "signatures"
+        rows.mapInArrow(signed_rows, "doc_id long, h long, sketch binary, bands array<long>"),
+        "signatures",
     )
-    texts = marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"))
-    bands = texts.select("h", "signature").mapInArrow(banded, "h long, bands array<long>")
-    keyed = bands.select("h", F.explode("bands").alias("key"))
+    texts = marked.groupBy("h").agg(F.min("doc_id").alias("least"))
+    # Copies have the same sketch and bands: any row of a text speaks for it.
+    sketches = marked.dropDuplicates(["h"]).select("h", "sketch")
+    keyed = marked.dropDuplicates(["h"]).select("h", F.explode("bands").alias("key"))
     common = keyed.groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x != y")
-    shared = keyed.join(common.select("key"), "key").join(texts.select("h", "signature"), "h")
-    found = _links_in_groups(shared.select("key", "h", "signature"), _like_signatures(similarity), "likely")
+    shared = staged(keyed.join(common.select("key"), "key"), "shared")
+    found = _links_in_groups(
+        shared.join(sketches, "h").select("key", "h", "sketch"), _like_signatures(similarity), "likely"
+    )
     ordered = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     pairs = staged(found.select(*ordered).distinct(), "pairs")
+    forget_staged(shared)
+    forget_shuffles(docs.sparkSession)
 
     # A forest of the candidates.
     full = shingle_sets(rows, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))))
@@ -331,11 +337,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all) with ``fingerprint``; a column of that name is replaced."""
     others = [c for c in keep or docs.columns if c != "fingerprint"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
+    body = fresh_names(docs, "text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text"):
-            found = signatures(text_bytes(batch.column("__text")))
+        for batch in small_batches(batches, body):
+            found = signatures(text_bytes(batch.column(body)))
             arrays = [batch.column(c) for c in others]
             arrays.append(pa.array([printed(s) for s in found], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "fingerprint"])
