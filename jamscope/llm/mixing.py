@@ -1,7 +1,10 @@
 """Mix sources to target weights: blocks of words, drawn per output shard.
 
-The words of a source, document after document, are packed into blocks of
-``block_words``.  A source's target in words gives its number of draws.  The
+The words of a source, document after document, are packed into blocks of a
+fixed length: ``block_words`` at most, less for a small source or a small target,
+so that either has some ``MOST_SHARE`` blocks, of one word if need be.  A
+source's target in words gives its number of draws, so its total misses the
+target by a block at most, or half a word where blocks are words.  The
 draws of a source are spread over the output shards by multinomial counts, so
 the totals of a source are exact and a shard's mix is random.  Draw ``k`` of a
 source takes block ``permutation(k)``: one keyed permutation of all its blocks
@@ -31,11 +34,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import WORD, mixed, staged, word_count
+from jamscope.llm.common import WORD, fresh_names, mixed, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 BLOCK_WORDS = 64
+#: A block holds at most this part (one in so many) of its source and of its target.
+MOST_SHARE = 256
 SHARD_DRAWS = 1 << 16
 SEED = 42
 
@@ -52,6 +57,7 @@ class Source:
     name: str | None
     size: int
     target: float
+    block_words: int
     blocks: int
     draws: int
 
@@ -81,9 +87,10 @@ def plan_sources(rows: list[tuple[str | None, int]], block_words: int) -> list[S
     wanted = targets([s for _, s in rows], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
     plan = []
     for (name, size), target in zip(rows, wanted, strict=True):
-        blocks = math.ceil(size / block_words)
+        length = max(1, min(block_words, int(min(size, target)) // MOST_SHARE))
+        blocks = math.ceil(size / length)
         draws = min(round(target * blocks / size), MOST_REPEATS * blocks) if size else 0
-        plan.append(Source(name, size, target, blocks, draws))
+        plan.append(Source(name, size, target, length, blocks, draws))
     return plan
 
 
@@ -163,7 +170,7 @@ class Mixture:
         shard_draws: int = SHARD_DRAWS,
         seed: int = SEED,
     ) -> None:
-        self.spark, self.block_words, self.seed = docs.sparkSession, block_words, seed
+        self.spark, self.seed = docs.sparkSession, seed
         self.docs = docs
         sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
         self.sized = staged(sized, "sizes")
@@ -186,9 +193,11 @@ class Mixture:
         )
 
     def sources(self) -> DataFrame:
-        rows = [(i, s.name, s.size, float(s.target)) for i, s in enumerate(self.plan)]
+        rows = [
+            (i, s.name, s.size, float(s.target), s.block_words) for i, s in enumerate(self.plan)
+        ]
         return self.spark.createDataFrame(
-            rows, "number int, source string, source_size long, target double"
+            rows, "number int, source string, source_size long, target double, block_words long"
         )
 
     def placed(self) -> DataFrame:
@@ -198,7 +207,9 @@ class Mixture:
         numbered = self.sized.alias("d").join(
             F.broadcast(self.sources()).alias("s"),
             F.col("d.source").eqNullSafe(F.col("s.source")),
-        ).select("d.doc_id", "d.size", "d.source", "number", "source_size", "target")
+        ).select(
+            "d.doc_id", "d.size", "d.source", "number", "source_size", "target", "block_words"
+        )
         numbered = numbered.withColumn(
             "bucket", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).cast("int")
         )
@@ -221,9 +232,9 @@ class Mixture:
 
     def uses(self) -> DataFrame:
         """For each document and each of its blocks that is drawn: the overlap and the draws."""
-        size = self.block_words
-        first = F.floor(F.col("start") / size)
-        last = F.floor((F.col("start") + F.col("size") - 1) / size)
+        size = F.col("block_words")
+        first = F.expr("start div block_words")
+        last = F.expr("(start + size - 1) div block_words")
         pieces = self.placed().where("size > 0").withColumn(
             "block", F.explode(F.sequence(first, last))
         )
@@ -269,26 +280,22 @@ class Mixture:
         )
         # Rows that agree in id, source and size take any of the places found for such rows.
         rank = F.row_number().over(Window.partitionBy(*same).orderBy("start"))
-        chosen = chosen.withColumn("rank", rank).select(
-            *[F.col(c).alias(f"__{c}") for c in same],
-            F.col("rank").alias("__rank"),
-            F.col("u").alias("__u"),
-        )
         columns = self.docs.columns
-        rows = self.docs.withColumn("__n", word_count(F.col("text"))).withColumn(
-            "__r",
-            F.row_number().over(
-                Window.partitionBy("doc_id", "source", "__n").orderBy(F.xxhash64("text"))
-            ),
+        names = ("id", "source", "size", "rank", "uses", "n", "nth")
+        own = dict(zip(names, fresh_names(self.docs, *names), strict=True))
+        chosen = chosen.withColumn("rank", rank).select(
+            *[F.col(c).alias(own[n]) for c, n in zip((*same, "rank", "u"), names)]
         )
-        both = rows.join(
+        rows = self.docs.withColumn(own["n"], word_count(F.col("text")))
+        alike = Window.partitionBy("doc_id", "source", own["n"]).orderBy(F.xxhash64("text"))
+        both = rows.withColumn(own["nth"], F.row_number().over(alike)).join(
             chosen,
-            F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-            & F.col("source").eqNullSafe(F.col("__source"))
-            & (F.col("__n") == F.col("__size"))
-            & (F.col("__r") == F.col("__rank")),
+            F.col("doc_id").eqNullSafe(F.col(own["id"]))
+            & F.col("source").eqNullSafe(F.col(own["source"]))
+            & (F.col(own["n"]) == F.col(own["size"]))
+            & (F.col(own["nth"]) == F.col(own["rank"])),
         )
-        texts = F.pandas_udf(copies, "array<string>")(F.col("text"), F.col("__u"))
+        texts = F.pandas_udf(copies, "array<string>")(F.col("text"), F.col(own["uses"]))
         kept = {c: F.col(f"`{c}`") for c in columns}
         out = both.select(*[kept[c] for c in columns if c != "text"], F.explode(texts).alias("text"))
         if "n_chars" in columns:
