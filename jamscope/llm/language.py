@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import chunks, held_out, mixed, small_batches, text_bytes
+from jamscope.llm.common import chunks, fresh_names, held_out, mixed, small_batches, text_bytes
 
 BUCKETS = 1 << 15
 LENGTHS = (1, 2, 3)
@@ -125,13 +125,34 @@ class LanguageModel:
         return total, lettered
 
 
+def even_shares(sizes: dict[str, int], sample: int) -> dict[str, float]:
+    """The share of its rows that each language gives to a sample of ``sample`` rows: all
+    languages give as many rows, those with fewer give all and the others make up for them."""
+    shares, left = {}, sample
+    for k, (lang, size) in enumerate(sorted(sizes.items(), key=lambda x: x[1])):
+        wanted = min(size, left / (len(sizes) - k))
+        shares[lang] = wanted / size
+        left -= wanted
+    return shares
+
+
 def learn(
     docs: DataFrame, sample: int = SAMPLE_DOCUMENTS, seed: int = 5
 ) -> LanguageModel:
-    """Learn from about ``sample`` rows of ``doc_id``, ``text``, ``lang`` that may be learned from."""
+    """Learn from about ``sample`` rows of ``doc_id``, ``text``, ``lang`` that may be learned from.
+
+    Each language gives the same number of rows, or all where it has fewer, so rare
+    languages are learned at any table size; priors come from the counts of all rows.
+    More than ``MOST_LANGUAGES`` languages are an error.
+    """
     known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    total = known.select("doc_id", "lang").count()
-    rows = known.select("lang", "text").sample(fraction=min(1.0, sample / total) if total else 1.0, seed=seed)
+    sizes = known.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages; the model holds so many")
+    total = {r["lang"]: r["count"] for r in sizes}
+    shares = even_shares(total, sample)
+    rows = known.select("lang", "text")
+    rows = rows.sampleBy("lang", shares, seed) if shares else rows
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -154,10 +175,8 @@ def learn(
 
     counted = rows.mapInArrow(count, "lang string, bucket int, n long")
     counts = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = counts.limit(MOST_LANGUAGES * (BUCKETS + 1) + 1).toPandas()
+    found = counts.toPandas()
     languages = sorted(found["lang"].unique())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model holds {MOST_LANGUAGES}")
     matrix = np.full((len(languages), BUCKETS), SMOOTHING)
     documents = np.ones(len(languages))
     for k, lang in enumerate(languages):
@@ -165,7 +184,7 @@ def learn(
         own_buckets = own["bucket"].to_numpy()
         inside = own_buckets >= 0
         matrix[k, own_buckets[inside]] += own["n"].to_numpy()[inside]
-        documents[k] = own["n"].to_numpy()[~inside].sum()
+        documents[k] = total[lang]
     if languages:
         matrix = np.log(matrix / matrix.sum(axis=1, keepdims=True))
         documents = np.log(documents / documents.sum())
@@ -181,12 +200,13 @@ def identify(
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep or docs.columns if c not in ("lang_pred", "score")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
+    body = fresh_names(docs, "text")[0]
+    kept = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in small_batches(batches, "__text"):
-            texts = text_bytes(batch.column("__text"))
+        for batch in small_batches(batches, body):
+            texts = text_bytes(batch.column(body))
             logs, lettered = model.scores(texts)
             if model.languages:
                 best = logs.argmax(axis=1)
