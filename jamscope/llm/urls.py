@@ -54,8 +54,6 @@ UNKNOWN_PART = 4
 ROUNDS = 2
 #: URLs that are learned from, on average.
 SAMPLE_URLS = 20_000
-#: Distinct tokens a classifier holds, the most frequent ones.
-MOST_TOKENS = 50_000
 LETTERS = r"[a-z]+"
 
 
@@ -220,7 +218,10 @@ class UrlModel:
 
 
 def learn(labelled: DataFrame, segmenter: Segmenter) -> UrlModel:
-    """Naive Bayes from rows of ``host, path, label`` (1: unwanted)."""
+    """Naive Bayes from rows of ``host, path, label`` (1: unwanted).
+
+    The model holds every token of these rows, so their number bounds its size.
+    """
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -242,10 +243,9 @@ def learn(labelled: DataFrame, segmenter: Segmenter) -> UrlModel:
     if urls is None:
         return UrlModel(segmenter, {}, -1.0)
     good, bad, size = (x or 0 for x in sums)
-    top = words.orderBy(F.desc(F.col("good") + F.col("bad")), "token").limit(MOST_TOKENS).collect()
     odds = {
         r["token"]: math.log((r["bad"] + 1) / (bad + size)) - math.log((r["good"] + 1) / (good + size))
-        for r in top
+        for r in words.collect()
     }
     return UrlModel(segmenter, odds, math.log((urls["bad"] + 1) / (urls["good"] + 1)))
 
