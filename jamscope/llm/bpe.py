@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import small_batches, text_bytes
+from jamscope.llm.common import fresh_names, small_batches, text_bytes
 
 #: Bytes of text whose distinct words are merged together.
 CHUNK = 1 << 21
@@ -243,22 +243,24 @@ def _alternating(touching: np.ndarray) -> np.ndarray:
     return (place - first) % 2 == 0
 
 
-def _texts_of(batch: pa.RecordBatch, name: str) -> Iterator[tuple[int, int, list[str]]]:
+def _texts_of(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
     low = 0
-    for part in small_batches([batch], name, CHUNK):
-        texts = [t.decode("utf-8", "replace") for t in text_bytes(part.column(name))]
+    rows = pa.RecordBatch.from_arrays([column], names=["text"])
+    for part in small_batches([rows], "text", CHUNK):
+        texts = [t.decode("utf-8", "replace") for t in text_bytes(part.column("text"))]
         yield low, low + len(texts), texts
         low += len(texts)
 
 
 def _mapped(docs: DataFrame, column: str, keep: list[str], added: list[tuple[str, str]], work):
     """``keep`` columns of ``docs`` and the ``added`` ones that ``work`` makes of ``column``."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias("__in"))
+    read = fresh_names(docs, "in")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{column}`").alias(read))
     names = [*keep, *(n for n, _ in added)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low, high, arrays in work(batch):
+            for low, high, arrays in work(batch.column(read)):
                 kept = [batch.column(c).slice(low, high - low) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, *arrays], names=names)
                 del arrays
@@ -272,8 +274,8 @@ def encode(docs: DataFrame, model: Bpe, text: str = "text", keep: list[str] | No
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or docs.columns if c != "ids"]
 
-    def work(batch: pa.RecordBatch):
-        for low, high, texts in _texts_of(batch, "__in"):
+    def work(column: pa.Array):
+        for low, high, texts in _texts_of(column):
             found = [i.astype(np.int32) for i in shared.value.encode(texts)]
             yield low, high, [pa.array(found, pa.list_(pa.int32()))]
 
@@ -285,9 +287,9 @@ def decode(docs: DataFrame, model: Bpe, ids: str = "ids", keep: list[str] | None
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or docs.columns if c != "decoded"]
 
-    def work(batch: pa.RecordBatch):
-        for low in range(0, batch.num_rows, 256):
-            lists = batch.column("__in").slice(low, 256).to_pylist()
+    def work(column: pa.Array):
+        for low in range(0, len(column), 256):
+            lists = column.slice(low, 256).to_pylist()
             texts = [shared.value.decode(i or []) for i in lists]
             yield low, low + len(texts), [pa.array(texts, pa.string())]
 
@@ -299,8 +301,8 @@ def round_trip(docs: DataFrame, model: Bpe, text: str = "text", keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or docs.columns if c not in ("ids", "decoded")]
 
-    def work(batch: pa.RecordBatch):
-        for low, high, texts in _texts_of(batch, "__in"):
+    def work(column: pa.Array):
+        for low, high, texts in _texts_of(column):
             found = [i.astype(np.int32) for i in shared.value.encode(texts)]
             decoded = pa.array([shared.value.decode(i.tolist()) for i in found], pa.string())
             yield low, high, [pa.array(found, pa.list_(pa.int32())), decoded]
@@ -312,10 +314,10 @@ def bpe_report(docs: DataFrame, model: Bpe) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def work(batch: pa.RecordBatch):
+    def work(column: pa.Array):
         model = shared.value
         digits = [str(i) for i in range(max(model._texts) + 1)]
-        for low, high, texts in _texts_of(batch, "__in"):
+        for low, high, texts in _texts_of(column):
             counts, ids_sums, decoded_sums = [], [], []
             for found in model.encode(texts):
                 ids = found.tolist()

@@ -37,7 +37,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jamscope.llm.common import (
@@ -45,6 +45,7 @@ from jamscope.llm.common import (
     WordBuffer,
     chunks,
     dealt_in_blocks,
+    fresh_names,
     scattered,
     shingle_spans,
     signed,
@@ -285,11 +286,12 @@ def near_links(values: DataFrame) -> DataFrame:
 def fingerprint(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all) with the fingerprint ``fp`` as a signed long."""
     others = [c for c in keep or docs.columns if c != "fp"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
+    body = fresh_names(docs, "text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "__text"):
-            values = fingerprints(text_bytes(batch.column("__text")))
+        for batch in small_batches(batches, body):
+            values = fingerprints(text_bytes(batch.column(body)))
             arrays = [batch.column(c) for c in others] + [pa.array(signed(values))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*others, "fp"])
 
@@ -320,14 +322,19 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the row with the smallest id.
 
-    NULL ids come last.  Of several rows with that id and text any one stays.
+    NULL ids come last.  Of several rows with that id and text the one whose columns (but
+    for maps, which have no hash) have the smallest hash stays.
     """
+    own_id, own_hash, nth = fresh_names(docs, "id", "hash", "nth")
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
     chosen = groups(docs).groupBy("root").agg(F.min(first).alias("c")).select(
-        F.coalesce("c.doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("c.text_hash").alias("__hash")
+        F.coalesce("c.doc_id", F.lit(-(1 << 63))).alias(own_id), F.col("c.text_hash").alias(own_hash)
     )
-    keyed = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(
-        "__hash", F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.withColumn(own_id, F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn(
+        own_hash, F.xxhash64(F.coalesce("text", F.lit("")))
     )
-    kept = keyed.join(chosen.distinct(), ["__id", "__hash"], "left_semi")
-    return kept.dropDuplicates(["__id", "__hash"]).drop("__id", "__hash")
+    kept = keyed.join(chosen.distinct(), [own_id, own_hash], "left_semi")
+    hashed = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    order = Window.partitionBy(own_id, own_hash).orderBy(F.xxhash64(*hashed))
+    kept = kept.withColumn(nth, F.row_number().over(order)).where(F.col(nth) == 1)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jamscope.llm import simhash
-from jamscope.llm.common import held_out, small_batches, staged, text_bytes
+from jamscope.llm.common import fresh_names, held_out, small_batches, staged, text_bytes
 
 #: Labelled documents that are learned from, on average.
 SAMPLE_DOCUMENTS = 20_000
@@ -348,12 +348,13 @@ def score(
     """The columns ``keep`` (all) with ``score``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in keep or docs.columns if c != "score"]
-    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias("__text"))
+    body = fresh_names(docs, "text")[0]
+    rows = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").alias(body))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in small_batches(batches, "__text"):
-            pairs = [model.measure(t) for t in text_bytes(batch.column("__text"))]
+        for batch in small_batches(batches, body):
+            pairs = [model.measure(t) for t in text_bytes(batch.column(body))]
             values = np.array(pairs, dtype=float).reshape(-1, 2)
             arrays = [batch.column(c) for c in others]
             arrays.append(pa.array(model.probability(values[:, 0], values[:, 1])))

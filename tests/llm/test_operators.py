@@ -529,6 +529,53 @@ def test_language_on_held_out_documents(spark):
     assert all(0 <= r.score <= 1 for r in found)
 
 
+def test_rare_languages_are_learned(spark):
+    """Six documents of one language beside thousands of another, beyond the sample."""
+    common = [f"the house number {i} stands near the old river and the green hill" for i in range(3000)]
+    rare = [f"das haus nummer {i} steht nahe dem alten fluss und dem berg" for i in range(60)]
+    rows = [(i, t, "en" if i < 3000 else "de") for i, t in enumerate(common + rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(docs, sample=100)
+    assert model.languages == ["de", "en"]
+    learned = Counter(r[2] for r in rows if not is_held_out(r[0]))
+    assert np.allclose(np.exp(model.priors), [learned[c] / sum(learned.values()) for c in ("de", "en")])
+    found = language.identify(docs, model).collect()
+    assert all(r.lang_pred == r.lang for r in found if is_held_out(r.doc_id))
+
+
+def test_even_shares():
+    assert language.even_shares({"a": 1000, "b": 10, "c": 100}, 150) == {"b": 1.0, "c": 0.7, "a": 0.07}
+    assert language.even_shares({"a": 3, "b": 4}, 100) == {"a": 1.0, "b": 1.0}
+    assert language.even_shares({}, 100) == {}
+
+
+def test_language_scores_by_plain_naive_bayes(spark, small):
+    """Every prediction and score, from grams counted one at a time."""
+    docs = small.select("doc_id", "text", "lang")
+    rows = docs.collect()
+    counts, seen = {}, Counter()
+    for r in rows:
+        if r.lang is not None and not is_held_out(r.doc_id):
+            seen[r.lang] += 1
+            own = counts.setdefault(r.lang, np.full(language.BUCKETS, float(language.SMOOTHING)))
+            for piece in language.pieces((r.text or "").encode()):
+                for bucket in language.ngrams([piece])[0].tolist():
+                    own[bucket] += 1
+    names = sorted(counts)
+    found = {r.doc_id: r for r in language.language_report(docs).collect()}
+    for r in rows:
+        logs = []
+        for name in names:
+            total = np.log(seen[name] / sum(seen.values()))
+            for piece in language.pieces((r.text or "").encode()):
+                for bucket in language.ngrams([piece])[0].tolist():
+                    total += np.log(counts[name][bucket] / counts[name].sum())
+            logs.append(total)
+        best = int(np.argmax(logs))
+        assert found[r.doc_id].lang_pred == names[best]
+        assert abs(found[r.doc_id].score - 1 / np.exp(np.array(logs) - logs[best]).sum()) < 1e-6
+
+
 def test_language_of_odd_rows(spark, odd_docs, no_docs):
     rows = odd_docs.unionByName(
         odd_docs.limit(1).withColumn("text", F.lit("12 34 !?")).withColumn("doc_id", F.lit(77).cast("long"))
@@ -687,6 +734,81 @@ def test_mixture(small, odd_docs, no_docs):
     assert mixing.Mixture(no_docs).report().count() == 0
 
 
+def test_small_sources_come_near_their_target(spark):
+    """Many small sources beside large ones, with the settings of the registered query."""
+    sizes = [30] * 60 + [100] * 60 + [700] * 20 + [40_000, 3]
+    rows, at = [], 0
+    for i, size in enumerate(sizes):
+        for low in range(0, size, 97):
+            rows.append((at, " ".join(["w"] * min(97, size - low)), f"s{i:03d}"))
+            at += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = mixing.targets(sizes, [(5, 2, 1)[i % 3] for i in range(len(sizes))])
+    source = {r[0]: int(r[2][1:]) for r in rows}
+    taken = Counter()
+    for r in mixing.Mixture(docs).report().collect():
+        taken[source[r.doc_id]] += r.taken
+        assert 0 <= r.taken <= 3 * r["size"]
+    for i, target in enumerate(wanted):
+        assert abs(taken[i] - target) <= max(0.5, target / 128), (sizes[i], target, taken[i])
+
+
+def test_taken_words_are_those_of_the_drawn_blocks(small):
+    """``taken``, rebuilt word by word from the list of draws."""
+    mixture = mixing.Mixture(small)
+    times = Counter((r.number, r.block) for r in mixture.draws().collect())
+    found = {(r.number, r.start): r for r in mixture.placed().collect() if r["size"]}
+    report = Counter()
+    for r in mixture.report().collect():
+        report[r.doc_id] += r.taken
+    expected = Counter()
+    for (number, start), r in found.items():
+        length = mixture.plan[number].block_words
+        for word in range(start, start + r["size"]):
+            expected[r.doc_id] += times[number, word // length]
+    assert +expected == +report
+    for i, source in enumerate(mixture.plan):
+        places = sorted((r.start, r["size"]) for r in found.values() if r.number == i)
+        assert [p for p, _ in places] == [0, *np.cumsum([n for _, n in places])[:-1]][: len(places)]
+
+
+@pytest.mark.parametrize(
+    "names", [["_id", "_hash", "_text", "_in", "_n"], ["__id", "_size", "_RANK", "_uses", "_nth"]]
+)
+def test_helper_columns_do_not_clash(spark, small, names):
+    docs = small.limit(60).withColumns({n: F.col("doc_id") for n in names})
+    model = bpe.Bpe.read(public_tokenizers.path("word_bpe_49k.json"))
+    language_model = language.learn(docs.select("doc_id", "text", "lang"))
+    n = docs.count()
+    assert fingerprints.fingerprint(docs).columns == [*docs.columns, "fingerprint"]
+    results = [
+        fingerprints.fingerprint(docs),
+        simhash.fingerprint(docs),
+        language.identify(docs, language_model),
+        bpe.encode(docs, model),
+        bpe.round_trip(docs, model),
+        toxicity.score(docs, toxicity.ToxicityModel({"idiot": 1.0})),
+    ]
+    for result in results:
+        rows = result.collect()
+        assert len(rows) == n
+        assert all(r[c] == r.doc_id for r in rows for c in names)
+    for result in (simhash.deduplicated(docs), mixing.Mixture(docs).mixed_documents()):
+        assert result.columns == docs.columns
+        assert all(r[c] == r.doc_id for r in result.collect() for c in names)
+
+
+def test_equal_rows_of_an_id_leave_the_same_one(spark):
+    rows = [(1, "a b c d e", f"s{i}") for i in range(40)]
+    kept = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+        found = simhash.deduplicated(docs.repartition(parts, "source")).collect()
+        assert len(found) == 1
+        kept.add(found[0].source)
+    assert len(kept) == 1
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
