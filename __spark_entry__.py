@@ -28,7 +28,9 @@ _studies: dict[tuple[str, str], TripStudy] = {}
 try:
     import corpus_pipeline
     from jamscope.llm import queries as corpus_queries
-except ImportError:
+except ModuleNotFoundError as error:
+    if error.name not in ("corpus_pipeline", "jamscope.llm"):
+        raise
     corpus_pipeline = corpus_queries = None
 
 
@@ -276,7 +278,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "welch_weekend_speed": lambda s: _one_test(s, "weekend_speed"),
         "welch_rush_hour": lambda s: _one_test(s, "rush_speed"),
         "ttest_summary": lambda s: s.tests(),
-        "class_distribution": lambda s: metrics.class_distribution(s.labelled, "jam_abs"),
+        "class_distribution": lambda s: s.class_distribution("jam_abs"),
         "feature_table": lambda s: features.feature_table(
             s.labelled, COLUMNS.features, s.label_names
         ),

@@ -114,19 +114,21 @@ def distance_histogram(
     label: str = "jam_abs",
     max_distance: float = 15.0,
     bins: int = 60,
+    bounds: DataFrame | None = None,
 ) -> DataFrame:
     """Histogram of the distance with bins shared by the labels, density per label.
 
     Bins run from the smallest to the largest distance; the last is closed.
-    Bins without trips give no row.
+    Bins without trips give no row.  ``bounds`` is one row with these extremes as ``low`` and
+    ``high``, if they are known.
     """
     distance = F.col((columns or ColumnMap()).distance)
     near = labelled.where(is_true(distance <= max_distance)).select(
         F.col(label).alias("label"), distance.alias("x")
     )
-    bounds = near.agg(F.min("x").alias("low"), F.max("x").alias("high")).withColumn(
-        "width", (F.col("high") - F.col("low")) / F.lit(float(bins))
-    )
+    if bounds is None:
+        bounds = near.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    bounds = bounds.withColumn("width", (F.col("high") - F.col("low")) / F.lit(float(bins)))
     placed = near.crossJoin(F.broadcast(bounds))  # one row
     guess = F.coalesce(F.try_divide(F.col("x") - F.col("low"), F.col("width")), F.lit(0.0))
     guess = F.least(F.floor(guess), F.lit(bins - 1)).cast("int")

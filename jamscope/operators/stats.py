@@ -116,20 +116,20 @@ def top_correlations(
 
 @dataclass(frozen=True)
 class WelchTest:
-    """A two-sample comparison: rows with ``flag`` true against rows with it false."""
+    """A two-sample comparison of a column: rows with ``flag`` true against rows with it false."""
 
     name: str
     flag: Column
-    value: Column
+    value: str | Column
 
 
 def standard_tests(config: StudyConfig) -> list[WelchTest]:
     """The three tests of a study."""
     c: ColumnMap = config.columns
     return [
-        WelchTest("jam_distance", F.col("jam_abs") == 1, F.col(c.distance)),
-        WelchTest("weekend_speed", F.col("is_weekend") == 1, F.col("speed_mph")),
-        WelchTest("rush_speed", in_hours(F.col("hour"), config.rush_hours), F.col("speed_mph")),
+        WelchTest("jam_distance", F.col("jam_abs") == 1, c.distance),
+        WelchTest("weekend_speed", F.col("is_weekend") == 1, "speed_mph"),
+        WelchTest("rush_speed", in_hours(F.col("hour"), config.rush_hours), "speed_mph"),
     ]
 
 
@@ -147,22 +147,30 @@ def welch_tests(
     moments = []
     for i, test in enumerate(tests):
         flag = is_true(test.flag)
+        value = F.col(f"`{test.value}`") if isinstance(test.value, str) else test.value
         for side, member in (("a", flag), ("b", ~flag)):
-            v = F.when(member, test.value.cast("double"))
+            v = F.when(member, value.cast("double"))
             moments += [
                 F.count(v).alias(f"_n{side}{i}"),
                 F.avg(v).alias(f"_m{side}{i}"),
                 F.var_samp(v).alias(f"_v{side}{i}"),
             ]
-    wide = df.groupBy(*by).agg(*moments)
+    return score_welch(df.groupBy(*by).agg(*moments), [t.name for t in tests], alpha, by)
+
+
+def score_welch(
+    wide: DataFrame, names: Sequence[str], alpha: float = 0.05, by: Sequence[str] = ()
+) -> DataFrame:
+    """Test results from counts, means and variances of both sides (``_na0``, ``_ma0``, ``_va0``,
+    ``_nb0`` ... for the first test) in one row per group."""
     picked = ["n_a", "n_b", "mean_a", "mean_b", "var_a", "var_b"]
     long = wide.selectExpr(
         *map(sql.name, by),
         sql.stack(
             ["test", *picked],
             [
-                [sql.text(test.name), *[f"_{k}{s}{i}" for k in "nmv" for s in "ab"]]
-                for i, test in enumerate(tests)
+                [sql.text(test), *[f"_{k}{s}{i}" for k in "nmv" for s in "ab"]]
+                for i, test in enumerate(names)
             ],
         ),
     )

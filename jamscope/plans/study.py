@@ -13,10 +13,10 @@ from jamscope.config import StudyConfig
 from jamscope.functions.trips import add_time_features
 from jamscope.operators import (
     aggregates,
+    cells,
     cleaning,
     forest,
     labels,
-    metrics,
     quality,
     stats,
 )
@@ -198,8 +198,23 @@ class TripStudy:
 
     # Labelled data ----------------------------------------------------------
 
+    @cached_property
+    def _cells(self) -> Staged:
+        """One scan of the labelled trips for all tables by hour, weekday and class."""
+        c = self.config.columns
+        table = cells.cell_table(
+            self.labelled,
+            self.label_names,
+            ["speed_mph", c.distance],
+            (c.distance, self.config.histogram_max_distance),
+        )
+        return self.staging.stage(table, "cells")
+
     def label_meta(self) -> DataFrame:
-        return labels.label_meta(self.labels)
+        return cells.label_meta(self._cells.frame, self.labels)
+
+    def class_distribution(self, label: str) -> DataFrame:
+        return cells.class_distribution(self._cells.frame, label)
 
     def label_profile(self) -> DataFrame:
         return labels.label_profile(
@@ -232,17 +247,13 @@ class TripStudy:
         )
 
     def speed_pivot(self) -> DataFrame:
-        return aggregates.speed_hour_dow_pivot(self.labelled)
-
-    @cached_property
-    def _hourly(self) -> Staged:
-        return self.staging.stage(aggregates.hourly_summary(self.labelled), "hourly")
+        return cells.speed_hour_dow_pivot(self._cells.frame)
 
     def hourly(self) -> DataFrame:
-        return self._hourly.frame.orderBy("hour")
+        return cells.hourly_summary(self._cells.frame)
 
     def hourly_extremes(self) -> DataFrame:
-        return aggregates.hourly_extremes(self._hourly.frame)
+        return aggregates.hourly_extremes(self.hourly())
 
     def zones(self) -> DataFrame:
         return aggregates.zone_jam_topk(
@@ -260,11 +271,12 @@ class TripStudy:
             "jam_abs",
             self.config.histogram_max_distance,
             self.config.histogram_bins,
+            cells.near_bounds(self._cells.frame),
         )
 
     def tests(self) -> DataFrame:
-        return stats.welch_tests(
-            self.labelled, stats.standard_tests(self.config), self.config.alpha
+        return cells.welch_tests(
+            self._cells.frame, stats.standard_tests(self.config), self.config.alpha
         )
 
     # Models -------------------------------------------------------------------
@@ -310,7 +322,7 @@ class TripStudy:
             steps.append(pool.submit(lambda: self.labels))
             steps[-1].result()
             steps.append(pool.submit(lambda: self._correlations))
-            steps.append(pool.submit(lambda: self._hourly))
+            steps.append(pool.submit(lambda: self._cells))
             for step in steps:
                 step.result()
 
@@ -342,7 +354,7 @@ class TripStudy:
             "ttest_summary": self.tests(),
         }
         for name in self.label_names:
-            results[f"class_distribution_{name}"] = metrics.class_distribution(self.labelled, name)
+            results[f"class_distribution_{name}"] = self.class_distribution(name)
         if self.other is not None:
             results["scan_shape"] = self.shape()
             results["null_count_reconcile"] = self.null_counts()

@@ -49,6 +49,45 @@ def test_tied_rows_are_split_without_loss(numbered):
     assert len(ids) == 20_000
 
 
+def test_split_of_many_classes(spark):
+    """Each class gives its first rows; all classes are cut in the same few jobs."""
+    df = spark.range(30_000).select(
+        "id", F.concat(F.lit("c"), F.col("id") % 997 % 300).alias("label"), F.lit(1).alias("last")
+    )
+    order = F.shiftrightunsigned(F.xxhash64("id"), 4)
+    train, test = sampling.stratified_split(df, "label", 0.2, order=order)
+    assert train.columns == test.columns == df.columns
+    members = {}
+    for r in df.withColumn("o", order).collect():
+        members.setdefault(r["label"], []).append((r["o"], r["id"]))
+    found = {}
+    for r in test.collect():
+        found.setdefault(r["label"], set()).add(r["id"])
+    given = sampling.allocate({c: len(m) for c, m in members.items()}, 24_000)
+    for c, rows in members.items():
+        assert found.get(c, set()) == {i for _, i in sorted(rows)[: len(rows) - given[c]]}
+    assert train.count() == 24_000 and train.join(test, "id").count() == 0
+    wanted = {c: len(members[c]) // 3 for c in ("c0", "c7", "c299")}
+    for c, cut in sampling.find_cuts(df, "label", order, wanted).items():
+        assert cut == sampling.find_cut(df.where(F.col("label") == c), order, wanted[c])
+    with pytest.raises(ValueError):
+        sampling.find_cuts(df, "label", order, {"c0": 10_000})
+
+
+def test_split_of_odd_classes(spark):
+    """No rows, rows without a label, classes of one row, and ties in some classes only."""
+    empty = spark.range(0).select("id", F.lit(1).alias("label"))
+    assert [p.count() for p in sampling.stratified_split(empty, "label")] == [0, 0]
+    df = spark.range(1000).select(
+        "id", F.when(F.col("id") < 900, F.least(F.col("id") % 7, F.lit(2))).alias("label")
+    ).unionByName(spark.range(5000, 5001).select("id", F.lit(77).cast("long").alias("label")))
+    order = F.when(F.col("label") == 2, F.lit(5).cast("bigint")).otherwise(F.col("id"))
+    train, test = sampling.stratified_split(df, "label", 0.25, order=order)
+    parts = [{r["id"] for r in p.collect()} for p in (train, test)]
+    assert len(parts[1]) == math.ceil(0.25 * 901) and not parts[0] & parts[1]
+    assert parts[0] | parts[1] == {*range(900), 5000}
+
+
 @pytest.mark.parametrize("fraction", [0.2, 0.33])
 def test_split_keeps_proportions(numbered, fraction):
     train, test = sampling.stratified_split(numbered, "label", fraction)

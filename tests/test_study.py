@@ -12,8 +12,18 @@ from conftest import TESTDATA
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from jamscope.config import StudyConfig
 from jamscope.functions.trips import add_time_features
-from jamscope.operators import cleaning, forest, quality
+from jamscope.operators import (
+    aggregates,
+    cells,
+    cleaning,
+    forest,
+    labels,
+    metrics,
+    quality,
+    stats,
+)
 from jamscope.operators.quantiles import known_values, sketches
 from jamscope.plans.order_trips import order_trip_config, order_trips
 from jamscope.plans.study import TripStudy
@@ -222,3 +232,50 @@ def test_time_features_of_a_plain_frame(small_study):
         "dow",
         "is_weekend",
     ]
+
+
+def test_cells_give_the_same_tables(spark):
+    """What is summed over cells equals what is read from the trips, NULLs included."""
+    config = StudyConfig()
+    distance = config.columns.distance
+    i = F.col("id")
+    trips = spark.range(5000).select(
+        (i % 7).cast("int").alias("dow"),
+        (i % 23).cast("int").alias("hour"),
+        (i % 7 > 4).cast("int").alias("is_weekend"),
+        F.when(i % 11 > 0, (i % 3 == 0).cast("int")).alias("jam_abs"),
+        (i % 5 == 0).cast("int").alias("jam_rel"),
+        F.when(i % 13 > 0, 1e3 + (i * 37 % 101) / 7).alias("speed_mph"),
+        F.when(i % 17 > 0, (i * 53 % 211) / 9).alias(distance),
+    )
+    table = cells.cell_table(
+        trips, ["jam_abs", "jam_rel"], ["speed_mph", distance], (distance, 15.0)
+    ).persist()
+    assert table.count() <= 7 * 23 * 6
+
+    class Routes:
+        rows = 12
+
+    meta = labels.LabelledTrips(trips, Routes, 5000, 1.5, 0.5)
+    tests = stats.standard_tests(config)
+    pairs = [
+        (cells.hourly_summary(table), aggregates.hourly_summary(trips)),
+        (cells.speed_hour_dow_pivot(table), aggregates.speed_hour_dow_pivot(trips)),
+        (cells.class_distribution(table, "jam_abs"), metrics.class_distribution(trips, "jam_abs")),
+        (cells.label_meta(table, meta), labels.label_meta(meta)),
+        (cells.welch_tests(table, tests), stats.welch_tests(trips, tests)),
+        (
+            aggregates.distance_histogram(trips, bounds=cells.near_bounds(table)),
+            aggregates.distance_histogram(trips),
+        ),
+    ]
+    for found, expected in pairs:
+        assert found.dtypes == expected.dtypes
+        for x, y in zip(
+            sorted(found.collect(), key=repr), sorted(expected.collect(), key=repr), strict=True
+        ):
+            for a, b in zip(x, y, strict=True):
+                assert a == (pytest.approx(b, rel=1e-8) if isinstance(b, float) else b)
+    none = cells.cell_table(trips.limit(0), ["jam_abs", "jam_rel"], ["speed_mph", distance])
+    assert cells.label_meta(none, meta).first()["n_rows"] == 0
+    table.unpersist()
