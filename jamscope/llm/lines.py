@@ -14,11 +14,11 @@ stays if it is the first of its word set and no similar set begins earlier.
 3. Postings meet by word in sorted streams.  Length filter, positional filter
    and the parity map (whose differing bits are a lower bound of the differing
    words) leave few false candidates.  A set sends on its likeliest candidates of
-   a word, and a mark if there were more.
+   a word; if there are more, its posting and theirs are put aside, each once.
 4. Candidates are verified on their full word sets.  One similar set is enough to
    decide, so the likeliest is tried first, then the others where it fails.
-   Marked sets of which none holds are joined with all their candidates, so none
-   is lost.
+   Sets of which none holds are joined with their postings put aside, so no
+   candidate is lost.
 
 Groups beyond ``GROUP_ROWS`` postings are dealt out anew as pairs of blocks.
 Copies of a line in one batch give one posting, so frequent lines stay small.
@@ -33,6 +33,7 @@ empty.  Words, sets and the texts of one id are told apart by 64-bit hashes.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -65,7 +66,7 @@ LONE = 6
 SEGMENTS = 64
 GROUP_ROWS = 8192
 BLOCK_ROWS = 4096
-#: Candidates of a set that one word sends on; beyond these it is marked.
+#: Candidates of a set that one word sends on; the postings of others are put aside.
 CANDIDATES = 16
 #: Comparisons made at once.
 PIECE = 1 << 18
@@ -79,7 +80,7 @@ class LineSets:
 
     Lines with words only.  ``text`` and ``line`` say where a line stands,
     ``begin`` and ``size`` where its words are in ``words``; ``ids`` are hashes
-    of the sets, ``parity`` their parity maps.
+    of the sets.
     """
 
     def __init__(self, texts: list[bytes], rarity: np.ndarray | None) -> None:
@@ -101,13 +102,15 @@ class LineSets:
         self.line = whole - first_line[self.text]
         if len(self.begin):
             sums = np.add.reduceat(mixed(self.words ^ np.uint64(0x5851F42D4C957F2D)), self.begin)
-            self.parity = self._parities()
         else:
-            sums, self.parity = np.zeros(0, np.uint64), np.zeros((MAP_WORDS, 0), np.uint64)
+            sums = np.zeros(0, np.uint64)
         self.ids = signed(mixed(sums + self.size.astype(np.uint64)))
 
-    def _parities(self) -> np.ndarray:
+    @cached_property
+    def parity(self) -> np.ndarray:
         """Which of a map's bits an odd number of words falls on; larger sets have wider maps."""
+        if not len(self.begin):
+            return np.zeros((MAP_WORDS, 0), np.uint64)
         bit = np.uint64(1) << (self.words & np.uint64(63))
         wide = np.repeat(map_words(self.size), self.size)
         place = (self.words >> np.uint64(6)).astype(np.int64) & (wide - 1)
@@ -250,13 +253,19 @@ def _posted(ids: np.ndarray, sets: LineSets, rarity: np.ndarray) -> pa.RecordBat
     )
 
 
-def _compared(limit: int | None):
-    """For a stream of postings sorted by word and place: of each set the likeliest earlier sets
-    that pass the filters, with ``n`` for the differing bits of the parity maps; rows of
-    groups beyond ``limit`` as they are."""
+def _compared(limit: int | None, most: int):
+    """For a stream of postings sorted by word: of each set the ``most`` likeliest earlier sets
+    that pass the filters, with ``n`` for the differing bits of the parity maps.
+
+    Where a set has further ones, its posting comes with ``more`` true, and those of the further
+    ones with ``more`` false, each once and without ``other``.  Rows of groups beyond ``limit``
+    come as they are, without ``other`` and ``more``.
+    """
     names = [f.split()[0] for f in POSTING.split(", ")]
 
     def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((columns[2], columns[1], columns[0]))
+        columns = [c[order] for c in columns]
         # Of a set that several batches have, its first row stands for it.
         order = np.lexsort((columns[3], columns[0]))
         again = np.zeros(len(order), dtype=bool)
@@ -264,6 +273,7 @@ def _compared(limit: int | None):
         word, doc, line, set_id, n, at, *maps = (c[~again] for c in columns)
         n, at = n.astype(np.int64), at.astype(np.int64)
         parity = np.stack(maps).view(np.uint64)
+        marked, further = np.zeros(len(word), dtype=bool), np.zeros(len(word), dtype=bool)
         start = np.searchsorted(word, word, side="left")
         many = np.arange(len(word)) - start
         rows = np.flatnonzero(many)
@@ -287,17 +297,24 @@ def _compared(limit: int | None):
                 i, j, differ = i[order], j[order], differ[order]
                 begin = np.flatnonzero(np.diff(i, prepend=-1))
                 count = np.diff(np.append(begin, len(i)))
-                kept = np.arange(len(i)) - np.repeat(begin, count) < CANDIDATES
-                more = np.repeat(count > CANDIDATES, count)[kept]
+                kept = np.arange(len(i)) - np.repeat(begin, count) < most
+                marked[i[~kept]] = True
+                further[j[~kept]] = True
                 i, j, differ = i[kept], j[kept], differ[kept]
                 none = [pa.nulls(len(i), t) for t in (pa.int64(), pa.int64(), pa.int32())]
                 ends = [pa.array(differ), pa.nulls(len(i), pa.int32())]
                 ends += [pa.nulls(len(i), pa.int64())] * MAP_WORDS
-                ends += [pa.array(set_id[j]), pa.array(more)]
+                ends += [pa.array(set_id[j]), pa.nulls(len(i), pa.bool_())]
                 yield pa.RecordBatch.from_arrays(
                     [*none, pa.array(set_id[i]), *ends], names=[*names, "other", "more"]
                 )
             low = high
+        aside = np.flatnonzero(marked | further)
+        if len(aside):
+            rows = [word, doc, line, set_id, n.astype(np.int32), at.astype(np.int32), *maps]
+            arrays = [pa.array(c[aside]) for c in rows]
+            arrays += [pa.nulls(len(aside), pa.int64()), pa.array(marked[aside])]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "other", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for hot, columns in sorted_groups(batches, names, limit):
@@ -410,39 +427,36 @@ class LineIndex:
         counts = found.where("segment IS NOT NULL").select("segment", "content")
         self.rarity = rarities(_summed(counts, np.add, np.uint32))
 
-    def postings(self, column: str = "", wanted: BucketFilter | None = None) -> DataFrame:
-        """All postings, or those whose ``column`` passes a filter."""
-        shared = self.spark.sparkContext.broadcast((self.rarity, wanted))
+    def postings(self) -> DataFrame:
+        shared = self.spark.sparkContext.broadcast(self.rarity)
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rarity, wanted = shared.value
+            rarity = shared.value
             for batch in small_batches(batches, "text"):
                 for ids, sets in _line_sets(batch, rarity):
-                    found = _posted(ids, sets, rarity)
-                    if wanted is not None:
-                        found = found.filter(pa.array(wanted(np.asarray(found.column(column)))))
-                    yield found
+                    yield _posted(ids, sets, rarity)
 
         return self.docs.mapInArrow(post, POSTING)
 
-    def candidates(self) -> DataFrame:
-        """``set_id`` with earlier sets ``other`` that may be similar, the differing bits ``n``, and
-        whether a word had ``more`` of them."""
-
-        def compared(postings: DataFrame, limit: int | None) -> DataFrame:
-            rows = postings.repartition(self.parts, "word")
-            return rows.sortWithinPartitions("word", "doc_id", "line").mapInArrow(
-                _compared(limit), f"{POSTING}, other long, more boolean"
-            )
-
-        first = staged(compared(self.postings(), GROUP_ROWS), "candidates")
-        forget_shuffles(self.spark)
-        hot = first.where("other IS NULL").drop("other", "more")
+    def candidates(self) -> tuple[DataFrame, DataFrame]:
+        """``set_id`` with earlier sets ``other`` that may be similar and the differing bits ``n``;
+        and the postings put aside, those of sets with further candidates with ``more`` true."""
+
+        def compared(postings: DataFrame, limit: int | None, name: str) -> DataFrame:
+            # By word alone, as Spark sorts one number far faster than several columns.
+            rows = postings.repartition(self.parts, "word").sortWithinPartitions("word")
+            fields = f"{POSTING}, other long, more boolean"
+            found = staged(rows.mapInArrow(_compared(limit, CANDIDATES), fields), name)
+            forget_shuffles(self.spark)
+            return found
+
+        first = compared(self.postings(), GROUP_ROWS, "candidates")
+        hot = first.where("other IS NULL AND more IS NULL").drop("other", "more")
+        # The rows of hot words get other words, so that no two groups have the same one.
         dealt = dealt_in_blocks(hot, "word", "set_id", BLOCK_ROWS)
-        pairs = first.where("other IS NOT NULL").select("set_id", "n", "other", "more")
-        again = compared(dealt, None).select("set_id", "n", "other", "more")
-        both = pairs.unionByName(again).groupBy("set_id", "other")
-        return both.agg(F.min("n").alias("n"), F.max("more").alias("more"))
+        both = first.unionByName(compared(dealt, None, "hot-candidates"))
+        pairs = both.where("other IS NOT NULL").groupBy("set_id", "other")
+        return pairs.agg(F.min("n").alias("n")), both.where("more IS NOT NULL").drop("other")
 
     def word_sets(self, wanted: BucketFilter) -> DataFrame:
         """``set_id`` and ``words`` of the sets that pass a filter."""
@@ -479,8 +493,10 @@ class LineIndex:
 
     def late_sets(self) -> DataFrame:
         """``set_id`` of the sets before whose first line a similar one stands."""
-        pairs = staged(self.candidates(), "pairs")
+        pairs, aside = self.candidates()
+        pairs = staged(pairs, "pairs")
         ends = pairs.select("set_id").unionByName(pairs.select(F.col("other").alias("set_id")))
+        ends = ends.unionByName(aside.select("set_id"))
         sets = staged(self.word_sets(BucketFilter(ends)), "sets")
         best = pairs.groupBy("set_id").agg(F.min_by("other", F.struct("n", "other")).alias("other"))
         late = staged(self._verified(best, sets), "late")
@@ -488,24 +504,17 @@ class LineIndex:
         rest = pairs.join(best, ["set_id", "other"], "left_anti").join(late, "set_id", "left_anti")
         others = self._verified(rest.select("set_id", "other"), sets)
         late = late.unionByName(staged(others, "late"))
-        open_ = pairs.where("more").select("set_id").distinct().join(late, "set_id", "left_anti")
+        open_ = aside.where("more").join(late, "set_id", "left_anti")
         open_ = staged(open_, "open")
         forget_shuffles(self.spark)
-        return late if open_.isEmpty() else late.unionByName(self._thorough(open_))
+        return late if open_.isEmpty() else late.unionByName(self._further(open_, aside, sets))
 
-    def _thorough(self, open_: DataFrame) -> DataFrame:
-        """Late ones among sets whose sent candidates were all false: all candidates are tried."""
+    def _further(self, open_: DataFrame, aside: DataFrame, sets: DataFrame) -> DataFrame:
+        """Late ones among sets whose sent candidates were all false: the others are tried."""
         a, b = SIMILAR
-
-        def firsts(postings: DataFrame) -> DataFrame:
-            return postings.groupBy("word", "set_id", "n", "at", *MAPS).agg(
-                F.min(F.struct("doc_id", "line")).alias("place")
-            )
-
-        own = firsts(self.postings("set_id", BucketFilter(open_)).join(open_, "set_id"))
-        own = staged(own, "open-postings")
-        theirs = firsts(self.postings("word", BucketFilter(own.select("word"))))
-        x, y = own.alias("x"), theirs.alias("y")
+        place = F.struct("doc_id", "line").alias("place")
+        columns = ["word", "set_id", "n", "at", *MAPS, place]
+        x, y = open_.select(*columns).alias("x"), aside.select(*columns).alias("y")
         n, m = F.col("x.n"), F.col("y.n")
         least = F.ceil((n + m) * a / (a + b))
         rest = F.least(n - F.col("x.at"), m - F.col("y.at"))
@@ -519,8 +528,7 @@ class LineIndex:
         pairs = staged(
             pairs.select("x.set_id", F.col("y.set_id").alias("other")).distinct(), "all-pairs"
         )
-        ends = pairs.select("set_id").unionByName(pairs.select(F.col("other").alias("set_id")))
-        return self._verified(pairs, staged(self.word_sets(BucketFilter(ends)), "sets"))
+        return self._verified(pairs, sets)
 
     def removed(self) -> DataFrame:
         """``doc_id`` (NULL as the last id), ``line`` and ``text_id`` of every line that goes."""

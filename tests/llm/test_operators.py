@@ -293,16 +293,22 @@ def test_lines_without_rows(no_docs):
     assert lines.deduplicated(no_docs).count() == 0
 
 
-def test_all_candidates_of_open_sets(spark, small):
-    """The way for sets whose likeliest candidate is false, tried for all sets."""
+def test_all_candidates_of_open_sets(spark, small, monkeypatch):
+    """The way for sets whose likeliest candidates are false, tried for all sets: a word sends on
+    no candidate or one; with hot words, too."""
     rng = random.Random(4)
     words = [f"v{i}" for i in range(13)]
     made = [(i, " ".join(rng.sample(words, rng.randint(4, 10)))) for i in range(200)]
     for docs in (small, spark.createDataFrame(made, "doc_id long, text string")):
-        index = lines.LineIndex(docs)
-        every = index.lines.select("set_id").distinct()
-        expected = collected(index.late_sets(), "set_id")
-        assert expected and collected(index._thorough(every), "set_id") == expected
+        expected = collected(lines.LineIndex(docs).late_sets(), "set_id")
+        assert expected
+        for most, group, block in ((0, 8192, 4096), (1, 8192, 4096), (0, 5, 3), (1, 5, 3)):
+            monkeypatch.setattr(lines, "CANDIDATES", most)
+            monkeypatch.setattr(lines, "GROUP_ROWS", group)
+            monkeypatch.setattr(lines, "BLOCK_ROWS", block)
+            found = {tuple(r) for r in lines.LineIndex(docs).late_sets().collect()}
+            assert sorted(found, key=repr) == expected
+        monkeypatch.undo()
 
 
 def test_token_counts(spark, small, odd_docs, no_docs):
