@@ -26,15 +26,17 @@ table gives no rows.  Only the named columns are read; results have new frames.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from jamscope.llm.common import WORD, fresh_names, mixed, staged, word_count
+from jamscope.llm.common import WORD, fresh_names, mixed, small_batches, staged, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -295,31 +297,41 @@ class Mixture:
             & (F.col(own["n"]) == F.col(own["size"]))
             & (F.col(own["nth"]) == F.col(own["rank"])),
         )
-        texts = F.pandas_udf(copies, "array<string>")(F.col("text"), F.col(own["uses"]))
-        kept = {c: F.col(f"`{c}`") for c in columns}
-        out = both.select(*[kept[c] for c in columns if c != "text"], F.explode(texts).alias("text"))
+        others, read = [c for c in columns if c != "text"], fresh_names(self.docs, "text")[0]
+        kept = both.select(
+            *[F.col(f"`{c}`") for c in others],
+            F.col("text").alias(read),
+            F.col(own["uses"]).alias("text"),
+        )
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in small_batches(batches, read):
+                pairs = zip(batch.column(read).to_pylist(), batch.column("text").to_pylist(), strict=True)
+                made = [copies(text, drawn) for text, drawn in pairs]
+                row = pa.array(np.repeat(np.arange(len(made)), [len(m) for m in made]))
+                arrays = [batch.column(c).take(row) for c in others]
+                arrays.append(pa.array([text for m in made for text in m], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*others, "text"])
+
+        fields = [f"`{c}` {t}" for c, t in self.docs.select(*[f"`{c}`" for c in others]).dtypes]
+        out = kept.mapInArrow(cut, ", ".join([*fields, "text string"]))
         if "n_chars" in columns:
             out = out.withColumn("n_chars", F.length("text").cast("long"))
-        return out.select(*columns)
+        return out.select(*[F.col(f"`{c}`") for c in columns])
+
 
+_WORD = re.compile(WORD)
 
-def copies(text: pd.Series, uses: pd.Series) -> pd.Series:
+
+def copies(text: str, uses: list[dict]) -> list[str]:
     """The texts that a document's drawn words make, one per repetition."""
-    import re
-
-    word = re.compile(WORD)
-    out = []
-    for body, drawn in zip(text, uses, strict=True):
-        starts = [m.start() for m in word.finditer(body)] + [len(body)]
-        starts[0] = 0
-        made = []
-        for c in range(1, MOST_REPEATS + 1):
-            parts = [
-                body[starts[u["from_word"]] : starts[u["to_word"]]]
-                for u in drawn
-                if u["times"] >= c
-            ]
-            if parts:
-                made.append("".join(parts))
-        out.append(made)
-    return pd.Series(out)
+    starts = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+    starts[0] = 0
+    made = []
+    for c in range(1, MOST_REPEATS + 1):
+        parts = [
+            text[starts[u["from_word"]] : starts[u["to_word"]]] for u in uses if u["times"] >= c
+        ]
+        if parts:
+            made.append("".join(parts))
+    return made
