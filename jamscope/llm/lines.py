@@ -56,6 +56,8 @@ from jamscope.llm.common import (
     text_bytes,
 )
 
+#: Bytes of text cut into lines and words at once.
+TEXT_BYTES = 1 << 19
 #: Least similarity, as a fraction.
 SIMILAR = (4, 5)
 #: Buckets of the word counts and of the filters, as powers of two.
@@ -192,7 +194,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << COUNT_BITS, dtype=np.uint32)
     names = ["set_id", "places", "segment", "content"]
     place = [("doc_id", pa.int64()), ("line", pa.int32()), ("text_id", pa.int64())]
-    for batch in small_batches(batches, "text"):
+    for batch in small_batches(batches, "text", TEXT_BYTES):
         text_ids, low = batch.column("text_id").to_numpy(), 0
         for ids, sets in _line_sets(batch, None):
             own_texts, low = text_ids[low : low + len(ids)], low + len(ids)
@@ -398,7 +400,7 @@ def _line_sets(batch: pa.RecordBatch, rarity: np.ndarray | None) -> Iterator[tup
     ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
     if batch.column("doc_id").null_count:
         ids = batch.column("doc_id").fill_null(LAST_ID).to_numpy()
-    for low, high in chunks(texts):
+    for low, high in chunks(texts, TEXT_BYTES):
         yield ids[low:high], LineSets(texts[low:high], rarity)
 
 
@@ -432,7 +434,7 @@ class LineIndex:
 
         def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rarity = shared.value
-            for batch in small_batches(batches, "text"):
+            for batch in small_batches(batches, "text", TEXT_BYTES):
                 for ids, sets in _line_sets(batch, rarity):
                     yield _posted(ids, sets, rarity)
 
@@ -463,7 +465,7 @@ class LineIndex:
         shared = self.spark.sparkContext.broadcast(wanted)
 
         def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in small_batches(batches, "text"):
+            for batch in small_batches(batches, "text", TEXT_BYTES):
                 for _, sets in _line_sets(batch, None):
                     _, chosen = np.unique(sets.ids, return_index=True)
                     chosen = chosen[shared.value(sets.ids[chosen])]
