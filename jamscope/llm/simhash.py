@@ -273,7 +273,9 @@ def near_links(values: DataFrame) -> DataFrame:
     ``values`` has one column ``fp`` of distinct fingerprints, as signed longs.
     """
     parts = scattered(values)
-    keyed = values.mapInArrow(_keyed, "key long, fp long, side byte")
+    # A value becomes some 119 rows, so values are dealt out by their number, not by their bytes.
+    dealt = values.repartition(parts, F.xxhash64("fp"))
+    keyed = dealt.mapInArrow(_keyed, "key long, fp long, side byte")
     sorted_ = keyed.repartition(parts, "key").sortWithinPartitions("key", "side")
     first = staged(sorted_.mapInArrow(_linked(GROUP_ROWS), LINKS), "simhash")
     links = first.where("b IS NOT NULL").select("a", "b")
