@@ -207,43 +207,56 @@ def missing_block_by_group(df: DataFrame, block_column: str | None, group: str)
 
 
 COPIES = "n_copies"
-_DIGEST = ["_digest_1", "_digest_2"]
+#: Bits of the filter per digest that several rows have, and the most bits (as a power of two).
+BITS_PER_DIGEST = 16
+MOST_FILTER_BITS = 26
 
 
-def _repeated_digests(df: DataFrame, staging: StagingArea | None) -> tuple[DataFrame, DataFrame]:
-    """``df`` with a 128-bit digest of each row, and the digests that several rows have.
+def _digest(df: DataFrame) -> Column:
+    """A 64-bit digest of a row; equal rows have equal ones, the converse is not relied on.
 
-    Only digests are shuffled, counted map-side.  Equal rows have equal digests;
-    the converse is not taken for granted anywhere.
+    A NULL leaves a hash as it is, so the digest also sees which columns are NULL.
     """
     columns = [F.col(sql.name(c)) for c in df.columns]
-    # A NULL leaves a hash as it is: the second one also sees which columns are NULL.
-    nulls = [c.isNull() for c in columns]
-    marked = df.withColumns(
-        {
-            _DIGEST[0]: F.xxhash64(F.lit(1), *columns),
-            _DIGEST[1]: F.xxhash64(F.lit(2), *nulls, *columns),
-        }
+    return F.xxhash64(F.lit(1), *[c.isNull() for c in columns], *columns)
+
+
+def _may_repeat(df: DataFrame, staging: StagingArea) -> DataFrame:
+    """``df`` with ``_again``: whether the digest of a row may be one that several rows have.
+
+    Only digests are shuffled, counted map-side.  The repeated ones set bits of a filter, whose
+    64-bit words are a small table that is broadcast: a million words at most, so with very many
+    repeated digests more rows are flagged, never fewer.
+    """
+    marked = df.withColumn("_digest", _digest(df))
+    counts = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"))
+    several = staging.stage(counts.where("_n > 1").select("_digest"), "repeated_digests")
+    wanted = max(128, several.rows * BITS_PER_DIGEST)
+    bits = min(MOST_FILTER_BITS, (wanted - 1).bit_length())
+    word = F.shiftrightunsigned("_digest", 70 - bits)  # leading bits; the last six name a bit
+    bit = "shiftleft(1L, CAST(_digest & 63 AS INT))"
+    words = several.frame.groupBy(word.alias("_word")).agg(F.expr(f"bit_or({bit})").alias("_bits"))
+    words = staging.stage(words, "repeated_filter").frame
+    again = F.expr(f"coalesce(_bits & {bit}, 0L) <> 0").alias("_again")
+    return (
+        marked.withColumn("_word", word)
+        .join(F.broadcast(words), "_word", "left")  # 2 ** (MOST_FILTER_BITS - 6) rows at most
+        .select(*[F.col(sql.name(c)) for c in df.columns], again)
     )
-    several = marked.groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    several = several.select(*_DIGEST, F.lit(True).alias("_again"))
-    staging = staging or StagingArea(df.sparkSession)
-    return marked, staging.stage(several, "repeated_digests").frame
 
 
 def count_copies(df: DataFrame, staging: StagingArea | None = None) -> DataFrame:
     """The distinct rows (NULL equals NULL) with the number of their copies.
 
-    Rows whose digest is their own pass as they are; the others are grouped by
-    all columns.  The staged digests have a known size: where they are few, the
-    planner broadcasts them, and no row without a copy is shuffled.
+    Rows whose digest is their own pass as they are; the others, and the few that the filter
+    does not tell from them, are grouped by all columns.  No other row is shuffled, whatever
+    the size of the table.
     """
-    marked, several = _repeated_digests(df, staging)
+    flagged = _may_repeat(df, staging or StagingArea(df.sparkSession))
     columns = [F.col(sql.name(c)) for c in df.columns]
-    flagged = marked.join(several, _DIGEST, "left")
-    alone = flagged.where("_again IS NULL").select(*columns, F.lit(1).cast("bigint").alias(COPIES))
-    again = flagged.where("_again").select(*columns)
-    return alone.unionByName(again.groupBy(*columns).agg(F.count(F.lit(1)).alias(COPIES)))
+    alone = flagged.where("NOT _again").select(*columns, F.lit(1).cast("bigint").alias(COPIES))
+    again = flagged.where("_again").groupBy(*columns).agg(F.count(F.lit(1)).alias(COPIES))
+    return alone.unionByName(again)
 
 
 def duplicate_count(df: DataFrame, copies: DataFrame | None = None) -> DataFrame:

@@ -230,6 +230,31 @@ def test_colliding_digests_do_not_merge_rows(spark, staging, monkeypatch):
     assert found == {1: 2, 2: 1, 3: 1}
 
 
+def test_many_repeated_digests_do_not_move_whole_tables(spark, staging):
+    """However large the list of repeated digests is said to be, rows without a copy stay put."""
+    ids = spark.range(3000).unionByName(spark.range(300)).unionByName(spark.range(20))
+    df = ids.select("id", F.when(F.col("id") % 2 == 0, F.col("id")).alias("even"))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        counted = quality.count_copies(df, staging)
+        plan = counted._jdf.queryExecution().executedPlan().toString()
+        found = {r["id"]: r[quality.COPIES] for r in counted.collect()}
+    finally:
+        spark.conf.set(key, before)
+    assert "SortMergeJoin" not in plan
+    assert found == {i: 1 + (i < 300) + (i < 20) for i in range(3000)}
+
+
+def test_a_full_filter_flags_more_rows_and_gives_the_same_counts(spark, staging, monkeypatch):
+    monkeypatch.setattr(quality, "MOST_FILTER_BITS", 7)
+    df = spark.range(500).unionByName(spark.range(200)).select("id", F.lit("x").alias("text"))
+    counted = quality.count_copies(df, staging).collect()
+    assert {r["id"]: r[quality.COPIES] for r in counted} == {i: 1 + (i < 200) for i in range(500)}
+    assert len(counted) == 500
+
+
 def test_quantiles_of_two_tables(spark, staging):
     left = spark.createDataFrame([(float(v),) for v in (1, 2, 3, 10)], "x double")
     right = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 10.0, 10.0, None)], "x double")
