@@ -18,6 +18,7 @@ from jamscope.functions.trips import (
 )
 from jamscope.operators.quality import COPIES, count_copies, dedup_rows, touches_zone
 from jamscope.sources.tables import require_columns
+from jamscope.staging import StagingArea
 
 DUPLICATES = "duplicate rows"
 
@@ -76,6 +77,7 @@ def clean_trips(
     columns: ColumnMap | None = None,
     rules: CleaningRules | None = None,
     copies: DataFrame | None = None,
+    staging: StagingArea | None = None,
 ) -> DataFrame:
     """Raw trips that pass every rule, one copy each, with time features and ``speed_mph``.
 
@@ -92,7 +94,7 @@ def clean_trips(
         if rule.removes is not None:
             kept = kept.where(~rule.removes)
     if copies is None:
-        kept = dedup_rows(kept)
+        kept = dedup_rows(kept, staging)
     return add_speed(add_time_features(kept, c), c)
 
 

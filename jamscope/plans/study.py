@@ -74,15 +74,16 @@ class TripStudy:
         return add_time_features(self.raw, self.config.columns)
 
     @cached_property
-    def copies(self) -> Staged:
-        """The distinct raw trips and their copies: the one shuffle of whole rows."""
-        return self.staging.stage(quality.count_copies(self.raw, self.staging), "copies")
+    def copies(self) -> DataFrame:
+        """The distinct raw trips and their copies; only trips that may have copies are moved."""
+        return quality.count_copies(self.raw, self.staging)
 
     @cached_property
     def clean(self) -> Staged:
         config = self.config
+        # Copies are looked for among the trips that the rules leave, which are far fewer.
         trips = cleaning.clean_trips(
-            self.raw, config.columns, config.cleaning, self.copies.frame
+            self.raw, config.columns, config.cleaning, staging=self.staging
         )
         return self.staging.stage(trips, "clean")
 
@@ -149,7 +150,7 @@ class TripStudy:
         return quality.missing_block_by_group(self.trips, base, self.config.columns.vendor)
 
     def duplicates(self) -> DataFrame:
-        return quality.duplicate_count(self.raw, self.copies.frame)
+        return quality.duplicate_count(self.raw, self.copies)
 
     def distance_quantiles(self) -> DataFrame:
         return quality.quantile_interpolation(self.raw, self.config.columns.distance)
@@ -193,7 +194,7 @@ class TripStudy:
 
     def audit(self) -> DataFrame:
         return cleaning.clean_audit(
-            self.raw, self.config.columns, self.config.cleaning, self.copies.frame
+            self.raw, self.config.columns, self.config.cleaning, self.copies
         )
 
     # Labelled data ----------------------------------------------------------

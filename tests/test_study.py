@@ -34,7 +34,7 @@ from jamscope.sources.tables import (
     shape_reconcile,
     write_tables,
 )
-from jamscope.staging import checkpoint_root
+from jamscope.staging import StagingArea, checkpoint_root
 
 
 def plan_of(df) -> str:
@@ -171,6 +171,38 @@ def test_counted_copies_give_the_same_results(small_study):
     assert study.clean.rows == cleaning.clean_trips(twice, c, rules).count()
 
 
+def test_no_copy_of_all_trips_is_written(small_study, tmp_path):
+    """Only clean trips are written, before and after the route join, for the labels and the audit."""
+    staging = StagingArea(small_study.raw.sparkSession, str(tmp_path))
+    study = TripStudy(small_study.raw, small_study.config, staging)
+    assert study.labelled.count() == study.labelled_rows and study.audit().count() == 10
+    whole = set()
+    for path in (tmp_path / staging.path.split("/")[-1]).iterdir():
+        if "l_partkey" in staging.spark.read.parquet(str(path)).columns:
+            whole.add(path.name.rsplit("-", 1)[0])
+    assert whole == {"clean", "ratios"}
+
+
+def test_lines_are_moved_for_their_orders_only(spark):
+    """Where nothing is small enough to be broadcast, customers meet orders, not lines."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        trips = order_trips(spark, f"{TESTDATA}/sf0.001")
+        plan = trips._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set(key, before)
+    depth = [len(line) - len(line.lstrip(" :+-")) for line in plan]
+    at = next(i for i, line in enumerate(plan) if "SortMergeJoin [o_custkey" in line)
+    below = []
+    for line, d in zip(plan[at + 1 :], depth[at + 1 :], strict=True):
+        if d <= depth[at]:
+            break
+        below.append(line)
+    assert below and not any("l_partkey" in line for line in below)
+
+
 def test_block_follows_the_data(small_study):
     config, staging = small_study.config, small_study.staging
     assert small_study.missing_block_by_vendor().count() > 0
