@@ -45,6 +45,7 @@ class TripStudy:
         self.other = other
         self.config = config or StudyConfig()
         self.staging = staging or StagingArea(trips.sparkSession)
+        self._evaluated: dict[str, forest.Evaluation] = {}
 
     @classmethod
     def of_view(
@@ -294,13 +295,24 @@ class TripStudy:
         )
 
     def evaluate(self, label: str) -> forest.Evaluation:
-        return self._evaluations[label]
+        """The evaluation of one label; forests of other labels are not fitted for it."""
+        return self._fitted([label])[label]
 
-    @cached_property
+    @property
     def _evaluations(self) -> dict[str, forest.Evaluation]:
-        return forest.evaluate_all(
-            self.sample, self.label_names, self.config.columns, self.config.model, self.staging
-        )
+        return self._fitted(self.label_names)
+
+    def _fitted(self, names: list[str]) -> dict[str, forest.Evaluation]:
+        """Evaluations by label; those not there yet are fitted side by side."""
+        unknown = [n for n in names if n not in self.label_names]
+        if unknown:
+            raise KeyError(unknown[0])
+        missing = [n for n in names if n not in self._evaluated]
+        if missing:
+            self._evaluated |= forest.evaluate_all(
+                self.sample, missing, self.config.columns, self.config.model, self.staging
+            )
+        return {n: self._evaluated[n] for n in names}
 
     def model_comparison(self) -> DataFrame:
         """One row per label: scores, baseline, gain and fit time."""

@@ -203,6 +203,23 @@ def test_lines_are_moved_for_their_orders_only(spark):
     assert below and not any("l_partkey" in line for line in below)
 
 
+def test_one_label_is_evaluated_without_the_others(small_study, monkeypatch):
+    asked = []
+
+    def evaluated(sample, names, *_):
+        asked.append(list(names))
+        return {n: f"model of {n}" for n in names}
+
+    monkeypatch.setattr(forest, "evaluate_all", evaluated)
+    study = TripStudy(small_study.raw, small_study.config, small_study.staging)
+    study.sample = None
+    assert study.evaluate("jam_abs") == study.evaluate("jam_abs") == "model of jam_abs"
+    assert list(study._evaluations) == ["jam_abs", "jam_rel"]
+    assert asked == [["jam_abs"], ["jam_rel"]]
+    with pytest.raises(KeyError):
+        study.evaluate("jam_none")
+
+
 def test_block_follows_the_data(small_study):
     config, staging = small_study.config, small_study.staging
     assert small_study.missing_block_by_vendor().count() > 0
