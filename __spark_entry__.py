@@ -22,6 +22,7 @@ from oracle_queries import KEYS, MIN_ROWS, MODEL_MIN_ROWS, TRIP_COLUMNS
 
 COLUMNS = ORDER_TRIP_COLUMNS
 KEY_COLUMNS = KEYS.split(", ")
+PREDICTION_ORDER = [COLUMNS.distance, "hour", "dow", COLUMNS.do_zone, COLUMNS.pu_zone, COLUMNS.ratecode]
 _studies: dict[tuple[str, str], TripStudy] = {}
 
 # The corpus operators are optional: without them the rest works alone.
@@ -207,7 +208,9 @@ def _split_rows(s: TripStudy) -> DataFrame:
 def _model_predictions(s: TripStudy) -> DataFrame:
     """Predictions for all labelled trips, of the forest after a round trip through storage."""
     path = forest.save_model(s.evaluate("jam_abs").model, f"{s.staging.path}/models/jam_abs")
-    return forest.predict(forest.load_model(path), s.labelled, "jam_abs", KEY_COLUMNS)
+    return forest.predict(
+        forest.load_model(path), s.labelled, "jam_abs", KEY_COLUMNS, PREDICTION_ORDER
+    )
 
 
 def _model_coverage(s: TripStudy) -> DataFrame:

@@ -169,13 +169,19 @@ def train_and_evaluate(
 
 
 def predict(
-    model: PipelineModel, rows: DataFrame, label: str | None = None, keys: Sequence[str] = ROW_HASHES
+    model: PipelineModel,
+    rows: DataFrame,
+    label: str | None = None,
+    keys: Sequence[str] = ROW_HASHES,
+    alike: Sequence[str] = (),
 ) -> DataFrame:
     """Predicted class and probability of congestion for rows with the model's input columns.
 
-    With a ``label``, only it and the ``keys`` stay beside the predictions.
+    With a ``label``, only it and the ``keys`` stay beside the predictions.  With the columns
+    ``alike``, a task sorts its rows by them first: rows that are alike take the same ways
+    through the trees, which are in the processor's cache then.
     """
-    scored = model.transform(rows)
+    scored = model.transform(rows.sortWithinPartitions(*alike) if alike else rows)
     keep = [c for c in rows.columns if label is None or c in (label, *keys)]
     return scored.select(
         *keep,

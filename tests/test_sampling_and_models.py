@@ -247,6 +247,18 @@ def test_model_survives_storage(evaluation, tmp_path):
     assert before == after
 
 
+def test_rows_alike_are_predicted_together(evaluation):
+    """A local sort, without a shuffle, and the same predictions."""
+    sample, result = evaluation
+    plain = forest.predict(result.model, sample.frame, "jam_abs")
+    together = forest.predict(
+        result.model, sample.frame, "jam_abs", alike=["trip_distance", "hour"]
+    )
+    plan = together._jdf.queryExecution().executedPlan().toString()
+    assert "Sort [trip_distance" in plan and "Exchange" not in plan
+    assert sorted(together.collect()) == sorted(plain.collect())
+
+
 def test_model_needs_its_columns(small_study):
     with pytest.raises(KeyError):
         features.feature_table(small_study.labelled, ["absent"], ["jam_abs"])
