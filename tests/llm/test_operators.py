@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -311,6 +312,56 @@ def test_all_candidates_of_open_sets(spark, small, monkeypatch):
         monkeypatch.undo()
 
 
+def test_line_postings_move_in_narrow_columns(spark):
+    """A posting of small sets moves in 40 bytes at most; as rows of ten columns it had 88."""
+    rng = random.Random(5)
+    words = [f"v{i}" for i in range(400)]
+    made = [(i, "\n".join(" ".join(rng.sample(words, 30)) for _ in range(4))) for i in range(500)]
+    docs = spark.createDataFrame(made, "doc_id long, text string").coalesce(1)
+    rows = lines.LineIndex(docs).postings().collect()
+    postings = sum(len(lines._unpacked(bytes(r.content))[0]) for r in rows)
+    assert postings > 10_000
+    assert sum(len(r.content) for r in rows) <= 40 * postings
+    assert len(rows) < postings / 100
+
+
+@pytest.mark.parametrize("held", [1 << 19, 50])
+def test_packed_postings(monkeypatch, held):
+    """Packing loses nothing; the postings of a word come together, those of hot words marked."""
+    monkeypatch.setattr(lines, "HELD_ROWS", held)
+    rng = np.random.default_rng(3)
+    rows, ends = [], np.array([lines.LAST_ID, -lines.LAST_ID, 0, 300, 70_000])
+    batches = []
+    for k in range(6):
+        n = rng.integers(5, 400, 90).astype(np.int32)
+        columns = [
+            np.where(rng.random(90) < 0.2, 7, rng.integers(-40, 40, 90) << 50),
+            rng.choice(ends[-k - 1 :], 90),
+            rng.integers(0, 1 << (3 * k + 1), 90).astype(np.int32),
+            rng.integers(-(1 << 62), 1 << 62, 90),
+            n,
+            (n // 6).astype(np.int32),
+        ]
+        wide = lines.map_words(n)
+        columns += [np.where(wide > i, rng.integers(1, 1 << 62, 90), 0) for i in range(4)]
+        rows += zip(*[c.tolist() for c in columns], strict=True)
+        packed = lines._packed(columns, 5)
+        batches += zip(packed.column(0).to_pylist(), packed.column(1).to_pylist(), strict=True)
+    batches.sort(key=lambda x: x[0])
+    names = ["bucket", "content"]
+    batches = [
+        pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([c], pa.binary())], names)
+        for b, c in batches
+    ]
+    found, seen = [], set()
+    for hot, columns in lines._packed_groups(iter(batches), 60):
+        words = set(columns[0].tolist())
+        assert words <= {7} if hot else not words & (seen | {7})
+        seen |= set() if hot else words
+        found += zip(*[c.tolist() for c in columns], strict=True)
+    assert sorted(found) == sorted(rows)
+
+
 def test_token_counts(spark, small, odd_docs, no_docs):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
