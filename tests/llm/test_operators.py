@@ -19,6 +19,7 @@ from tokenizers import Tokenizer
 
 from jamscope.llm import (
     bpe,
+    common,
     components,
     fingerprints,
     language,
@@ -312,6 +313,22 @@ def test_all_candidates_of_open_sets(spark, small, monkeypatch):
         monkeypatch.undo()
 
 
+def test_quick_hashes_tell_words_apart():
+    """A word's hash depends on its bytes alone, also beyond eight bytes and beyond long ones."""
+    rng = random.Random(6)
+    words = [bytes(rng.choices(b"ab\0\xc3", k=k % 90 + 1)) for k in range(900)]
+    words += [b"a" * k for k in range(1, 140)]
+    words += [w[:-1] + b"z" for w in words]
+    found = {}
+    for texts in ([b" ".join(words)], [w + b"\n" for w in reversed(words)], [b"", b" x "]):
+        buffer = common.WordBuffer(texts)
+        hashes = buffer.quick_hashes().tolist()
+        for start, end, value in zip(buffer.starts, buffer.ends, hashes, strict=True):
+            assert found.setdefault(buffer.joined[start:end], value) == value
+    assert set(found) == {*words, b"x"}
+    assert len(set(found.values())) == len(found)
+
+
 def test_line_postings_move_in_narrow_columns(spark):
     """A posting of small sets moves in 40 bytes at most; as rows of ten columns it had 88."""
     rng = random.Random(5)
